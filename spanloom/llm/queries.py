@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, packing
+from . import chunk_bpe, host_rules, line_dedup, oracles, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -18,6 +18,31 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of ten documents or more gone, a digest in place of what is left."""
+    kept = line_dedup.drop_common_lines(table(spark, sf_dir), counts=("n_lines", "n_dropped"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts by document and by source."""
+    return host_rules.judge(table(spark, sf_dir))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and places of personal data."""
+    found = pii.find(table(spark, sf_dir).select("doc_id", "text"))
+    base = [k.name for k in pii.KINDS if k.base]
+    of = lambda kind: lambda s: s["kind"] == kind
+    line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select(
+        "doc_id",
+        *[F.size(F.filter("pii", of(k))).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(line(F.filter("pii", lambda s: s["ord"] < len(base))), 256).alias("base_sha256"),
+        line(F.col("pii")).alias("spans"),
+    )
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in windows of 4096 ids; a digest in place of a piece's ids."""
     return packing.pack(table(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -26,9 +51,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op5_line_dedup": op5_line_dedup,
+        "op7_host_rules": op7_host_rules,
+        "op8_pii": op8_pii,
         "op9_packing": op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op5_line_dedup": oracles.OP5,
+        "op7_host_rules": oracles.OP7,
+        "op8_pii": oracles.OP8,
+    }
