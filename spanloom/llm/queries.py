@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, host_rules, line_dedup, oracles, packing, pii
+from . import chunk_bpe, host_rules, line_dedup, ngram_join, oracles, packing, pii
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -24,6 +24,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document, at five words and a similarity of 0.8."""
+    return ngram_join.near_duplicates(table(spark, sf_dir))
+
+
 def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts by document and by source."""
     return host_rules.judge(table(spark, sf_dir))
@@ -52,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op5_line_dedup": op5_line_dedup,
+        "op6_ngram_join": op6_ngram_join,
         "op7_host_rules": op7_host_rules,
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
