@@ -74,3 +74,17 @@ FROM documents d LEFT JOIN one ON d.doc_id = one.doc_id
 
 
 OP8 = _op8()
+
+OP3 = (
+    r"""
+WITH w AS (SELECT doc_id, """
+    + _WORDS
+    + r""" AS words FROM documents),
+win AS (SELECT doc_id, i, array_to_string(words[i:i + 12], ' ') AS seq FROM (SELECT doc_id, words, unnest(range(1, length(words) - 11)) AS i FROM w WHERE length(words) >= 13)),
+least AS (SELECT seq, min(doc_id) AS doc_id FROM win GROUP BY seq),
+gone AS (SELECT win.doc_id, list(DISTINCT i + j) AS places FROM win JOIN least ON win.seq = least.seq AND least.doc_id < win.doc_id, (SELECT unnest(range(13)) AS j) GROUP BY win.doc_id)
+SELECT w.doc_id, CAST(length(words) AS BIGINT) AS n_words, CAST(coalesce(length(places), 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(array_to_string(list_filter(words, lambda x, i: places IS NULL OR NOT list_contains(places, i)), ' '), '')) AS kept_sha256
+FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
+"""
+)

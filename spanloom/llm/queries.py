@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, host_rules, line_dedup, ngram_join, oracles, packing, pii
+from . import chunk_bpe, host_rules, line_dedup, ngram_join, oracles, packing, pii, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -18,6 +18,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in windows of 13 that a lesser document has too gone, a digest in place of what is left."""
+    kept = suffix_dedup.remove_repeats(table(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more gone, a digest in place of what is left."""
     kept = line_dedup.drop_common_lines(table(spark, sf_dir), counts=("n_lines", "n_dropped"))
@@ -56,6 +62,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op5_line_dedup": op5_line_dedup,
         "op6_ngram_join": op6_ngram_join,
         "op7_host_rules": op7_host_rules,
@@ -66,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_suffix_dedup": oracles.OP3,
         "op5_line_dedup": oracles.OP5,
         "op7_host_rules": oracles.OP7,
         "op8_pii": oracles.OP8,
