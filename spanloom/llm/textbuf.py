@@ -35,8 +35,8 @@ def _ladder(base: int, n: int) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse, modulo 2**64, n of each."""
     if len(_powers[0]) < n:
-        n = max(n, 1 << 16)
-        _powers[:] = [_ladder(_P, n), _ladder(_P_INV, n)]
+        size = max(n, 1 << 16)
+        _powers[:] = [_ladder(_P, size), _ladder(_P_INV, size)]
     return _powers[0][:n], _powers[1][:n]
 
 
