@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, host_rules, line_dedup, ngram_join, oracles, packing, pii, suffix_dedup
+from . import chunk_bpe, host_rules, langid, line_dedup, ngram_join, oracles, packing, pii, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -24,6 +24,22 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def fold(divisor: int, rest: int):
+    """Whether a document is held out: the remainder of its id's CRC."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.BiGru | None:
+    """A network trained on a sample of the documents that aren't held out."""
+    return langid.fit(table(spark, sf_dir).filter(~fold(4, 2)))
+
+
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents."""
+    found = langid.predict(table(spark, sf_dir), language_model(spark, sf_dir))
+    return found.select("doc_id", fold(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of ten documents or more gone, a digest in place of what is left."""
     kept = line_dedup.drop_common_lines(table(spark, sf_dir), counts=("n_lines", "n_dropped"))
@@ -63,6 +79,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op3_suffix_dedup": op3_suffix_dedup,
+        "op4_langid": op4_langid,
         "op5_line_dedup": op5_line_dedup,
         "op6_ngram_join": op6_ngram_join,
         "op7_host_rules": op7_host_rules,
