@@ -6,29 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, host_rules, langid, line_dedup, ngram_join, oracles, packing, pii, suffix_dedup
+from . import chunk_bpe, host_rules, langid, line_dedup, ngram_join, oracles, packing, pii, quality_mil, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(divisor: int, rest: int):
+    """Whether a document is held out: the remainder of its id's CRC."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts to ids and back, as digests."""
     return chunk_bpe.digests(table(spark, sf_dir))
 
 
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learnt from labels of those that aren't held out."""
+    docs = table(spark, sf_dir)
+    model = quality_mil.fit(docs, table(spark, sf_dir, "labels").filter(~fold(3, 1)))
+    found = quality_mil.score(docs, model)
+    return found.select("doc_id", fold(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in windows of 13 that a lesser document has too gone, a digest in place of what is left."""
     kept = suffix_dedup.remove_repeats(table(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def fold(divisor: int, rest: int):
-    """Whether a document is held out: the remainder of its id's CRC."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
-
-
 def language_model(spark: SparkSession, sf_dir: str) -> langid.BiGru | None:
     """A network trained on a sample of the documents that aren't held out."""
     return langid.fit(table(spark, sf_dir).filter(~fold(4, 2)))
@@ -78,6 +86,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
+        "op2_quality_mil": op2_quality_mil,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_langid": op4_langid,
         "op5_line_dedup": op5_line_dedup,
