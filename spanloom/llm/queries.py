@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chunk_bpe, host_rules, langid, line_dedup, ngram_join, oracles, packing, pii, quality_mil, suffix_dedup
+from . import chroma, chunk_bpe, host_rules, langid, line_dedup, ngram_join, oracles, packing, pii, quality_mil, suffix_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -83,6 +83,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recordings made of all embeddings (the tables have no audio): those with an id divisible by 50 sought among all."""
+    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), id_col="vec_id", audio_col="embedding", decode=chroma.render)
+    return chroma.search(prints, F.col("vec_id") % 50 == 0, id_col="vec_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -94,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_host_rules": op7_host_rules,
         "op8_pii": op8_pii,
         "op9_packing": op9_packing,
+        "op10_chroma": op10_chroma,
     }
 
 
