@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import written
 
+#: Tasks for the places of one line.
+SALTS = 16
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,7 +42,9 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     exploded = known.select("id", "at", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("id", "at", "pos", line_key(F.col("line")).alias("key"))
     lines = written(exploded.filter(F.char_length("key") >= min_chars).select("id", "at", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(7), F.col("key")).alias("g")), "lines")
     common = lines.select("h", "g", "id", "at").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h", "g")
-    gone = lines.join(common, ["h", "g"], "left_semi").groupBy("id", "at").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    # a line of many documents is spread over SALTS tasks
+    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    gone = lines.withColumn("salt", F.pmod("at", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"], "left_semi").groupBy("id", "at").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     k, g = known.alias("k"), gone.alias("g")
     both = k.join(g, F.col("k.id").eqNullSafe(F.col("g.id")) & (F.col("k.at") == F.col("g.at")), "left").select("row", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     both = both.withColumn("lines", _lines(F.col("text"))).withColumn("edges", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines"))))
