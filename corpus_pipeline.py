@@ -1,24 +1,56 @@
-"""A corpus pipeline of the training-data operators, stage by stage."""
+"""A corpus pipeline: language, common lines, near duplicates, personal data, packed sequences.
+
+Each stage takes the documents that the one before it kept (written as Parquet and read again) and
+works on all of them. All stages but the last return the columns of documents; where a stage
+changes texts, n_chars follows them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from spanloom.llm import langid, line_dedup, ngram_join, packing, pii
+from spanloom.llm.queries import fold
+from spanloom.llm.shared import written
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else docs
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have a language, by a network learnt from those not held out; texts that are null or without a letter go."""
+    return langid.keep_languages(docs, langid.fit(docs.filter(~fold(4, 2))))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that ten documents or more have; a text may end up empty."""
+    return _counted(line_dedup.drop_common_lines(docs))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates (five words, 0.8): that with the least doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with the kind in brackets in place of each piece of personal data."""
+    return _counted(pii.redact(docs))
 
-from spanloom.llm import packing
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packing: the pieces of all documents in windows of 4096 ids."""
-    return packing.pack(docs)
+    """The pieces of all documents in windows of 4096 ids: their ids (unsigned 32-bit little-endian) with a digest."""
+    return packing.pack(docs).withColumn("ids_crc32", F.crc32("ids"))
 
 
-STAGES = [("pack", pack)]
+STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("personal_data", personal_data), ("pack", pack)]
 
-#: Model predictions are no SQL; the tests hold the stages against brute force.
+#: A network's predictions and a tokenizer's ids are no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
