@@ -107,6 +107,14 @@ class Chunk:
         return where[self.at], grams
 
 
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end of each run of equal numbers; none of no numbers."""
+    if not len(sorted_):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+    return first, np.append(first[1:], len(sorted_))
+
+
 def _anchor_rows(window: int, k: int, tasks: int):
     def run(batches):
         for batch in batches:
@@ -117,8 +125,7 @@ def _anchor_rows(window: int, k: int, tasks: int):
                 task = (h >> np.uint64(33)) % np.uint64(tasks)
                 order = np.argsort(task, kind="stable")
                 h, task = h[order], task[order].astype(np.int64)
-                cut = np.flatnonzero(np.diff(task, prepend=-1))
-                ends = np.append(cut[1:], len(h))
+                cut, ends = _runs(task)
                 yield pa.RecordBatch.from_arrays([pa.array(task[cut]), pa.array(np.full(len(cut), chunk)), pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["task", "chunk", "anchors"])
 
     return run
@@ -134,8 +141,7 @@ def _by_chunk(chunk: np.ndarray, *values: np.ndarray) -> pa.Table:
     """Rows of chunk and the bytes of its values."""
     order = np.argsort(chunk, kind="stable")
     chunk = chunk[order]
-    cut = np.flatnonzero(np.diff(chunk, prepend=chunk[0] - 1)) if len(chunk) else np.zeros(0, np.int64)
-    ends = np.append(cut[1:], len(chunk)) if len(cut) else cut
+    cut, ends = _runs(chunk)
     columns = [pa.array([v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for v in (v[order] for v in values)]
     return pa.Table.from_arrays([pa.array(chunk[cut].astype(np.int64)), *columns], names=["chunk", *"vw"[: len(values)]])
 
@@ -184,13 +190,13 @@ def _record_rows(window: int, k: int, groups: int, most_chunks: int):
             key = content[start] * np.uint64(3) + content[start + size - 1] * np.uint64(5) + size.astype(np.uint64)
             doc = c.id[c.row[start]]
             order = np.lexsort((doc, key))
-            keep = order[np.flatnonzero(np.diff(key[order], prepend=~key[order[:1]]))]
+            keep = order[_runs(key[order])[0]]
             prefix = np.where(grown, content[start], h[first])[keep]
             grp = ((prefix >> np.uint64(33)) % np.uint64(groups)).astype(np.int64)
             order = np.argsort(grp, kind="stable")
             keep, grp = keep[order], grp[order]
-            cut = np.flatnonzero(np.diff(grp, prepend=-1))
-            for x, y in zip(cut.tolist(), np.append(cut[1:], len(grp)).tolist(), strict=True):
+            cut, ends = _runs(grp)
+            for x, y in zip(cut.tolist(), ends.tolist(), strict=True):
                 r = keep[x:y]
                 out.append((int(grp[x]), chunk, c.word[ranges(start[r], length[r])].tobytes(), length[r].astype(np.uint16).tobytes(), doc[r].tobytes()))
         cols = list(zip(*out, strict=True)) or [[]] * 5
@@ -270,9 +276,9 @@ def _cutter(window: int, key: pa.DataType):
             # windows that a lesser document of the same chunk has
             doc = c.id[c.row[c.at]]
             order = np.lexsort((doc, h))
-            new = np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]))
+            new, end = _runs(h[order])
             least = np.empty(len(h), np.int64)
-            least[order] = np.repeat(doc[order][new], np.diff(np.append(new, len(h))))
+            least[order] = np.repeat(doc[order][new], end - new)
             starts = c.at[away | (least < doc)]
             cover = np.zeros(len(c.word) + 1, np.int64)
             np.add.at(cover, starts, 1)
