@@ -32,7 +32,7 @@ def state_of(areas: DataFrame) -> DataFrame:
 
 def read_names(spark: SparkSession, path: str) -> DataFrame:
     """A row per name of a JSON list."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     return text.select(F.explode(F.from_json("value", "array<string>")).alias("name"))
 
 
