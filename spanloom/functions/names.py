@@ -69,41 +69,63 @@ class NameRules:
 
 
 DEFAULT = NameRules()
-_words = lambda name: F.filter(F.split(name, r"\s+"), lambda w: w != "")
+
+
+def words_of(name: Column) -> Column:
+    return F.regexp_extract_all(name, F.lit(r"[^ \t\r\n]+"), F.lit(0))
+
+
+def known_share(words: Column, rules: NameRules = DEFAULT) -> Column:
+    known = F.aggregate(words, F.lit(0), lambda n, w: n + F.trim(F.lower(w), F.lit("'-")).isin(*rules.parts).cast("int"))
+    return F.when(F.size(words) > 0, known / F.size(words)).otherwise(F.lit(0.0))
+
+
+def stops(words: Column) -> Column:
+    return F.get(words, F.lit(0)).isin(*STOP_FIRST)
+
+
+def all_of_forms(words: Column, rules: NameRules = DEFAULT) -> Column:
+    bare = (lambda w: F.rtrim(F.lower(w), F.lit("'s"))) if rules.compat else (lambda w: F.regexp_replace(F.lower(w), "'s?$", ""))
+    return (F.size(words) > 0) & F.forall(words, lambda w: F.trim(bare(w), F.lit("'-")).isin(*rules.vocabulary))
 
 
 def fragment_share(name: Column, rules: NameRules = DEFAULT) -> Column:
     """The share of a name's words that are known parts of names."""
-    words = _words(name)
-    known = F.filter(words, lambda w: F.trim(F.lower(w), F.lit("'-")).isin(*rules.parts))
-    return F.when(F.size(words) > 0, F.size(known) / F.size(words)).otherwise(F.lit(0.0))
+    return known_share(words_of(name), rules)
 
 
 def is_stop_phrase(name: Column) -> Column:
     """C04."""
-    return F.get(_words(name), F.lit(0)).isin(*STOP_FIRST)
+    return stops(words_of(name))
 
 
 def is_form_phrase(name: Column, rules: NameRules = DEFAULT) -> Column:
     """All words are words of forms. Letters and marks of a possessive go from a word's end."""
-    bare = (lambda w: F.rtrim(F.lower(w), F.lit("'s"))) if rules.compat else (lambda w: F.regexp_replace(F.lower(w), "'s?$", ""))
-    words = _words(name)
-    return (F.size(words) > 0) & F.forall(words, lambda w: F.trim(bare(w), F.lit("'-")).isin(*rules.vocabulary))
+    return all_of_forms(words_of(name), rules)
 
 
-def _named(places: Column, rules: NameRules, rank: int, base: float, weight: float, most: float) -> Column:
-    ok = F.filter(places, lambda p: ~is_stop_phrase(p["text"]) & ~is_form_phrase(p["text"], rules))
-    return F.transform(ok, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(rank).alias("rank"), F.least(F.lit(most), F.lit(base) + weight * fragment_share(p["text"], rules)).alias("score"), p["text"].alias("text")))
+def _named(places: Column, rules: NameRules, rank: int, base: float, weight: float, most: float, bare: bool = False) -> Column:
+    """Places that are names, with scores. Words and share are found once for each place, in a struct that later steps read."""
+    split = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), p["text"].alias("text"), words_of(p["text"]).alias("w")))
+    split = F.filter(split, lambda p: ~stops(p["w"]) & ((F.size(p["w"]) >= 2) if bare else F.lit(True)) & ~all_of_forms(p["w"], rules))
+    scored = F.transform(split, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), known_share(p["w"], rules).alias("share"), p["text"].alias("text")))
+    if bare:
+        scored = F.filter(scored, lambda p: p["share"] >= 0.5)
+    return F.transform(scored, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(rank).alias("rank"), F.least(F.lit(most), F.lit(base) + weight * p["share"]).alias("score"), p["text"].alias("text")))
 
 
 def name_places(text: Column, rules: NameRules = DEFAULT) -> Column:
     """Names after a label, after a title, and bare ones of known parts; at one place the first of these counts."""
     label = _named(spans.matches(text, rules.label, 1, guard=":"), rules, 0, 0.7, 0.15, 0.95)
     title = _named(spans.matches(text, rules.title, 1), rules, 1, 0.75, 0.15, 0.95)
-    bare = F.filter(spans.matches(text, SHAPE), lambda p: (F.size(_words(p["text"])) >= 2) & (fragment_share(p["text"], rules) >= 0.5))
-    every = F.array_sort(F.concat(label, title, _named(bare, rules, 2, 0.5, 0.2, 1.0)))
-    kept = F.filter(every, lambda x, i: (i == 0) | (F.get(every, i - 1)["start"] != x["start"]) | (F.get(every, i - 1)["end"] != x["end"]))
-    return kept
+    free = _named(spans.matches(text, SHAPE), rules, 2, 0.5, 0.2, 1.0, bare=True)
+    every, kind = F.sort_array(F.concat(label, title, free)), "array<struct<start:int,end:int,rank:int,score:double,text:string>>"
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.element_at(acc, -1)
+        return F.when((F.size(acc) > 0) & (last["start"] == x["start"]) & (last["end"] == x["end"]), acc).otherwise(F.concat(acc, F.array(x)))
+
+    return F.aggregate(every, F.array().cast(kind), step)
 
 
 def address_pattern() -> str:

@@ -96,5 +96,5 @@ def pattern_spans(text: Column, types: tuple[str, ...] | None = None, rules: tup
         return spans.none()
     every = F.concat(*[rule_spans(text, r, i) for i, r in wanted])
     # by score first: the order within a source decides between equal priorities
-    ranked = F.array_sort(F.transform(every, lambda s: F.struct((-s["score"]).alias("k"), s.alias("s"))))
+    ranked = F.sort_array(F.transform(every, lambda s: F.struct((-s["score"]).alias("k"), s.alias("s"))))
     return F.transform(ranked, lambda x, i: F.struct(*[(i if c == "ord" else x["s"][c]).alias(c) for c in ("start", "end", "src", "ord", "entity_type", "score", "source", "text")])).cast(spans.SPANS)

@@ -5,11 +5,12 @@ All expressions are row-local: no shuffle, no Python. Places are code points, fr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, functions as F
 
-#: The sort keys stand first, so array_sort() needs no comparator.
+#: The sort keys stand first, so sort_array() orders them as they are; array_sort() would run its comparator as an interpreted lambda.
 SPAN = "struct<start:int,end:int,src:int,ord:int,entity_type:string,score:double,source:string,text:string>"
 SPANS = f"array<{SPAN}>"
 PLACE = "array<struct<text:string,start:int,end:int>>"
@@ -27,17 +28,20 @@ def matches(text: Column, pattern: str, group: int = 0, guard: str | None = None
     The parts between matches and the matches alternate, so their lengths give the places (D01 to D16).
     guard: a cheap pattern that every text with a match has; others are not searched.
     """
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    # functions of arrays are interpreted, without sharing of equal parts: each pattern stands here once
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")]
+    if group:
+        found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
     zero = F.struct(F.lit(0).alias("at"), none(PLACE).alias("out"))
-    pairs = F.zip_with(F.arrays_zip(found.alias("m"), inner.alias("g")), F.slice(gaps, F.lit(1), F.size(found)), lambda x, gap: F.struct(x["m"].alias("m"), x["g"].alias("g"), F.length(gap).alias("skip")))
 
     def step(acc: Column, x: Column) -> Column:
-        end = acc["at"] + x["skip"] + F.length(x["m"])
-        one = F.struct(x["g"].alias("text"), (end - F.length(x["g"])).alias("start"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(PLACE)).alias("out"))
+        part = x["g"] if group else x["m"]
+        end = acc["at"] + F.length(x["gap"]) + F.length(x["m"])
+        one = F.struct(part.alias("text"), (end - F.length(part)).alias("start"), end.alias("end"))
+        # what stands after the last match has no match
+        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(PLACE)).alias("out")))
 
-    got = F.aggregate(pairs, zero, step)["out"]
+    got = F.aggregate(F.arrays_zip(*found), zero, step)["out"]
     return F.when(text.rlike(guard or pattern), got).otherwise(none(PLACE))
 
 
@@ -51,10 +55,8 @@ def boosted(text: Column, start: Column, score: float, context: tuple[str, ...])
     """The score, with 0.35 more (0.4 at least, 1 at most) where a word or phrase of the context stands shortly before."""
     if not context:
         return F.lit(float(score))
-    near = words_before(text, start)
-    seen = F.lit(False)
-    for w in context:
-        seen = seen | F.contains(near, F.lit(w.lower()))
+    # one pattern, so that what stands before is cut out once
+    seen = words_before(text, start).rlike("|".join(re.escape(w.lower()) for w in context))
     return F.when(seen, F.lit(round(min(1.0, max(0.4, score + 0.35)), 2))).otherwise(F.lit(float(score)))
 
 
@@ -105,7 +107,7 @@ def resolve(spans: Column, text: Column, classes: dict[str, tuple[str, ...]]) ->
         clash = (F.size(acc) > 0) & overlaps(last, s)
         return F.when(clash, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), winner)).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), none(), step)
+    return F.aggregate(F.sort_array(spans), none(), step)
 
 
 def stitch(spans: Column, text: Column, entity_type: str = "ADDRESS") -> Column:
@@ -117,7 +119,7 @@ def stitch(spans: Column, text: Column, entity_type: str = "ADDRESS") -> Column:
         wide = F.struct(last["start"].alias("start"), s["end"].alias("end"), last["src"].alias("src"), last["ord"].alias("ord"), last["entity_type"].alias("entity_type"), F.greatest(last["score"], s["score"]).alias("score"), last["source"].alias("source"), slice_text(text, last["start"], s["end"]).alias("text"))
         return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wide.cast(SPAN)))).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.array_sort(spans), none(), step)
+    return F.aggregate(F.sort_array(spans), none(), step)
 
 
 def shift(spans: Column, by: Column) -> Column:

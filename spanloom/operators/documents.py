@@ -43,7 +43,7 @@ def assemble(words: DataFrame, *, keys: Sequence[str] = ("doc_id", "page_num"),
     page is one row already when its words are gathered, so the order is made row by row.
     """
     fields = [*order, word, *keep]
-    rows = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*[F.col(f).alias(f"k{i}") if f in order else F.col(f).alias(f) for i, f in enumerate(fields)]))).alias("w"))
+    rows = words.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*[F.col(f).alias(f"k{i}") if f in order else F.col(f).alias(f) for i, f in enumerate(fields)]))).alias("w"))
     at = {f: f"k{i}" for i, f in enumerate(fields) if f in order}
     wname = at.get(word, word)
     kind = "array<struct<start:int,end:int,text:string,first:boolean" + "".join(f",{k}:{words.schema[k].dataType.simpleString()}" for k in keep) + ">>"
@@ -71,7 +71,7 @@ def detect_blocks(pages: DataFrame, detector: d.Detector | None = None, *, text:
     t = F.coalesce(F.col(text), F.lit(""))
     find = (detector or d.Detector()).detect
     found = F.flatten(F.transform(blocks, lambda b: spans.shift(find(spans.slice_text(t, b["start"], b["end"])), b["start"])))
-    return pages.withColumn("entities", spans.stitch(found, t) if stitched else F.array_sort(found))
+    return pages.withColumn("entities", spans.stitch(found, t) if stitched else F.sort_array(found))
 
 
 def with_confidence(pages: DataFrame, *, entities: str = "entities", words: str = "words", conf: str = "conf") -> DataFrame:
@@ -110,7 +110,7 @@ def numbered(entities: DataFrame, *, key: str = "doc_id", order: Sequence[str] =
 
 def full_text(segments: DataFrame, *, key: str = "doc_id", order: str = "seg_no", text: str = "text") -> DataFrame:
     """A document's segments joined by line ends, in order."""
-    return segments.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("full_text"))
+    return segments.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("full_text"))
 
 
 def rects(pages: DataFrame, *, entities: str = "entities", words: str = "words", rect: str = "rect") -> DataFrame:

@@ -40,7 +40,7 @@ def word_scores(truth: DataFrame, texts: DataFrame) -> DataFrame:
     both = before.join(after, ["run", "word"], "full").join(gold, ["run", "word"], "full").fillna(0, ["a", "b", "g"])
     gone = both.withColumn("r", F.greatest(F.col("a") - F.col("b"), F.lit(0)))
     side = gone.withColumn("tp", F.least("r", "g")).withColumn("fp", F.greatest(F.col("r") - F.col("g"), F.lit(0))).withColumn("fn", F.greatest(F.col("g") - F.col("r"), F.lit(0)))
-    lists = F.array_sort(F.flatten(F.collect_list(F.array_repeat("word", F.col("fp").cast("int")))))
+    lists = F.sort_array(F.flatten(F.collect_list(F.array_repeat("word", F.col("fp").cast("int")))))
     sums = side.groupBy("run").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), lists.alias("collateral"))
     share = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     out = sums.join(texts.select("run").distinct(), "run", "right").fillna(0, ["tp", "fp", "fn"])
@@ -50,5 +50,5 @@ def word_scores(truth: DataFrame, texts: DataFrame) -> DataFrame:
 
 def report(truth: DataFrame, texts: DataFrame) -> DataFrame:
     """A row per run with all figures, the types as JSON."""
-    items = item_recall(truth, texts).groupBy("run").agg(F.sum("items_ok").alias("items_ok"), F.sum("items_total").alias("items_total"), F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", F.struct("items_ok", "items_total")))))).alias("per_type"), F.sort_array(F.flatten(F.collect_list("leaked"))).alias("leaked"))
+    items = item_recall(truth, texts).groupBy("run").agg(F.sum("items_ok").alias("items_ok"), F.sum("items_total").alias("items_total"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", F.struct("items_ok", "items_total")))))).alias("per_type"), F.sort_array(F.flatten(F.collect_list("leaked"))).alias("leaked"))
     return word_scores(truth, texts).join(items, "run", "left")

@@ -27,7 +27,7 @@ def person_spans(lines: DataFrame, *, file: str = "file", order: str = "line_no"
     w = W.partitionBy(file).orderBy(order)
     # an edge is any row that isn't a continuation; a span is an edge of B-PER with the continuations up to the next edge
     run = rows.withColumn("run", F.sum((F.col("tag") != "I-PER").cast("int")).over(w))
-    spans = run.groupBy(file, "run").agg(F.array_sort(F.collect_list(F.struct(order, "token", "tag"))).alias("t"))
+    spans = run.groupBy(file, "run").agg(F.sort_array(F.collect_list(F.struct(order, "token", "tag"))).alias("t"))
     return spans.filter(F.get("t", F.lit(0))["tag"] == "B-PER").select(file, F.array_join(F.transform("t", lambda x: x["token"]), " ").alias("span")).distinct()
 
 

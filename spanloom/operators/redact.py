@@ -27,13 +27,13 @@ def _places_of(text: Column, value: Column) -> Column:
 
 def claims(text: Column, values: Column) -> Column:
     """Places of values (array<string>, in order) in a text: longer values first, then earlier ones; a place that overlaps a claimed one is passed over."""
-    ranked = F.array_sort(F.transform(F.filter(values, lambda v: F.coalesce(F.length(v), F.lit(0)) > 0), lambda v, i: F.struct((-F.length(v)).alias("k"), i.alias("i"), v.alias("v"))))
+    ranked = F.sort_array(F.transform(F.filter(values, lambda v: F.coalesce(F.length(v), F.lit(0)) > 0), lambda v, i: F.struct((-F.length(v)).alias("k"), i.alias("i"), v.alias("v"))))
     held = F.filter(F.transform(ranked, lambda x: x["v"]), lambda v: F.contains(text, v))
 
     def one(acc: Column, c: Column) -> Column:
         return F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(c)))
 
-    return F.array_sort(F.aggregate(F.flatten(F.transform(held, lambda v: _places_of(text, v))), F.array().cast(CLAIM), one))
+    return F.sort_array(F.aggregate(F.flatten(F.transform(held, lambda v: _places_of(text, v))), F.array().cast(CLAIM), one))
 
 
 def rewrite(text: Column, places: Column, label: Column | str = LABEL) -> Column:
@@ -56,7 +56,7 @@ def redact_segments(segments: DataFrame, approved: DataFrame, *, key: str = "doc
     own document's values only and no pair of segment and value is made outside a row.
     """
     first = approved.filter(F.coalesce(F.col("text"), F.lit("")) != "").groupBy(key, F.col("text").alias("v")).agg(F.min(F.struct(*order)).alias("o"))
-    values = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("__values"))
+    values = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("__values"))
     t = F.coalesce(F.col(text), F.lit(""))
     out = segments.join(values, key, "left").withColumn("claims", F.when(F.col("__values").isNull(), F.array().cast(CLAIM)).otherwise(claims(t, F.col("__values")))).drop("__values")
     return out.withColumn("redacted", F.when(F.size("claims") > 0, rewrite(t, F.col("claims"), label)).otherwise(F.col(text))).withColumn("changed", F.size("claims") > 0)
@@ -112,7 +112,7 @@ def overlay_colour(is_approved: Column, source: Column) -> Column:
 def preview(segments: DataFrame, entities: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each segment as a paragraph of HTML with the entities' values marked by status; blank segments go."""
     status = entities.filter(F.coalesce(F.col("text"), F.lit("")) != "").groupBy(key, F.col("text").alias("v")).agg(F.bool_or(F.coalesce(F.col("approved"), F.lit(False))).alias("a"), F.bool_or(F.col("source") == "manual").alias("m"), F.min("id").alias("o"))
-    by = status.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("o", "v", colour(F.col("a"), F.col("m")).alias("c")))).alias("__s"))
+    by = status.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("o", "v", colour(F.col("a"), F.col("m")).alias("c")))).alias("__s"))
     t = F.coalesce(F.col(text), F.lit(""))
     s = F.coalesce(F.col("__s"), F.array().cast("array<struct<o:bigint,v:string,c:string>>"))
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

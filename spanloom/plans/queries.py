@@ -488,7 +488,7 @@ def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     truth = f.select("run", F.explode(F.transform(known, lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).alias("type"), F.element_at(F.split(x, " "), -1).alias("item")))).alias("t")).select("run", "t.*")
     red = F.regexp_replace(F.regexp_replace("text", "(NIN: )[0-9]+", "$1[REDACTED]"), "(Licence )[A-Z0-9]+", "$1[REDACTED]")
     both = f.select("run", F.col("doc_id"), "text", red.alias("red"))
-    texts = both.groupBy("run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("original"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "red"))), lambda x: x["red"]), "\n").alias("redacted"))
+    texts = both.groupBy("run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("original"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "red"))), lambda x: x["red"]), "\n").alias("redacted"))
     return truth, texts
 
 
