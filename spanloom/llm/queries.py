@@ -14,8 +14,8 @@ def table(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFram
 
 
 def fold(divisor: int, rest: int):
-    """Whether a document is held out: the remainder of its id's CRC."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest
+    """Whether a document is held out: the remainder of its id's CRC. A null id isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor == rest, F.lit(False))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,6 +108,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_suffix_dedup": oracles.OP3,
         "op5_line_dedup": oracles.OP5,
+        "op6_ngram_join": oracles.OP6,
         "op7_host_rules": oracles.OP7,
         "op8_pii": oracles.OP8,
     }
