@@ -34,7 +34,10 @@ def made(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
 
 
 def forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return made(spark, sf_dir, corpus.forms_sql(), "customer")
+    """The forms. Their keys are a few MB in one file, the work on them is not: keys are dealt out before texts are made."""
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys.createOrReplaceTempView("customer")
+    return spark.sql(corpus.forms_sql())
 
 
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
