@@ -16,7 +16,7 @@ import pyarrow as pa
 from .textbuf import SPACE, Spans, Table, ranges, slices
 
 #: Pieces kept for each Python worker; at more the table starts anew.
-KEPT_PIECES = 1_200_000
+KEPT_PIECES = 1_000_000
 #: Longer pieces are encoded each time and not kept.
 KEPT_BYTES = 64
 
@@ -51,7 +51,7 @@ class WordBpe:
         self.table = Table(18)
         self.flat = np.zeros(1 << 18, np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32)
         self.used = 0
-        self.first, self.count = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
+        self.first, self.count = np.zeros(1 << 17, np.int32), np.zeros(1 << 17, np.int32)
 
     @property
     def dtype(self) -> np.dtype:
