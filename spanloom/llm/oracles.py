@@ -88,3 +88,21 @@ SELECT w.doc_id, CAST(length(words) AS BIGINT) AS n_words, CAST(coalesce(length(
 FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id
 """
 )
+
+OP6 = (
+    r"""
+WITH RECURSIVE w AS (SELECT doc_id, """
+    + _WORDS
+    + r""" AS words FROM documents),
+grams AS (SELECT DISTINCT doc_id, gram FROM (
+  SELECT doc_id, array_to_string(words[i:i + 4], ' ') AS gram FROM (SELECT doc_id, words, unnest(range(1, length(words) - 3)) AS i FROM w WHERE length(words) >= 5)
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE length(words) BETWEEN 1 AND 4)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE c >= 0.8 * (p.n + q.n - c) - 1e-9),
+reach AS (SELECT doc_id, doc_id AS least FROM documents UNION SELECT l.y, r.least FROM reach r JOIN links l ON l.x = r.doc_id AND r.least < l.y),
+least AS (SELECT doc_id, min(least) AS class_id FROM reach GROUP BY doc_id),
+counted AS (SELECT x, count(*) AS n_links FROM links GROUP BY x)
+SELECT least.doc_id, class_id, coalesce(n_links, 0) AS n_links FROM least LEFT JOIN counted ON least.doc_id = x
+"""
+)

@@ -142,30 +142,53 @@ class AttentionMil:
         return float(np.mean(losses[-20:]))
 
 
+def learn(bags: list[tuple[int, np.ndarray]], **options) -> AttentionMil | None:
+    """A classifier from (label, features of its passages) bags; None without bags."""
+    if not bags:
+        return None
+    model = AttentionMil()
+    x = np.concatenate([b for _, b in bags])
+    bag = np.concatenate([[0], np.cumsum([len(b) for _, b in bags])])
+    model.fit(x, bag, np.array([y for y, _ in bags], np.float32), **options)
+    return model
+
+
 def train(pairs: list[tuple[int, str]], **options) -> AttentionMil | None:
     """A classifier from (label, text) pairs; None without pairs."""
-    if not pairs:
-        return None
-    model, parts, bags, at = AttentionMil(), [], [np.zeros(1, np.int64)], 0
-    for _, _, buf, offs in slices(pa.array([t for _, t in pairs], pa.large_string())):
+    bags, done = [], 0
+    for lo, hi, buf, offs in slices(pa.array([t for _, t in pairs], pa.large_string())):
         x, bag = passages(buf, offs)
-        parts.append(x)
-        bags.append(bag[1:] + at)
-        at += bag[-1]
-    model.fit(np.concatenate(parts), np.concatenate(bags), np.array([y for y, _ in pairs], np.float32), **options)
-    return model
+        bags += [(pairs[lo + i][0], x[bag[i] : bag[i + 1]]) for i in range(hi - lo)]
+        done = hi
+    assert done == len(pairs)
+    return learn(bags, **options)
+
 
+def spread(n: int, most: int) -> np.ndarray:
+    """At most so many of n places, evenly over all of them."""
+    return np.arange(n) if n <= most else (np.arange(most) * n + n // 2) // most
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 4000, most_chars: int = 16384, **options) -> AttentionMil | None:
-    """A classifier trained on at most most_docs labelled documents, drawn by a hash of their ids; of a text at most most_chars characters.
 
-    Labels are 0 or 1; rows with a null label, id or text are passed over.
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 4000, most_passages: int = 64, **options) -> AttentionMil | None:
+    """A classifier trained on at most most_docs labelled documents, drawn by a hash of their ids.
+
+    Of a document at most most_passages passages come to the driver, spread evenly over its whole
+    text, as features. Labels are 0 or 1; rows with a null label, id or text are passed over.
     """
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64(F.lit(8), F.col("key").cast("string")), "label").limit(most_docs)  # bounded, so it may be broadcast
-    d = docs.select(F.col(id_col).alias("key"), F.substr(text_col, F.lit(1), F.lit(most_chars)).alias("text")).filter(F.col("text").isNotNull())
-    rows = d.join(F.broadcast(drawn), "key").select("key", "label", "text").limit(2 * most_docs).collect()
-    return train([(r["label"], r["text"]) for r in sorted(rows, key=lambda r: (str(r["key"]), r["label"], r["text"]))], **options)
+    d = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, buf, offs in slices(batch.column(2)):
+                x, bag = passages(buf, offs)
+                parts = [x[bag[i] : bag[i + 1]][spread(int(bag[i + 1] - bag[i]), most_passages)].tobytes() for i in range(hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["key", "label", "features"])
+
+    rows = d.join(F.broadcast(drawn), "key").select(F.col("key").cast("string").alias("key"), "label", "text").mapInArrow(run, "key string, label int, features binary").limit(2 * most_docs).collect()  # repeated ids may give more rows than labels
+    rows.sort(key=lambda r: (r["key"], r["label"], bytes(r["features"])))
+    return learn([(r["label"], np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES)) for r in rows], **options)
 
 
 def score(docs: DataFrame, model: AttentionMil | None, *, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
