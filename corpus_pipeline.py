@@ -19,8 +19,12 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that have a language, by a network learnt from those not held out; texts that are null or without a letter go."""
-    return langid.keep_languages(docs, langid.fit(docs.filter(~fold(4, 2))))
+    """Documents in a language, by a network learnt from those not held out.
+
+    Texts go that are null, without a letter, or scored lower than held-out documents of their size.
+    """
+    model = langid.fit(docs.filter(~fold(4, 2)))
+    return langid.keep_languages(docs, model, floors=langid.floors(docs.filter(fold(4, 2)), model))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -250,17 +250,61 @@ def predict(docs: DataFrame, model: BiGru | None, *, id_col: str = "doc_id", tex
     return out.select(F.col("key").alias(id_col), F.col("label").alias(lang_col), F.col("score").alias(score_col))
 
 
-def keep_languages(docs: DataFrame, model: BiGru | None, *, text_col: str = "text", wanted: tuple[str, ...] | None = None, width: int = 64) -> DataFrame:
+def _letters(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Bytes of letters in each text."""
+    return np.diff(np.concatenate([[0], np.cumsum(_LETTER[buf])])[offs])
+
+
+def _size_class(letters: np.ndarray) -> np.ndarray:
+    return np.log2(np.maximum(letters, 1)).astype(np.int64)
+
+
+def floors_of(model: BiGru | None, texts: list[str], *, pieces: int = 4, most_lost: float = 0.001, width: int = 64, seed: int = 6) -> np.ndarray:
+    """The least score of a text in a language, by size (the logarithm of its letters): what all but a share of these texts reach.
+
+    A short text scores lower than a long one, so pieces of all lengths count, drawn from each text,
+    with the whole text. A size with too few of them to measure that share takes the next smaller
+    sizes in, and asks for no more than a larger one. Without texts nothing is asked for.
+    """
+    r, parts = np.random.default_rng(seed), list(texts)
+    for text in texts:
+        for n in (1 << k for k in range(1, len(text).bit_length())):
+            parts += [text[i : i + n] for i in r.permutation(len(text) - n + 1)[:pieces].tolist()]
+    if model is None or not parts:
+        return np.zeros(1)
+    raw = [x.encode() for x in parts]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    score = document_scores(model, buf, offs, width).max(axis=1)
+    size = _size_class(_letters(buf, offs))
+    out = np.ones(size.max() + 1)
+    for k in range(len(out)):
+        for least in range(k, -1, -1):
+            here = score[(size >= least) & (size <= k) & (score > 0)]
+            if len(here) * most_lost >= 1:
+                break
+        out[k] = np.quantile(here, most_lost, method="lower") if len(here) else 0
+    return np.minimum.accumulate(out[::-1])[::-1]
+
+
+def floors(docs: DataFrame, model: BiGru | None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_docs: int = 800, most_chars: int = 4096, **options) -> np.ndarray:
+    """floors_of() a sample of documents, which the network should not have been trained on."""
+    return floors_of(model, [t for _, t in sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, most_docs=most_docs, most_chars=most_chars)], **options)
+
+
+def keep_languages(docs: DataFrame, model: BiGru | None, *, text_col: str = "text", wanted: tuple[str, ...] | None = None, floors: np.ndarray | None = None, width: int = 64) -> DataFrame:
     """The rows whose text is in one of the wanted languages (any if None), all columns as they were.
 
     `und` is no language, so rows with a null text or without a letter go, and without a model all.
+    With floors() a text that scores under the floor of its size is in no language either.
     """
     held, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    least = np.zeros(1) if floors is None else floors
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in slices(batch.column(at)):
-                label, _ = label_slice(held.value, buf, offs, width)
-                yield batch.slice(lo, hi - lo).filter(pa.array([x != UNKNOWN and (wanted is None or x in wanted) for x in label], pa.bool_()))
+                label, score = label_slice(held.value, buf, offs, width)
+                sure = score >= least[np.minimum(_size_class(_letters(buf, offs)), len(least) - 1)]
+                yield batch.slice(lo, hi - lo).filter(pa.array([x != UNKNOWN and ok and (wanted is None or x in wanted) for x, ok in zip(label, sure.tolist(), strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,3 +1,4 @@
+import random
 import re
 
 import numpy as np
@@ -47,6 +48,17 @@ def test_stages_against_brute_force(spark):
     assert not any(re.search(r"@mail\d", t) for t in b.values())
 
 
+def test_language_rejects_what_is_in_no_language(spark):
+    sf, r = f"{DATA}/sf0.01", random.Random(1)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    letters = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    junk = [" ".join(letters() for _ in range(500)) for _ in range(10)] + [r.randbytes(1500).hex() for _ in range(10)]
+    odd = spark.createDataFrame([(200_000 + i, t, None, "src0", len(t)) for i, t in enumerate(junk)], docs.schema)
+    kept = {x["doc_id"] for x in corpus_pipeline.language(spark, docs.unionByName(odd), sf).select("doc_id").collect()}
+    assert not any(200_000 + i in kept for i in range(20))
+    assert len(kept) >= 0.995 * docs.filter("text rlike '[a-zA-Z]'").count()
+
+
 def test_run_reads_documents(spark):
     out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
