@@ -185,14 +185,13 @@ def align(q: Block, t: Block, *, most_error: float, least_votes: int, least_over
 BLOCK, BLOCK_BYTES = 1024, 4 << 20
 
 
-def search(prints: DataFrame, is_query, *, id_col: str, most_error: float = 0.2, least_votes: int = 2, least_overlap: int = 16, report: int = 5) -> DataFrame:
+def search(prints: DataFrame, is_query, *, id_col: str, most_error: float = 0.2, least_votes: int = 2, least_overlap: int = 16) -> DataFrame:
     """For each recording that is_query (a condition) holds for, the recordings aligned with it.
 
     prints are fingerprints(). Recordings with equal fingerprints are one class, whose least id
     stands for it; a class is matched once and its copies are counted. Returns <id_col>, class_id,
-    n_copies (others of its class), n_matches (recordings of other classes aligned with it; all of
-    them, none is capped) and, for the report's sake, the nearest of these classes: matches
-    array<struct<id,offset,votes,error>> by error, then id; offset is in frames, that of the
+    n_copies (others of its class), n_matches (recordings of other classes aligned with it) and all
+    of these classes, none is capped: matches array<struct<id,offset,votes,error>> by error, then id; offset is in frames, that of the
     match's place less that of the query's. Recordings without sound are in no class (null), have
     no copies and no matches. Blocks of queries meet blocks of all classes, and each task holds one
     of each. Repeated rows and null ids are recordings; a class of null ids alone has a null id.
@@ -231,8 +230,7 @@ def search(prints: DataFrame, is_query, *, id_col: str, most_error: float = 0.2,
                 for i in order:
                     r = rows.setdefault(int(qi[i]), [0, []])
                     r[0] += int(t.copies[ti[i]])
-                    if len(r[1]) < report:
-                        r[1].append({"error": float(error[i]), "id": tid[ti[i]], "offset": int(offset[i]), "votes": int(votes[i])})
+                    r[1].append({"error": float(error[i]), "id": tid[ti[i]], "offset": int(offset[i]), "votes": int(votes[i])})
                 yield pa.RecordBatch.from_pylist([{"cls": qc[k], "n": r[0], "best": r[1]} for k, r in rows.items()], schema=shape)
 
     near = f"array<struct<error:double,id:{kind},offset:bigint,votes:bigint>>"
@@ -241,8 +239,8 @@ def search(prints: DataFrame, is_query, *, id_col: str, most_error: float = 0.2,
 
     shape = to_arrow_schema(_parse_datatype_string(f"struct<cls:string,n:bigint,best:{near}>"))
     found = blobs.select("queries", "targets").mapInArrow(run, f"cls string, n bigint, best {near}")
-    # of each class as many rows as there are blocks, each with its nearest
-    found = found.groupBy("cls").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("best"))), F.lit(1), F.lit(report)).alias("best"))
+    # of each class as many rows as there are blocks
+    found = found.groupBy("cls").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
     known = classes.select("cls", "id", "copies").join(found, "cls", "left")
     out = p.filter("asks").select("key", "cls").join(known, "cls", "left")
     return out.select(

@@ -80,3 +80,12 @@ def test_rendered_vectors(spark):
     df = spark.createDataFrame([(1, [float(x) for x in v]), (2, None), (3, [])], "vec_id long, embedding array<float>")
     got = {r["vec_id"]: r["n"] for r in chroma.fingerprints(df, id_col="vec_id", audio_col="embedding", decode=chroma.render).collect()}
     assert got[1] == len(a) and got[2] == got[3] == 0
+
+
+def test_all_matches_are_listed(spark):
+    r = np.random.default_rng(3)
+    base = r.normal(0, 1, 64)
+    rows = [(i, [float(x) for x in base + r.normal(0, 0.02, 64)]) for i in range(12)]
+    prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, v array<float>"), id_col="id", audio_col="v", decode=chroma.render)
+    got = chroma.search(prints, F.col("id") == 0, id_col="id", most_error=0.4).first()
+    assert got["n_matches"] > 5 and len(got["matches"]) == got["n_matches"]
