@@ -8,8 +8,8 @@ wherever they stand. Three steps:
 1. Each chunk sends its distinct anchors, dealt by hash; those of one chunk alone can start no
    repeat between chunks and go no further.
 2. Each chunk sends the words around its other anchors. They are dealt by the prefix of the suffix
-   there: the anchor's k words as a rule; where more chunks hold an anchor than fit a group, the
-   prefix grows to the whole window. In a group, the suffixes that start at the windows of an
+   there: the anchor's k words as a rule; where an anchor has more chunks or windows than fit a
+   group, the prefix grows to the whole window. In a group, the suffixes that start at the windows of an
    anchor are sorted, the common lengths of neighbours give the suffix tree, and its nodes at the
    depth of a window or more are the repeats, with the least document of each. (What repeats beyond
    a window is covered by the next windows' nodes.)
@@ -38,6 +38,8 @@ CHUNK_BYTES = 1 << 20
 TASK_ANCHORS, LEAST_TASKS = 1_000_000, 64
 #: An anchor of more chunks has its prefix grown.
 GROUP_CHUNKS = 100_000
+#: So has an anchor of more windows: a group holds 52 bytes and some copies of each.
+GROUP_WINDOWS = 1_000_000
 #: The id of rows without one.
 NO_ID = np.iinfo(np.int64).max
 
@@ -121,12 +123,12 @@ def _anchor_rows(window: int, k: int, tasks: int):
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("blob"), strict=True):
                 c = Chunk(blob.as_buffer(), window)
                 where, grams = c.anchors(window, k)
-                h = np.unique(grams[np.unique(where)])
+                h, n = np.unique(grams[where], return_counts=True)
                 task = (h >> np.uint64(33)) % np.uint64(tasks)
                 order = np.argsort(task, kind="stable")
-                h, task = h[order], task[order].astype(np.int64)
+                h, n, task = h[order], n[order].astype(np.uint32), task[order].astype(np.int64)
                 cut, ends = _runs(task)
-                yield pa.RecordBatch.from_arrays([pa.array(task[cut]), pa.array(np.full(len(cut), chunk)), pa.array([h[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary())], names=["task", "chunk", "anchors"])
+                yield pa.RecordBatch.from_arrays([pa.array(task[cut]), pa.array(np.full(len(cut), chunk)), *(pa.array([v[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for v in (h, n))], names=["task", "chunk", "anchors", "windows"])
 
     return run
 
@@ -146,16 +148,23 @@ def _by_chunk(chunk: np.ndarray, *values: np.ndarray) -> pa.Table:
     return pa.Table.from_arrays([pa.array(chunk[cut].astype(np.int64)), *columns], names=["chunk", *"vw"[: len(values)]])
 
 
-def _shared_anchors(table: pa.Table) -> pa.Table:
-    """Anchors of two chunks or more, for each of their chunks, with the number of chunks."""
-    h, n = _numbers(table.column("anchors"), np.uint64)
-    chunk = np.repeat(table.column("chunk").to_numpy(), n)
-    order = np.argsort(h, kind="stable")
-    h, chunk = h[order], chunk[order]
-    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
-    count = count[back]
-    more = count > 1
-    return _by_chunk(chunk[more], h[more], np.minimum(count[more], 2**31 - 1).astype(np.int32))
+def _shared_anchors(most_windows: int):
+    """Anchors of two chunks or more, for each of their chunks, with the number of chunks; the greatest number where the windows are too many."""
+
+    def run(table: pa.Table) -> pa.Table:
+        h, n = _numbers(table.column("anchors"), np.uint64)
+        windows, _ = _numbers(table.column("windows"), np.uint32)
+        chunk = np.repeat(table.column("chunk").to_numpy(), n)
+        order = np.argsort(h, kind="stable")
+        h, chunk, windows = h[order], chunk[order], windows[order]
+        _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+        total = np.bincount(back, windows)[back] if len(back) else np.zeros(0)
+        count = np.where(total > most_windows, 2**31 - 1, count[back])
+        more = count > 1
+        more &= np.bincount(back)[back] > 1 if len(back) else more
+        return _by_chunk(chunk[more], h[more], np.minimum(count[more], 2**31 - 1).astype(np.int32))
+
+    return run
 
 
 def _record_rows(window: int, k: int, groups: int, most_chunks: int):
@@ -315,8 +324,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()["bytes"]
     tasks = max(LEAST_TASKS, total // 30 // TASK_ANCHORS)  # a word in 5 or 6 is an anchor
     blobs = chunks.select("chunk", "blob")
-    anchors = blobs.mapInArrow(_anchor_rows(window, k, tasks), "task bigint, chunk bigint, anchors binary")
-    shared = written(anchors.groupBy("task").applyInArrow(_shared_anchors, "chunk bigint, v binary, w binary"), "anchors")
+    anchors = blobs.mapInArrow(_anchor_rows(window, k, tasks), "task bigint, chunk bigint, anchors binary, windows binary")
+    shared = written(anchors.groupBy("task").applyInArrow(_shared_anchors(GROUP_WINDOWS), "chunk bigint, v binary, w binary"), "anchors")
     records = blobs.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_record_rows(window, k, tasks, GROUP_CHUNKS), "grp bigint, chunk bigint, words binary, lengths binary, docs binary")
     gone = written(records.groupBy("grp").applyInArrow(_trees(window), "chunk bigint, v binary"), "repeats")
     out = blobs.groupBy("chunk").cogroup(gone.groupBy("chunk")).applyInArrow(_cutter(window, pa.int64()), "key bigint, n_words bigint, n_removed bigint, kept string")

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from spanloom.llm import suffix_dedup
@@ -63,3 +64,10 @@ def test_tree_nodes():
     assert [x.tolist() for x in deep_nodes(lcp, 3)] == [[1, 4], [3, 7]]
     assert [x.tolist() for x in deep_nodes(lcp, 1)] == [[0, 4], [4, 7]]
     assert [x.tolist() for x in deep_nodes(common_lengths(rows[:0]), 1)] == [[], []]
+
+
+def test_prefix_grows_by_windows():
+    h = np.array([5, 9], np.uint64).tobytes()
+    table = pa.table({"chunk": [1, 2], "anchors": [h, h], "windows": [np.array(x, np.uint32).tobytes() for x in ([60, 1], [60, 1])]})
+    got = suffix_dedup._shared_anchors(100)(table)
+    assert [np.frombuffer(x, np.int32).tolist() for x in got.column("w").to_pylist()] == [[2**31 - 1, 2]] * 2
