@@ -242,3 +242,13 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert got == {i: "NIN [REDACTED] here" for i in range(20)}
     timed = streaming.redact_stream(rows.withColumn("ts", F.timestamp_seconds(F.col("doc_id") * 60)))
     assert sum(r["n"] for r in streaming.type_counts(timed).collect()) == 20
+
+
+def test_evaluation_reads_forms_of_any_key(spark, monkeypatch):
+    from spanloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    want = queries._runs(spark, sf)[0].count()
+    moved = queries.forms(spark, sf).withColumn("doc_id", F.col("doc_id") + 2_000_000_000)
+    monkeypatch.setattr(queries, "forms", lambda *_: moved)
+    assert queries._runs(spark, sf)[0].count() == want > 0
