@@ -36,8 +36,9 @@ def read_names(spark: SparkSession, path: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", "array<string>")).alias("name"))
 
 
-def listed_names(texts: DataFrame, names: DataFrame, *, key: str = "doc_id", text: str = "text", most_words: int = 4) -> DataFrame:
+def listed_names(texts: DataFrame, names: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """D15 for lists too long for a pattern: word sequences joined with the names, in any case; of those that start at a place the longest."""
+    most_words = max(1, names.agg(F.max(F.size(F.split("name", " ")))).first()[0] or 1)
     parts = F.split(F.regexp_replace(text, r"(?U)[^\w'’-]", " "), " ")
     w = texts.select(key, parts.alias("w")).withColumn("i", F.explode(F.sequence(F.lit(0), F.size("w") - 1)))
     starts = w.withColumn("start", F.aggregate(F.slice("w", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x) + 1))

@@ -252,3 +252,9 @@ def test_evaluation_reads_forms_of_any_key(spark, monkeypatch):
     moved = queries.forms(spark, sf).withColumn("doc_id", F.col("doc_id") + 2_000_000_000)
     monkeypatch.setattr(queries, "forms", lambda *_: moved)
     assert queries._runs(spark, sf)[0].count() == want > 0
+
+
+def test_listed_names_of_many_words(spark):
+    texts = spark.createDataFrame([(1, "So Ann Bea Cy Dee Eve Fay said")], "doc_id long, text string")
+    names = spark.createDataFrame([("ann bea cy dee eve fay",)], "name string")
+    assert [(r["start"], r["text"]) for r in gazetteer.listed_names(texts, names).collect()] == [(3, "Ann Bea Cy Dee Eve Fay")]
