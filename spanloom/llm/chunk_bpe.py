@@ -150,11 +150,7 @@ class ChunkBpe:
     def encode(self, texts: pa.Array):
         """(first row, end row, ids, n + 1 offsets of the rows' ids) for slices of a column."""
         for lo, hi, buf, offs in slices(texts):
-            data = buf.tobytes()
-            if any(s in data for s in self.word.special):
-                yield lo, hi, *self.word.encode_slice(buf, offs)
-            else:
-                yield lo, hi, *self._slice(buf, offs, data)
+            yield lo, hi, *self.word.apart(buf, offs, buf.tobytes(), self._slice)
 
     def _slice(self, buf: np.ndarray, offs: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         at = np.concatenate([cuts(buf, offs, self.mean), [len(buf)]]).astype(np.int64)

@@ -2,8 +2,9 @@
 
 Each document's numbers are counted in numpy; rules over them give failures. Failures are summed by
 host, each rule's rates over all hosts give a beta prior (by moments), and a host's rate is shrunk
-towards it: a host of few documents keeps close to the mean of all. Hosts over the limit for a rule
-are refused, and so are all their documents.
+towards it: a host of few documents keeps close to the mean of all. A host is refused, with all its
+documents, if its shrunken rate for a rule lies over the mean of all hosts by more than a margin and
+twice the rate's own deviation: by what it is known to differ, and not by how much fails everywhere.
 """
 
 from __future__ import annotations
@@ -13,19 +14,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .shared import written
-from .textbuf import BYTE_KEY, Spans, points, sequence_hash, slices, words
+from .textbuf import Packed, points, slices, windows, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 
 
-def _repeats(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which entries are equal to another one, and which to an earlier one."""
-    order = np.argsort(h, kind="stable")
-    same = np.zeros(len(h) + 1, bool)
-    same[1:-1] = h[order[1:]] == h[order[:-1]]
-    found, later = np.zeros(len(h), bool), np.zeros(len(h), bool)
+def _again(row: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which entries are equal to another one of their row, and which to an earlier one (entries are in order)."""
+    order = np.lexsort((np.arange(len(row)), number, row))
+    same = np.zeros(len(row) + 1, bool)
+    same[1:-1] = (number[order[1:]] == number[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+    found, later = np.zeros(len(row), bool), np.zeros(len(row), bool)
     found[order] = same[:-1] | same[1:]
     later[order] = same[:-1]
     return found, later
@@ -35,17 +36,16 @@ def count_slice(buf: np.ndarray, offs: np.ndarray, window: int = 5) -> dict[str,
     """COUNTS for each text of a slice."""
     n = len(offs) - 1
     start, end, first = words(buf, offs)
-    chars, spans = points(buf), Spans(buf)
+    chars = points(buf)
     sums = np.zeros(len(start) + 1, np.int64)
     np.cumsum(chars[end] - chars[start], out=sums[1:])
     symbols = np.zeros(len(buf) + 1, np.int64)
     np.cumsum(_SYMBOL[buf], out=symbols[1:])
-    # windows of words, told apart by row
+    # windows of words
     row = np.repeat(np.arange(n), np.diff(first))
-    h = sequence_hash(spans.hash(start, end), window)
-    inside = row[: len(h)] == row[window - 1 :] if len(h) else np.zeros(0, bool)
-    at = np.flatnonzero(inside)
-    found, _ = _repeats(h[at] ^ BYTE_KEY[0] * row[at].astype(np.uint64))
+    word = Packed.of(buf, start, end)
+    at, number = windows(word.numbers(), row, window, word.hash)
+    found, _ = _again(row[at], number)
     cover = np.zeros(len(start) + 1, np.int64)
     np.add.at(cover, at[found], 1)
     np.add.at(cover, at[found] + window, -1)
@@ -62,7 +62,7 @@ def count_slice(buf: np.ndarray, offs: np.ndarray, window: int = 5) -> dict[str,
     ls, le, lrow = ls[solid], le[solid], lrow[solid]
     order = np.argsort(ls, kind="stable")
     ls, le, lrow = ls[order], le[order], lrow[order]
-    _, later = _repeats(spans.hash(ls, le) ^ BYTE_KEY[1] * lrow.astype(np.uint64))
+    _, later = _again(lrow, Packed.of(buf, ls, le).numbers())
     return {
         "n_words": np.diff(first),
         "word_chars": sums[first[1:]] - sums[first[:-1]],
@@ -108,13 +108,15 @@ def prior(n: int, rate: float, square: float, inverse: float) -> tuple[float, fl
     return m * strength, (1 - m) * strength
 
 
-def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = 5, most_rate: float = 0.8) -> DataFrame:
+def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", window: int = 5, margin: float = 0.2, deviations: float = 2.0) -> DataFrame:
     """<id_col>, the COUNTS (long), base_failed and kept (boolean) of every row.
 
-    kept is false for rows that fail the base rule and for rows of a host whose shrunken rate for
-    any rule is over most_rate. A null or empty text has no words and fails the base rule. Rows with
-    a null host are judged by themselves alone, and are no host. Repeated rows count each time. An
-    empty table gives no rows. Only the three named columns are read.
+    kept is false for rows that fail the base rule and for rows of a refused host: one whose
+    shrunken rate for any rule, less so many deviations of it, is over the hosts' mean rate by more
+    than the margin (at the very margin it stays). Each host counts once in that mean. A null or
+    empty text has no words and fails the base rule. Rows with a null host are judged by themselves
+    alone, and are no host. Repeated rows count each time. An empty table gives no rows. Only the
+    three named columns are read.
     """
     three = docs.select(F.col(id_col).alias("key"), F.col(host_col).cast("string").alias("host"), F.col(text_col).alias("text"))
     kind = three.schema["key"].dataType.simpleString()
@@ -126,7 +128,8 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     refused = F.lit(False)
     for r in failing:
         a, b = prior(moments["hosts"], moments[f"{r}_1"] or 0.0, moments[f"{r}_2"] or 0.0, moments["inverse"] or 0.0)
-        refused = refused | ((F.col(r) + a) / (F.col("n") + (a + b)) > most_rate)
+        rate = (F.col(r) + a) / (F.col("n") + (a + b))
+        refused = refused | (rate - deviations * F.sqrt(rate * (1 - rate) / (F.col("n") + (a + b + 1))) > (moments[f"{r}_1"] or 0.0) + margin)
     bad = hosts.filter(refused).select("host", F.lit(True).alias("refused"))
     out = counted.join(bad, "host", "left").withColumn("base_failed", failing["base"])
     return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & F.col("refused").isNull()).alias("kept"))

@@ -119,13 +119,22 @@ class BiGru:
                 dh = dh * z + u.T @ dg
         return loss, g
 
-    def fit(self, ids: np.ndarray, label: np.ndarray, weight: np.ndarray, *, rounds: int, batch: int = 256, rate: float = 0.02, seed: int = 9) -> float:
-        """Adam with a falling rate over so many batches of windows (time, window); the last batches' mean loss."""
+    def fit(self, ids: np.ndarray, label: np.ndarray, weight: np.ndarray, *, rounds: int, batch: int = 256, rate: float = 0.02, seed: int = 9, text: np.ndarray | None = None) -> float:
+        """Adam with a falling rate over so many batches of windows (time, window); the last batches' mean loss.
+
+        text: the number of each window's text (in order). Batches draw a text, then any window of it, so a long text doesn't outweigh the others.
+        """
         r = np.random.default_rng(seed)
+        first = None if text is None else np.flatnonzero(np.concatenate([[True], np.diff(text) != 0]))
+        size = None if text is None else np.diff(np.append(first, len(text)))
         m, v, losses = {k: 0 for k in self.w}, {k: 0 for k in self.w}, []
         for i in range(1, rounds + 1):
-            pick = r.integers(0, ids.shape[1], batch)
-            loss, g = self.gradients(ids[:, pick], label[pick], weight[:, pick])
+            if text is None:
+                pick = r.integers(0, ids.shape[1], batch)
+            else:
+                one = r.integers(0, len(first), batch)
+                pick = first[one] + (r.random(batch) * size[one]).astype(np.int64)
+            loss, g = self.gradients(ids[:, pick], label[pick], weight[:, pick].astype(np.float32))
             norm = sum(float((x * x).sum()) for x in g.values()) ** 0.5
             for k in self.w:
                 x = g[k] * min(1.0, 1.0 / (norm + 1e-9))
@@ -165,10 +174,10 @@ def document_scores(model: BiGru, buf: np.ndarray, offs: np.ndarray, width: int,
     return p
 
 
-def sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, most_docs: int, most_chars: int, seed: int = 3) -> list[tuple[str, str]]:
-    """At most about most_docs (label, text) pairs, as many of each label as there are, drawn by a hash of id and text.
+def sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, most_docs: int, seed: int = 3) -> list[tuple[str, str]]:
+    """At most about most_docs (label, whole text) pairs, as many of each label as there are, drawn by a hash of id and text.
 
-    A longer text gives a run of most_chars characters from a place drawn the same way.
+    Of equal pairs of label and text one is drawn.
     """
     two = docs.filter(F.col(label_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col)).alias("h"))
     counts = {r["label"]: r["count"] for r in two.groupBy("label").count().collect()}
@@ -180,37 +189,33 @@ def sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, most_
     for label, n in counts.items():
         share = F.when(F.col("label") == label, F.lit(min(1.0, 1.3 * each / n + 20 / n))).otherwise(share)
     drawn = two.filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-    start = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - most_chars + 1, F.lit(1)).cast("bigint")).cast("int")
-    rows = drawn.orderBy("h").limit(2 * most_docs + 100).select("label", F.substr("text", start + 1, F.lit(most_chars)).alias("text")).collect()
-    out, held = [], dict.fromkeys(counts, 0)
+    rows = drawn.orderBy("h", "label").limit(2 * most_docs + 100).select("label", "text").collect()
+    out, held, seen = [], dict.fromkeys(counts, 0), set()
     for r in rows:
-        if held[r["label"]] < each:
+        pair = (r["label"], r["text"])
+        if held[r["label"]] < each and pair not in seen:
             held[r["label"]] += 1
-            out.append((r["label"], r["text"]))
+            seen.add(pair)
+            out.append(pair)
     return out
 
 
-def train(pairs: list[tuple[str, str]], *, width: int = 64, hidden: int = 8, rounds: int = 300, windows: int = 16, seed: int = 4) -> BiGru | None:
-    """A network from (label, text) pairs, of each text so many windows; None without pairs."""
+def train(pairs: list[tuple[str, str]], *, width: int = 64, hidden: int = 8, rounds: int = 300) -> BiGru | None:
+    """A network from (label, text) pairs, all windows of whole texts; None without pairs."""
     if not pairs:
         return None
-    labels, r = sorted({a for a, _ in pairs}), np.random.default_rng(seed)
-    ids, label, weight = [], [], []
-    for name, text in pairs:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        x, _, s = cut(raw, np.array([0, len(raw)]), width)
-        k = r.permutation(x.shape[1])[:windows]
-        ids.append(x[:, k])
-        weight.append(s[:, k])
-        label += [labels.index(name)] * len(k)
+    labels = sorted({a for a, _ in pairs})
+    raw = [t.encode() for _, t in pairs]
+    buf, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    ids, row, letters = cut(buf, offs, width)
     model = BiGru(labels, hidden)
-    model.fit(np.concatenate(ids, 1), np.array(label), np.concatenate(weight, 1).astype(np.float32), rounds=rounds)
+    model.fit(ids, np.array([labels.index(a) for a, _ in pairs])[row], letters, rounds=rounds, text=row)
     return model
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_docs: int = 1600, most_chars: int = 4096, **options) -> BiGru | None:
-    """A network trained on at most about most_docs documents with a label, each label as often as there are documents for it."""
-    return train(sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, most_docs=most_docs, most_chars=most_chars), **options)
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_docs: int = 1200, **options) -> BiGru | None:
+    """A network trained on the whole texts of at most about most_docs documents with a label, each label as often as there are documents for it."""
+    return train(sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, most_docs=most_docs), **options)
 
 
 def label_slice(model: BiGru | None, buf: np.ndarray, offs: np.ndarray, width: int) -> tuple[list[str], np.ndarray]:
@@ -286,9 +291,9 @@ def floors_of(model: BiGru | None, texts: list[str], *, pieces: int = 4, most_lo
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
-def floors(docs: DataFrame, model: BiGru | None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_docs: int = 800, most_chars: int = 4096, **options) -> np.ndarray:
-    """floors_of() a sample of documents, which the network should not have been trained on."""
-    return floors_of(model, [t for _, t in sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, most_docs=most_docs, most_chars=most_chars)], **options)
+def floors(docs: DataFrame, model: BiGru | None, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", most_docs: int = 600, **options) -> np.ndarray:
+    """floors_of() the whole texts of a sample of documents, which the network should not have been trained on."""
+    return floors_of(model, [t for _, t in sample(docs, id_col=id_col, text_col=text_col, label_col=label_col, most_docs=most_docs)], **options)
 
 
 def keep_languages(docs: DataFrame, model: BiGru | None, *, text_col: str = "text", wanted: tuple[str, ...] | None = None, floors: np.ndarray | None = None, width: int = 64) -> DataFrame:

@@ -3,17 +3,15 @@
 Lines are exploded with their positions and normalised to a key, of which only a 128-bit hash is
 shuffled. Distinct documents are counted for each hash in two steps (by hash and document first, so
 a line of a third of all documents is spread), the positions of lines over the threshold come back
-to their document, and what stands between these positions is joined again in order.
+to their document (those of the most frequent lines by broadcast), and what stands between these
+positions is joined again in order.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import written
-
-#: Tasks for the places of one line.
-SALTS = 16
+from .shared import join_on, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -38,15 +36,14 @@ def drop_common_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     counts names two more columns for the numbers of lines and of dropped lines (they take the
     place of columns with those names). An empty table gives no rows.
     """
-    known = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("at", F.xxhash64("text"))
-    exploded = known.select("id", "at", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).select("id", "at", "pos", line_key(F.col("line")).alias("key"))
+    known = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")).withColumn("at", F.xxhash64(F.coalesce(F.col("row").getField(text_col), F.lit(""))))
+    exploded = known.select("id", "at", F.posexplode(_lines(F.col("row").getField(text_col))).alias("pos", "line")).select("id", "at", "pos", line_key(F.col("line")).alias("key"))
     lines = written(exploded.filter(F.char_length("key") >= min_chars).select("id", "at", "pos", F.xxhash64("key").alias("h"), F.xxhash64(F.lit(7), F.col("key")).alias("g")), "lines")
     common = lines.select("h", "g", "id", "at").distinct().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs).select("h", "g")
-    # a line of many documents is spread over SALTS tasks
-    salted = common.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    gone = lines.withColumn("salt", F.pmod("at", F.lit(SALTS)).cast("int")).join(salted, ["h", "g", "salt"], "left_semi").groupBy("id", "at").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
+    gone = join_on(lines, written(common, "common"), ["h", "g"], "left_semi").groupBy("id", "at").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
     k, g = known.alias("k"), gone.alias("g")
-    both = k.join(g, F.col("k.id").eqNullSafe(F.col("g.id")) & (F.col("k.at") == F.col("g.at")), "left").select("row", "text", F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    both = k.join(g, F.col("k.id").eqNullSafe(F.col("g.id")) & (F.col("k.at") == F.col("g.at")), "left")
+    both = both.select("row", F.coalesce(F.col("row").getField(text_col), F.lit("")).alias("text"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     both = both.withColumn("lines", _lines(F.col("text"))).withColumn("edges", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines"))))
     between = F.transform(F.sequence(F.lit(1), F.size("edges") - 1), lambda j: F.slice("lines", F.get("edges", j - 1) + 2, F.get("edges", j) - F.get("edges", j - 1) - 1))
     kept = F.when(F.size("gone") == 0, F.col("text")).otherwise(F.array_join(F.flatten(between), "\n"))

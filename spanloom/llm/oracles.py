@@ -32,9 +32,10 @@ f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base, 100
 hosts AS (SELECT source, rule, count(*) AS n, count(*) FILTER (failed) AS bad
           FROM (SELECT source, unnest(['base', 'symbols', 'dup_lines']) AS rule, unnest([base, symbols, dup_lines]) AS failed FROM f WHERE source IS NOT NULL) GROUP BY source, rule),
 m AS (SELECT rule, count(*) AS hosts, avg(bad / n) AS r1, avg((bad / n) ** 2) AS r2, avg(1 / n) AS inv, least(greatest(avg(bad / n), 0.0001), 0.9999) AS m FROM hosts GROUP BY rule),
-p AS (SELECT rule, m, CASE WHEN hosts < 2 THEN 1.0 WHEN r2 - r1 * r1 - m * (1 - m) * inv <= 0 THEN 1e6
+p AS (SELECT rule, m, r1, CASE WHEN hosts < 2 THEN 1.0 WHEN r2 - r1 * r1 - m * (1 - m) * inv <= 0 THEN 1e6
                            ELSE least(greatest(m * (1 - m) / (r2 - r1 * r1 - m * (1 - m) * inv) - 1, 0.1), 1e6) END AS strength FROM m),
-refused AS (SELECT DISTINCT source FROM hosts JOIN p ON hosts.rule = p.rule WHERE (bad + m * strength) / (n + strength) > 0.8)
+rated AS (SELECT source, r1, n + strength AS weight, (bad + m * strength) / (n + strength) AS rate FROM hosts JOIN p ON hosts.rule = p.rule),
+refused AS (SELECT DISTINCT source FROM rated WHERE rate - 2 * sqrt(rate * (1 - rate) / (weight + 1)) > r1 + 0.2)
 SELECT doc_id, n_words, word_chars, n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, n_repeat_words, CAST(n_lines AS BIGINT) AS n_lines,
        base AS base_failed, NOT base AND refused.source IS NULL AS kept
 FROM f LEFT JOIN refused ON f.source = refused.source

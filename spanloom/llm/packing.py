@@ -18,6 +18,10 @@ from .shared import written
 from .textbuf import ranges
 
 
+#: Partitions whose starts are sent to all executors, 16 bytes each; beyond that they are joined by a shuffle.
+MOST_BROADCAST = 1 << 20
+
+
 def _encoder(spec, end_id: int):
     def run(batches):
         w, part, before = wordbpe.tokenizer(spec.value), TaskContext.get().partitionId(), 0
@@ -95,10 +99,12 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", win
     two = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     key = two.schema["key"].dataType.simpleString()
     coded = written(two.mapInArrow(_encoder(spec, end_id), f"key {key}, part bigint, before bigint, n bigint, ids binary"), "packed")
-    # one row for each partition of the input
+    # one row for each partition of the input, so its number is that of the driver's own tasks; it is sent to all only while it is small
     totals = sorted((r["part"], r["total"]) for r in coded.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("total")).collect())
     base = np.concatenate([[0], np.cumsum([t for _, t in totals], dtype=np.int64)])[: len(totals)].tolist()
     starts = spark.createDataFrame([(p, b) for (p, _), b in zip(totals, base, strict=True)], "part bigint, base bigint")
-    placed = coded.join(F.broadcast(starts), "part").select("key", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
+    if len(totals) <= MOST_BROADCAST:
+        starts = F.broadcast(starts)
+    placed = coded.join(starts, "part").select("key", (F.col("base") + F.col("before")).alias("first"), "n", "ids")
     out = placed.mapInArrow(_cutter(window), f"key {key}, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, offset bigint, ids binary")
     return out.withColumnRenamed("key", id_col)

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textbuf import Spans, slices, words
+from .textbuf import Packed, ranges, slices, words
 
 #: Words of a passage.
 PASSAGE_WORDS = 64
@@ -52,10 +52,10 @@ def passages(buf: np.ndarray, offs: np.ndarray, size: int = PASSAGE_WORDS) -> tu
     # pairs of classes within each passage
     pair = _CLASS[buf[:-1]].astype(np.int64) * _N + _CLASS[buf[1:]]
     at = np.repeat(owner * (_N * _N), np.maximum(stop - start[lead] - 1, 0))
-    where = _within(start[lead], np.maximum(stop - start[lead] - 1, 0))
+    where = ranges(start[lead], np.maximum(stop - start[lead] - 1, 0))
     pairs = np.bincount(at + pair[where], minlength=len(out) * _N * _N).reshape(len(out), _N * _N)
     out[:, : _N * _N] = pairs / np.maximum(pairs.sum(axis=1, keepdims=True), 1)
-    h = Spans(buf).hash(start, end)
+    h = Packed.of(buf, start, end).numbers()
     total = np.bincount(passage, minlength=len(out))
     same = np.zeros(len(h), bool)
     same[1:] = (h[1:] == h[:-1]) & (row[1:] == row[:-1])
@@ -74,11 +74,6 @@ def passages(buf: np.ndarray, offs: np.ndarray, size: int = PASSAGE_WORDS) -> tu
     return out, bag
 
 
-def _within(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    before = np.cumsum(length) - length
-    return np.repeat(start - before, length) + np.arange(int(length.sum()))
-
-
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
@@ -132,7 +127,7 @@ class AttentionMil:
         m, v, losses, n = {k: 0 for k in self.w}, {k: 0 for k in self.w}, [], np.diff(bag)
         for i in range(1, rounds + 1):
             pick = r.integers(0, len(y), batch)
-            loss, g = self.gradients(x[_within(bag[pick], n[pick])], np.concatenate([[0], np.cumsum(n[pick])]), y[pick])
+            loss, g = self.gradients(x[ranges(bag[pick], n[pick])], np.concatenate([[0], np.cumsum(n[pick])]), y[pick])
             for k in self.w:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.99 * v[k] + 0.01 * g[k] * g[k]
@@ -164,37 +159,35 @@ def train(pairs: list[tuple[int, str]], **options) -> AttentionMil | None:
     return learn(bags, **options)
 
 
-def spread(n: int, most: int) -> np.ndarray:
-    """At most so many of n places, evenly over all of them."""
-    return np.arange(n) if n <= most else (np.arange(most) * n + n // 2) // most
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 4000, most_passages: int = 64, **options) -> AttentionMil | None:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_docs: int = 2000, **options) -> AttentionMil | None:
     """A classifier trained on at most most_docs labelled documents, drawn by a hash of their ids.
 
-    Of a document at most most_passages passages come to the driver, spread evenly over its whole
-    text, as features. Labels are 0 or 1; rows with a null label, id or text are passed over.
+    All passages of their whole texts count; they come to the driver as features, about twice the
+    text's bytes. Labels are 0 or 1; rows with a null label, id or text are passed over. Of several
+    rows with one id (and label) the text with the least hash counts.
     """
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label"))
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).distinct()
     drawn = known.orderBy(F.xxhash64(F.lit(8), F.col("key").cast("string")), "label").limit(most_docs)  # bounded, so it may be broadcast
     d = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    one = d.join(F.broadcast(drawn), "key").groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
 
     def run(batches):
         for batch in batches:
             for lo, hi, buf, offs in slices(batch.column(2)):
                 x, bag = passages(buf, offs)
-                parts = [x[bag[i] : bag[i + 1]][spread(int(bag[i + 1] - bag[i]), most_passages)].tobytes() for i in range(hi - lo)]
+                parts = [x[bag[i] : bag[i + 1]].tobytes() for i in range(hi - lo)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(parts, pa.binary())], names=["key", "label", "features"])
 
-    rows = d.join(F.broadcast(drawn), "key").select(F.col("key").cast("string").alias("key"), "label", "text").mapInArrow(run, "key string, label int, features binary").limit(2 * most_docs).collect()  # repeated ids may give more rows than labels
-    rows.sort(key=lambda r: (r["key"], r["label"], bytes(r["features"])))
+    rows = one.select(F.col("key").cast("string").alias("key"), "label", "x.text").mapInArrow(run, "key string, label int, features binary").collect()
+    rows.sort(key=lambda r: (r["key"], r["label"]))
     return learn([(r["label"], np.frombuffer(r["features"], np.float32).reshape(-1, N_FEATURES)) for r in rows], **options)
 
 
 def score(docs: DataFrame, model: AttentionMil | None, *, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
     """<id_col>, score (double, 0 to 1: higher, label 1 is likelier), n_passages and top_passage (long: the number of the passage that weighs most) of every row.
 
-    Whole texts are read. A null or empty text is one passage without words, scored like any other.
+    Whole texts are read. A null or empty text is one passage without words, scored like any other;
+    of passages that weigh the same the first is top_passage.
     Without a model every score is 0.5. Repeated rows get equal scores; an empty table gives no
     rows. Only the two named columns are read.
     """

@@ -1,4 +1,4 @@
-"""Vectorised views of text columns: byte buffers, word spans and span hashes in numpy.
+"""Vectorised views of text columns: byte buffers, word spans and what tells spans apart, in numpy.
 
 Everything works on slices of an Arrow string column: the texts' UTF-8 bytes end to end, with an
 offset per row. A slice is bounded in bytes, so the arrays made from it are bounded too, whatever
@@ -7,7 +7,8 @@ the length of an Arrow batch. A single longer text makes a slice of its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,50 +19,110 @@ SLICE_BYTES = 1 << 19
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_rng = np.random.default_rng(20240229)
-#: A random 64-bit number for each byte.
-BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _ladder(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse, modulo 2**64, n of each."""
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        _powers[:] = [_ladder(_P, size), _ladder(_P_INV, size)]
-    return _powers[0][:n], _powers[1][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finish for 64-bit hashes, so that any of their bits can be used."""
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    h = h ^ (h >> np.uint64(27))
+    h = h * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(30))
+
+
+#: Spans of so many bytes are kept as they are; of longer ones a digest.
+PACKED = 16
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
+class Packed:
+    """What tells spans of bytes apart: their length and 128 bits, which are the bytes where they fit, else their BLAKE2 digest.
 
-class Spans:
-    """Hashes of any spans of one buffer, each from two prefix sums."""
+    hash mixes these to 64 bits. Two spans are equal if length and all bits are; equal hashes alone don't say so.
+    """
 
-    def __init__(self, buf: np.ndarray, key: np.ndarray = BYTE_KEY):
-        up, self.down = powers(len(buf) + 1)
-        self.total = np.zeros(len(buf) + 1, np.uint64)
-        np.cumsum(key[buf] * up[:-1], out=self.total[1:])
+    __slots__ = ("n", "lo", "hi", "hash")
 
-    def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.total[end] - self.total[start]) * self.down[start]
-        return mix(h + (end - start).astype(np.uint64))
+    def __init__(self, n: np.ndarray, lo: np.ndarray, hi: np.ndarray):
+        self.n, self.lo, self.hi = n, lo, hi
+        self.hash = mix(mix(lo + n.astype(np.uint64) * np.uint64(_P)) ^ hi)
+
+    @classmethod
+    def of(cls, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> Packed:
+        n = (end - start).astype(np.int64)
+        if not len(n):
+            return cls(n, np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        padded = np.concatenate([buf, np.zeros(PACKED + 8, np.uint8)])
+        eight = np.ndarray(len(buf) + PACKED, "<u8", padded, strides=(1,))
+        lo = eight[start] & _MASK[np.minimum(n, 8)]
+        hi = eight[start + 8] & _MASK[np.clip(n - 8, 0, 8)]
+        long = np.flatnonzero(n > PACKED)
+        if len(long):
+            data = buf.tobytes()
+            raw = b"".join([hashlib.blake2b(data[a:b], digest_size=16).digest() for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)])
+            both = np.frombuffer(raw, "<u8").reshape(-1, 2)
+            lo[long], hi[long] = both[:, 0], both[:, 1]
+        return cls(n, lo, hi)
+
+    def take(self, at: np.ndarray) -> Packed:
+        return Packed(self.n[at], self.lo[at], self.hi[at])
+
+    def same(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.lo[i] == self.lo[j]) & (self.hi[i] == self.hi[j]) & (self.n[i] == self.n[j])
+
+    def numbers(self) -> np.ndarray:
+        """A number for each span, equal for equal spans alone."""
+        return identify(self.hash, self.same)
+
+
+def identify(h: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Numbers from 0 for items, equal for equal items alone.
+
+    h: hashes, which only say which items to compare. same(i, j): whether the items at i and j are equal.
+    """
+    out = np.zeros(len(h), np.int64)
+    if not len(h):
+        return out
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(h), bool)
+    near = np.flatnonzero(s[1:] == s[:-1])
+    alike = same(order[near], order[near + 1])
+    new[near[alike] + 1] = False
+    out[order] = np.cumsum(new) - 1
+    if not alike.all():  # different items of one hash: each run of that hash is parted anew
+        heads = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        ends = np.append(heads[1:], len(s))
+        for k in np.unique(np.searchsorted(heads, near[~alike], side="right") - 1).tolist():
+            rest = order[heads[k] : ends[k]]
+            while len(rest):
+                equal = same(np.full(len(rest), rest[0]), rest)
+                out[rest[equal]] = out[rest[0]]
+                rest = rest[~equal]
+    return out
+
+
+def windows(number: np.ndarray, row: np.ndarray, n: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(at, id): where n consecutive words of one text start, and a number for each of these windows, equal for equal ones alone.
+
+    number: a number for each word, equal for equal words alone; hashes: strong hashes of the words, if there are some.
+    """
+    m = max(0, len(number) - n + 1)
+    at = np.flatnonzero(row[:m] == row[n - 1 :]) if m else np.zeros(0, np.int64)
+    h = sequence_hash(mix(number.astype(np.uint64) + np.uint64(1)) if hashes is None else hashes, n)[at] if m else np.zeros(0, np.uint64)
+
+    def same(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(i), bool)
+        for k in range(n):
+            ok &= number[at[i] + k] == number[at[j] + k]
+        return ok
+
+    return at, identify(h, same)
 
 
 def sequence_hash(items: np.ndarray, n: int) -> np.ndarray:
-    """The hash of each n consecutive items (64-bit hashes themselves)."""
+    """The hash of each n consecutive items (64-bit hashes themselves). It finds what may be equal; what is has to be compared."""
     if len(items) < n:
         return np.zeros(0, np.uint64)
     h = np.zeros(len(items) - n + 1, np.uint64)
@@ -118,6 +179,16 @@ def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, end, np.searchsorted(start, offs)
 
 
+def joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """Each row's words joined by one space: the bytes of all rows, and where each row's begin and end in them."""
+    size = end - start + 1
+    data = np.concatenate([buf, np.array([32], np.uint8)])[ranges(start, size)]
+    ends = np.cumsum(size)
+    data[ends - 1] = 32
+    at = np.concatenate([[0], ends])[first]
+    return data.tobytes(), [(a, b - 1 if b > a else a) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
 def points(buf: np.ndarray) -> np.ndarray:
     """Code points before each byte, one more number than bytes."""
     out = np.zeros(len(buf) + 1, np.int64)
@@ -135,54 +206,59 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class Table:
-    """An open-addressing map from 64-bit hashes to row numbers, all in numpy arrays."""
+    """An open-addressing map from spans to row numbers, all in numpy arrays. Spans of a hit are compared, not only their hashes."""
 
     def __init__(self, bits: int = 16):
-        self.clear(bits)
-
-    def clear(self, bits: int = 16) -> None:
         self.bits, self.n = bits, 0
-        self.key = np.zeros(1 << bits, np.uint64)
         self.row = np.full(1 << bits, -1, np.int32)
+        self.size, self.lo, self.hi = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
 
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The row of each hash, -1 where there is none."""
-        mask = np.uint64((1 << self.bits) - 1)
-        at = (h & mask).astype(np.int64)
-        out = np.where(self.key[at] == h, self.row[at], -1)
-        open_ = np.flatnonzero((out < 0) & (self.row[at] >= 0))
+    def find(self, p: Packed) -> np.ndarray:
+        """The row of each span, -1 where there is none."""
+        mask = (1 << self.bits) - 1
+        at = (p.hash & np.uint64(mask)).astype(np.int64)
+        row = self.row[at].astype(np.int64)
+        out = np.where((row >= 0) & self._is(row, p.lo, p.hi, p.n), row, -1)
+        open_ = np.flatnonzero((out < 0) & (row >= 0))
         while len(open_):
-            at[open_] = (at[open_] + 1) & int(mask)
-            here = at[open_]
-            hit = self.key[here] == h[open_]
-            out[open_] = np.where(hit, self.row[here], -1)
-            open_ = open_[~hit & (self.row[here] >= 0)]
+            at[open_] = (at[open_] + 1) & mask
+            row = self.row[at[open_]].astype(np.int64)
+            hit = (row >= 0) & self._is(row, p.lo[open_], p.hi[open_], p.n[open_])
+            out[open_[hit]] = row[hit]
+            open_ = open_[~hit & (row >= 0)]
         return out
 
-    def add(self, h: np.ndarray) -> np.ndarray:
-        """Rows for distinct hashes that are not in the table yet, in their order."""
-        rows = np.arange(self.n, self.n + len(h), dtype=np.int32)
-        if (self.n + len(h)) * 2 > 1 << self.bits:
-            old, old_rows = self.key[self.row >= 0], self.row[self.row >= 0]
-            while (self.n + len(h)) * 2 > 1 << self.bits:
-                self.bits += 1
-            self.key = np.zeros(1 << self.bits, np.uint64)
+    def _is(self, row: np.ndarray, lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (self.lo[row] == lo) & (self.hi[row] == hi) & (self.size[row] == n)
+
+    def add(self, p: Packed) -> np.ndarray:
+        """Rows for distinct spans that are not in the table yet, in their order."""
+        m = self.n + len(p.n)
+        rows = np.arange(self.n, m, dtype=np.int32)
+        grown = False
+        while m * 2 > 1 << self.bits:
+            self.bits, grown = self.bits + 1, True
+        if grown:
+            more = (1 << self.bits) - len(self.lo)
+            self.size, self.lo, self.hi = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.size, self.lo, self.hi))
             self.row = np.full(1 << self.bits, -1, np.int32)
-            self._put(old, old_rows)
-        self._put(h, rows)
-        self.n += len(h)
+            old = np.arange(self.n)
+            self._put(Packed(self.size[old].astype(np.int64), self.lo[old], self.hi[old]).hash, old.astype(np.int32))
+        self.size[rows], self.lo[rows], self.hi[rows] = p.n, p.lo, p.hi
+        self._put(p.hash, rows)
+        self.n = m
         return rows
 
     def _put(self, h: np.ndarray, rows: np.ndarray) -> None:
         mask = (1 << self.bits) - 1
         at = (h & np.uint64(mask)).astype(np.int64)
-        while len(h):
+        while len(rows):
             free = self.row[at] < 0
             _, first = np.unique(at, return_index=True)
-            win = np.zeros(len(h), bool)
+            win = np.zeros(len(rows), bool)
             win[first] = True
             win &= free
-            self.key[at[win]], self.row[at[win]] = h[win], rows[win]
-            h, rows, at = h[~win], rows[~win], at[~win]
+            self.row[at[win]] = rows[win]
+            rows, at = rows[~win], at[~win]
             taken = self.row[at] >= 0
             at[taken] = (at[taken] + 1) & mask

@@ -10,10 +10,12 @@ library whole.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 
-from .textbuf import SPACE, Spans, Table, ranges, slices
+from .textbuf import SPACE, Packed, Table, ranges, slices
 
 #: Pieces kept for each Python worker; at more the table starts anew.
 KEPT_PIECES = 1_000_000
@@ -36,6 +38,21 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+# How the vocabulary's file normalises and parts texts, which the edges above rest on.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def refuse_others(spec: dict) -> None:
+    """An error for a tokenizer whose pieces, lower case or decoding aren't those that this module knows."""
+    model = spec.get("model") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback"))
+    words = all(not t.get(k) for t in spec.get("added_tokens") or [] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain and words and spec.get("normalizer") == _NORMALIZER and spec.get("pre_tokenizer") == _PRE_TOKENIZER and spec.get("post_processor") is None and spec.get("decoder") is None):
+        raise ValueError("only tokenizers that normalise, part and decode as the public 49k word vocabulary does can be used here")
+
+
 class WordBpe:
     def __init__(self, spec: str, kept: int = KEPT_PIECES):
         from tokenizers import Tokenizer
@@ -43,6 +60,7 @@ class WordBpe:
         self.lib = Tokenizer.from_str(spec)
         self.lib.no_padding()
         self.lib.no_truncation()
+        refuse_others(json.loads(spec))
         self.special = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         self.kept = kept
         self._reset()
@@ -76,8 +94,8 @@ class WordBpe:
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         return (np.concatenate(ids) if ids else np.zeros(0, self.dtype)), np.cumsum(count) - count, count
 
-    def _keep(self, ids: np.ndarray, first: np.ndarray, count: np.ndarray, h: np.ndarray) -> np.ndarray:
-        rows = self.table.add(h)
+    def _keep(self, ids: np.ndarray, first: np.ndarray, count: np.ndarray, spans: Packed) -> np.ndarray:
+        rows = self.table.add(spans)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while self.table.n > len(self.first):
@@ -101,13 +119,15 @@ class WordBpe:
         at = np.flatnonzero(edge)
         solid = kind[at[:-1]] != _SPACE
         start, end = at[:-1][solid], at[1:][solid]
-        h = Spans(_LOWER[buf]).hash(start, end)
+        plain = _LOWER[buf]  # as the normaliser has it; pieces beyond ASCII stay as they are
         if (buf >= 0x80).any():
             high = np.zeros(len(buf) + 1, np.int32)
             np.cumsum(buf >= 0x80, out=high[1:])
             raw = np.flatnonzero(high[end] > high[start])
-            h[raw] = Spans(buf).hash(start[raw], end[raw]) ^ np.uint64(0x5851F42D4C957F2D)
-        row = self.table.find(h).astype(np.int64)
+            same = ranges(start[raw], end[raw] - start[raw])
+            plain[same] = buf[same]
+        spans = Packed.of(plain, start, end)
+        row = self.table.find(spans)
         miss = np.flatnonzero(row < 0)
         if len(miss) and self.table.n + len(miss) > self.kept:
             self._reset()
@@ -115,28 +135,23 @@ class WordBpe:
             miss = np.arange(len(row))
         first, count, flat = self.first, self.count, self.flat
         if len(miss):
-            new, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            _, one, back = np.unique(spans.take(miss).numbers(), return_index=True, return_inverse=True)
             data = buf.tobytes()
-            spans = miss[one]
-            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(start[spans].tolist(), end[spans].tolist(), strict=True)]
+            new = miss[one]
+            texts = [data[a:b].decode("utf-8", "replace") for a, b in zip(start[new].tolist(), end[new].tolist(), strict=True)]
             ids, f, c = self._learn(texts)
-            short = end[spans] - start[spans] <= KEPT_BYTES
-            if short.all():
-                rows = self._keep(ids, f, c, new)
-                row[miss] = rows[back]
-                first, count, flat = self.first, self.count, self.flat
-            else:  # rows after the table's own, for this call only
-                keep = np.flatnonzero(short)
-                self._keep(ids[ranges(f[keep], c[keep])], np.cumsum(c[keep]) - c[keep], c[keep], new[keep])
+            short = end[new] - start[new] <= KEPT_BYTES
+            keep, lone = np.flatnonzero(short), np.flatnonzero(~short)
+            rows = np.full(len(new), -1, np.int64)
+            rows[keep] = self._keep(ids[ranges(f[keep], c[keep])], np.cumsum(c[keep]) - c[keep], c[keep], spans.take(new[keep]))
+            first, count, flat = self.first, self.count, self.flat
+            if len(lone):  # rows after the table's own, for this call only
                 n, used = self.table.n, self.used
-                row = self.table.find(h).astype(np.int64)
-                lone = np.flatnonzero(~short)
-                rows = np.full(len(new), -1, np.int64)
                 rows[lone] = n + np.arange(len(lone))
-                row[miss] = np.where(rows[back] >= 0, rows[back], row[miss])
                 first = np.concatenate([self.first[:n], f[lone] + used])
                 count = np.concatenate([self.count[:n], c[lone]])
                 flat = np.concatenate([self.flat[:used], ids])
+            row[miss] = rows[back]
         count = count[row]
         return flat[ranges(first[row], count)], count, start, end
 
@@ -145,39 +160,62 @@ class WordBpe:
         for lo, hi, buf, offs in slices(texts):
             yield lo, hi, *self.encode_slice(buf, offs)
 
+    def marked(self, data: bytes, offs: np.ndarray) -> np.ndarray:
+        """The rows that hold a special token's string."""
+        found: set[int] = set()
+        for word in self.special:
+            at = data.find(word)
+            while at >= 0:
+                row = int(np.searchsorted(offs, at, side="right")) - 1
+                if at + len(word) <= offs[row + 1]:
+                    found.add(row)
+                at = data.find(word, at + 1)
+        return np.array(sorted(found), np.int64)
+
     def encode_slice(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        data = buf.tobytes() if any(len(buf) >= len(s) for s in self.special) else b""
-        if any(s in data for s in self.special):
-            parts = []
-            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
-                if any(s in data[a:b] for s in self.special):
-                    parts.append(self.whole(data[a:b].decode("utf-8", "replace")))
-                else:
-                    parts.append(self.pieces(buf[a:b], np.array([0, b - a]))[0])
-            return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        return self.apart(buf, offs, buf.tobytes(), self._plain)
+
+    def apart(self, buf: np.ndarray, offs: np.ndarray, data: bytes, plain) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and offsets of a slice: rows with a special token's string by the library, the others by plain(buf, offs, data)."""
+        rows = self.marked(data, offs)
+        if not len(rows):
+            return plain(buf, offs, data)
+        others = np.setdiff1d(np.arange(len(offs) - 1), rows)
+        size = np.diff(offs)[others]
+        left = buf[ranges(offs[:-1][others], size)]
+        ids, at = plain(left, np.concatenate([[0], np.cumsum(size)]), left.tobytes())
+        parts = [np.zeros(0, self.dtype)] * (len(offs) - 1)
+        for k, r in enumerate(others.tolist()):
+            parts[r] = ids[at[k] : at[k + 1]]
+        for r in rows.tolist():
+            parts[r] = self.whole(data[offs[r] : offs[r + 1]].decode("utf-8", "replace"))
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _plain(self, buf: np.ndarray, offs: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         ids, count, start, _ = self.pieces(buf, offs)
         before = np.zeros(len(count) + 1, np.int64)
         np.cumsum(count, out=before[1:])
         return ids, before[np.searchsorted(start, offs)]
 
 
-_made: dict[int, WordBpe] = {}
+_made: dict[str, WordBpe] = {}
 
 
 def tokenizer(spec: str) -> WordBpe:
     """One encoder for each Python worker and tokenizer."""
-    key = hash(spec)
-    if key not in _made:
+    if spec not in _made:
         _made.clear()
-        _made[key] = WordBpe(spec)
-    return _made[key]
+        _made[spec] = WordBpe(spec)
+    return _made[spec]
 
 
 def spec_of(path: str | None = None) -> str:
-    """The JSON text of a tokenizer file; the public 49k word vocabulary if no path is given."""
+    """The JSON text of a tokenizer file, checked on the driver; the public 49k word vocabulary if no path is given."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("word_bpe_49k.json")
     with open(path, encoding="utf-8") as f:
-        return f.read()
+        spec = f.read()
+    refuse_others(json.loads(spec))
+    return spec

@@ -5,6 +5,8 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
+from test_textbuf import twins
+
 from spanloom.llm import chunk_bpe, packing, wordbpe
 
 ODD = [
@@ -36,6 +38,26 @@ def test_words_equal_the_library(spec):
     assert rows(wordbpe.WordBpe(spec), ODD * 2) == [expected(spec, t) for t in ODD] * 2
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomial_hashes_confuse(spec, n):
+    a, b = twins(n)
+    texts = [f"{a} {b}", f"{b} {a} {a[:60]} {b[:60]}", f"{a.upper()} {b}é {a}é", f"{b} x {a}"]
+    assert rows(wordbpe.WordBpe(spec), texts) == [expected(spec, t) for t in texts] == rows(chunk_bpe.ChunkBpe(spec), texts)
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        wordbpe.spec_of(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_a_special_tokens_string_leaves_other_rows_to_the_method(spec):
+    c = chunk_bpe.ChunkBpe(spec, 64)
+    texts = ["plain words " * 200, "a<|endoftext|>", "other plain words " * 200, "a<|endof", "text|>"]
+    assert rows(c, texts) == [expected(spec, t) for t in texts] and c.asked > 20
+
+
 def test_a_full_table_starts_anew(spec):
     w = wordbpe.WordBpe(spec, kept=50)
     texts = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(20)]

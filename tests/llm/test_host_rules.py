@@ -4,8 +4,13 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings, strategies as st
 
+from test_textbuf import twins
+
+from conftest import DATA
+from spanloom.llm import oracles
 from spanloom.llm.host_rules import COUNTS, count_slice, judge, prior
 from spanloom.llm.textbuf import slices
 
@@ -29,6 +34,15 @@ def test_counts(texts):
     assert got == [brute(t) for t in texts]
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_lines_and_words_that_polynomial_hashes_confuse(n):
+    a, b = twins(n)
+    for text in (f"{a}\n{b}\n{a}", f"{a}\n{b}", f"one two three four {a} one two three four {b}", f"one two three four {a} one two three four {a}"):
+        buf = np.frombuffer(text.encode(), np.uint8)
+        got = count_slice(buf, np.array([0, len(buf)]))
+        assert {k: int(v[0]) for k, v in got.items()} == brute(text)
+
+
 def test_verdicts(spark):
     r = random.Random(1)
     good = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(40))
@@ -50,6 +64,26 @@ def test_verdicts(spark):
     assert all(x["kept"] is False for x in judge(df.filter("doc_id = 1303")).collect())
 
 
+def test_sql_on_planted_hosts(spark, tmp_path):
+    """A host of many bad documents is refused, one of two bad documents is saved by shrinkage, in the query as in its SQL."""
+    import duckdb
+
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    good, bad = "some plain words that stand here one after the other and differ", "!! $$ ## " * 30
+    more = [(10_000 + i, (bad if i % 10 else good) + f" {i}", "en", "bad host", 0) for i in range(60)]
+    more += [(20_000 + i, bad, "en", "two documents", 0) for i in range(1)] + [(20_010, good, "en", "two documents", 0)]
+    more += [(30_000 + i, bad if i % 5 == 0 else good, "en", "mixed host", 0) for i in range(40)] + [(40_000, None, None, None, None)]
+    all_ = docs.unionByName(spark.createDataFrame(more, docs.schema))
+    all_.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r.asDict() for r in judge(spark.read.parquet(f"{tmp_path}/documents.parquet")).collect()}
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rel = c.sql(oracles.OP7)
+    assert {r[0]: dict(zip(rel.columns, r)) for r in rel.fetchall()} == got
+    assert not got[10_000]["base_failed"] and not got[10_000]["kept"]
+    assert got[20_010]["kept"] and got[30_001]["kept"]
+
+
 def test_prior_follows_the_moments():
     rng = np.random.default_rng(0)
     rates = rng.beta(2, 6, 4000)

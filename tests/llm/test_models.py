@@ -74,8 +74,62 @@ def test_language_of_odd_rows(spark, model):
 
 def test_sample_is_bounded_and_even(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 30 == 0, "rare").otherwise("common").alias("lang"))
-    got = langid.sample(df, id_col="doc_id", text_col="text", label_col="lang", most_docs=100, most_chars=6)
-    assert len(got) <= 100 and sum(a == "rare" for a, _ in got) >= 35 and all(len(t) <= 6 for _, t in got)
+    got = langid.sample(df, id_col="doc_id", text_col="text", label_col="lang", most_docs=100)
+    assert len(got) <= 100 and sum(a == "rare" for a, _ in got) >= 35 and all(t.startswith("text ") for _, t in got)
+    assert len(langid.sample(df.unionByName(df), id_col="doc_id", text_col="text", label_col="lang", most_docs=100)) == len(set(got))
+
+
+def test_all_of_a_text_is_learnt_from(spark, monkeypatch):
+    """Windows of the end of a long text are drawn too."""
+    seen = []
+    fit = langid.BiGru.fit
+    monkeypatch.setattr(langid.BiGru, "fit", lambda self, ids, label, weight, **k: (seen.append(ids), fit(self, ids, label, weight, **k))[1])
+    langid.train([("x", "ab " * 40_000 + "omega"), ("y", "qz")], rounds=2)
+    assert seen[0].size >= 120_000 and b"omega" in seen[0].T.tobytes()
+
+
+def test_language_restated():
+    """The forward pass, one byte and one text at a time."""
+    m = langid.BiGru(["a", "b"], hidden=3, seed=1)
+    texts = ["ab é c", "x" * 70 + " 12 y", "?!"]
+    sig = lambda x: 1 / (1 + np.exp(-x))
+    want = []
+    for t in texts:
+        raw, total, letters = t.encode(), np.zeros(2), 0
+        for lo in range(0, len(raw), 64):
+            w = raw[lo : lo + 64].ljust(64, b" ")
+            states = {}
+            for d in "fb":
+                x, u, h, out = m.w[f"x{d}"], m.w[f"u{d}"], np.zeros(3), [None] * 64
+                for i in range(64) if d == "f" else range(63, -1, -1):
+                    a, g = x[:, w[i]], u @ h
+                    z, r = sig(a[:3] + g[:3]), sig(a[3:6] + g[3:6])
+                    c = np.tanh(a[6:] + r * g[6:])
+                    h = out[i] = c + z * (h - c)
+                states[d] = out
+            for i in range(min(64, len(raw) - lo)):
+                if chr(w[i]).isalpha() and w[i] < 128 or w[i] >= 128:
+                    y = m.w["o"] @ np.concatenate([states["f"][i], states["b"][i]]) + m.w["c"][:, 0]
+                    total += y - np.log(np.exp(y).sum())
+                    letters += 1
+        p = np.exp(total / letters) if letters else np.zeros(2)
+        want.append(p / p.sum() if letters else p)
+    raw = [t.encode() for t in texts]
+    got = langid.document_scores(m, np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), 64)
+    assert np.allclose(got, want, atol=1e-4)
+
+
+def test_quality_restated():
+    """The forward pass, one passage at a time."""
+    m = quality_mil.AttentionMil(hidden=4, attention=3)
+    x = np.random.default_rng(3).normal(0, 1, (6, quality_mil.N_FEATURES)).astype(np.float32)
+    p, weight = m.attend(x, np.array([0, 2, 3, 6]))
+    for k, (a, b) in enumerate(((0, 2), (2, 3), (3, 6))):
+        h = [np.tanh(x[i].clip(-6, 6) @ m.w["e"] + m.w["eb"]) for i in range(a, b)]
+        raw = [float(sum(np.tanh(v @ m.w["v"]) / (1 + np.exp(-(v @ m.w["u"]))) * m.w["a"])) for v in h]
+        e = np.exp(raw) / np.exp(raw).sum()
+        z = sum(w * v for w, v in zip(e, h))
+        assert np.allclose(weight[a:b], e, atol=1e-5) and np.isclose(p[k], 1 / (1 + np.exp(-(z @ m.w["c"] + m.w["b"][0]))), atol=1e-5)
 
 
 def test_language_held_out(spark):
@@ -94,6 +148,15 @@ def test_quality_of_odd_rows(spark):
     assert all((got[i]["score"] >= 0.5) == bool(i % 2) for i in range(80)) and got[102]["score"] > 0.5 and got[102]["n_passages"] > 100
     assert 0 <= got[100]["score"] <= 1 and got[100]["score"] == got[101]["score"] and got[100]["n_passages"] == 1
     assert quality_mil.score(df, m).count() == 86 and quality_mil.score(df.limit(0), m).collect() == []
+    long = {}
+    learn = quality_mil.learn
+    quality_mil.learn = lambda bags, **k: (long.setdefault("n", max(len(x) for _, x in bags)), learn(bags, **k))[1]
+    try:  # all passages of a text count; rows in any order and repeated rows give the same classifier
+        a = quality_mil.fit(df, labels.filter("quality IS NOT NULL").unionByName(spark.createDataFrame([(102, 1, 0)], labels.schema)), rounds=20)
+        b = quality_mil.fit(df.unionByName(df).repartition(5), labels.unionByName(spark.createDataFrame([(102, 1, 0)], labels.schema)).repartition(3), rounds=20)
+    finally:
+        quality_mil.learn = learn
+    assert long["n"] == got[102]["n_passages"] and all((a.w[k] == b.w[k]).all() for k in a.w)
     assert quality_mil.fit(df, labels.limit(0)) is None and {r["score"] for r in quality_mil.score(df, None).collect()} == {0.5}
 
 

@@ -2,8 +2,8 @@ import random
 import re
 
 import numpy as np
-import pyarrow as pa
 import pytest
+from test_textbuf import twins
 
 from spanloom.llm import suffix_dedup
 from spanloom.llm.suffix_dedup import common_lengths, deep_nodes, remove_repeats
@@ -38,10 +38,10 @@ def corpus(n, seed):
     return rows
 
 
-@pytest.mark.parametrize("chunk,group", [(1 << 20, 100_000), (700, 100_000), (700, 2), (1, 1)])
+@pytest.mark.parametrize("chunk,group", [(1 << 20, 100_000), (700, 100_000), (700, 12), (1, 1)])
 def test_against_brute_force(spark, monkeypatch, chunk, group):
     monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
-    monkeypatch.setattr(suffix_dedup, "GROUP_CHUNKS", group)
+    monkeypatch.setattr(suffix_dedup, "GROUP_SUFFIXES", group)
     monkeypatch.setattr(suffix_dedup, "LEAST_TASKS", 5)
     rows = corpus(60, 7)
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id long, text string, chunk int, kept string").repartition(3)
@@ -66,8 +66,49 @@ def test_tree_nodes():
     assert [x.tolist() for x in deep_nodes(common_lengths(rows[:0]), 1)] == [[], []]
 
 
-def test_prefix_grows_by_windows():
-    h = np.array([5, 9], np.uint64).tobytes()
-    table = pa.table({"chunk": [1, 2], "anchors": [h, h], "windows": [np.array(x, np.uint32).tobytes() for x in ([60, 1], [60, 1])]})
-    got = suffix_dedup._shared_anchors(100)(table)
-    assert [np.frombuffer(x, np.int32).tolist() for x in got.column("w").to_pylist()] == [[2**31 - 1, 2]] * 2
+def test_all_nodes_of_a_tree():
+    lcp = np.array([0, 4, 3, 5, 0, 3, 3])
+    assert [tuple(int(v) for v in x) for x in zip(*suffix_dedup.tree_nodes(lcp, 3))] == [(0, 4, 3), (4, 7, 3), (0, 2, 4), (2, 4, 5)]
+    assert [len(x) for x in suffix_dedup.tree_nodes(lcp[:0], 3)] == [0, 0, 0]
+
+
+def test_prefixes_grow_word_by_word(spark, monkeypatch):
+    """A hot phrase: its suffixes go by prefixes of several lengths, as many as fit, and no group is larger."""
+    r = random.Random(4)
+    phrase = [f"p{i}" for i in range(5)]
+    rows = []
+    for i in range(60):
+        tail = [["t0", "t1", "t2"], ["t0", "t1", "u2"], ["t0", "v1", "v2"], [f"w{i % 4}", "w1", "w2"]][i % 4]
+        rest = [f"r{i % 6}{j}" for j in range(8)] if i % 5 else [f"q{r.randrange(99)}" for _ in range(8)]
+        rows.append((i, " ".join([f"a{i % 3}", *phrase, *tail, *rest, *(f"z{i}{j}" for j in range(5))])))
+    rows += [(100 + i, "one and the same window of thirteen words that all of these have") for i in range(30)]
+    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", 1)
+    monkeypatch.setattr(suffix_dedup, "GROUP_SUFFIXES", 12)
+    seen, trees, grown, most = {}, suffix_dedup._hot_trees, suffix_dedup._hot_repeats, spark.sparkContext.accumulator(0)
+
+    def counted(*a):
+        parts, used = grown(*a)
+        seen.update(used)
+        return parts, used
+
+    monkeypatch.setattr(suffix_dedup, "_hot_repeats", counted)
+    assert trees
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((False, x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in remove_repeats(df).collect())
+    assert got == brute(rows)
+    assert sum(n > 0 for n in seen.values()) >= 3 and seen[13] >= 30
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = twins(1024)
+    same = " ".join(f"w{i}" for i in range(12))
+    rows = [(1, f"{same} {a}"), (2, f"{same} {b}"), (3, f"{same} {a}"), (4, f"x {same} {twins(4096)[0]}"), (5, f"x {same} {twins(4096)[1]}")]
+    got = sorted((False, x["doc_id"], x["n_words"], x["n_removed"], x["kept"]) for x in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute(rows) and [x[3] for x in got] == [0, 0, 13, 0, 13]
+
+
+def test_repeats_are_the_longest_runs_and_odd_ids_are_null(spark):
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [("1", f"start {passage} end"), ("2", f"{passage} mid words {passage}"), ("no number", passage)]
+    got = {x["doc_id"]: [tuple(y) for y in x["repeats"]] for x in remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {1: [], 2: [(0, 30), (32, 30)], None: [(0, 30)]}

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 
-from spanloom.llm.textbuf import Spans, Table, buffers, powers, ranges, sequence_hash, slices, words
+from spanloom.llm.textbuf import Packed, Table, buffers, identify, ranges, sequence_hash, slices, windows, words
 
 TEXT = st.lists(st.one_of(st.none(), st.text(alphabet="ab é\t\n\x0b😀\x85", max_size=30)), max_size=8)
 
@@ -28,11 +28,38 @@ def test_slices_of_a_sliced_column():
     assert list(slices(pa.array([], pa.string()))) == []
 
 
-def test_spans_hash_by_content_alone():
-    buf = np.frombuffer(b"abcabcXabc", np.uint8)
-    h = Spans(buf).hash(np.array([0, 3, 7, 1]), np.array([3, 6, 10, 3]))
-    assert h[0] == h[1] == h[2] != h[3]
-    assert len(powers(5)[0]) == 5
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def twins(n):
+    """Two different texts of n letters that a polynomial hash modulo 2**64 can't tell apart."""
+    return thue_morse(n), thue_morse(n, "b", "a")
+
+
+def test_spans_are_equal_by_content_alone():
+    text = b"abcabcXabc" + b"y" * 17 + b"Z" + b"y" * 17 + b"\0" + b"abc\0"
+    at = [(0, 3), (3, 6), (7, 10), (1, 3), (10, 27), (28, 45), (28, 44), (46, 49), (46, 50), (45, 46), (5, 5)]
+    p = Packed.of(np.frombuffer(text, np.uint8), *(np.array(x) for x in zip(*at)))
+    number = p.numbers().tolist()
+    for i, (a, b) in enumerate(at):
+        for j, (c, d) in enumerate(at):
+            assert (number[i] == number[j]) == (text[a:b] == text[c:d])
+
+
+def test_different_items_of_one_hash_get_different_numbers():
+    x = np.array([3, 1, 3, 2, 1, 1, 3, 9])
+    got = identify(np.array([0, 0, 0, 0, 0, 0, 0, 1], np.uint64), lambda i, j: x[i] == x[j])
+    assert all((got[i] == got[j]) == (x[i] == x[j]) for i in range(8) for j in range(8))
+    assert identify(np.zeros(0, np.uint64), None).tolist() == []
+
+
+def test_windows_are_compared_by_words():
+    word, row = np.array([1, 2, 3, 1, 2, 3, 1, 2]), np.array([0, 0, 0, 0, 0, 0, 1, 1])
+    at, number = windows(word, row, 2, np.zeros(8, np.uint64))
+    assert at.tolist() == [0, 1, 2, 3, 4, 6]
+    assert [(number[i] == number[j]) for i, j in ((0, 3), (0, 5), (1, 4), (0, 1), (2, 0))] == [True, True, True, False, False]
+    assert len(windows(word[:1], row[:1], 2)[0]) == 0
 
 
 def test_sequence_hash_and_ranges():
@@ -45,10 +72,22 @@ def test_sequence_hash_and_ranges():
 def test_table_finds_what_was_added():
     r = np.random.default_rng(0)
     t, seen = Table(4), {}
-    for _ in range(30):
-        h = np.unique(r.integers(0, 500, 40).astype(np.uint64) << np.uint64(60) | r.integers(0, 500, 40).astype(np.uint64))
-        new = h[t.find(h) < 0]
-        for k, v in zip(new.tolist(), t.add(new).tolist()):
-            seen[k] = v
-        assert t.find(h).tolist() == [seen[k] for k in h.tolist()]
-    assert t.find(np.array([999999], np.uint64)).tolist() == [-1]
+    for k in range(30):
+        lo = np.unique(r.integers(0, 500, 40).astype(np.uint64))
+        p = Packed(np.full(len(lo), 8 + k % 2), lo, lo % np.uint64(3))
+        p.hash = p.hash & np.uint64(3)  # few hashes for many spans
+        new = np.flatnonzero(t.find(p) < 0)
+        q = p.take(new)
+        q.hash = p.hash[new]
+        grown = t.bits
+        for i, v in zip(new.tolist(), t.add(q).tolist()):
+            seen[k % 2, int(lo[i])] = v
+        if t.bits != grown:  # the table makes hashes anew
+            t, seen = Table(12), {}
+            continue
+        assert t.find(p).tolist() == [seen[k % 2, x] for x in lo.tolist()]
+    t = Table(4)
+    many = Packed.of(np.arange(200, dtype=np.uint8), np.arange(190), np.arange(190) + 3)
+    t.add(many.take(np.arange(100)))
+    t.add(many.take(np.arange(100, 190)))
+    assert t.find(many).tolist() == list(range(190)) and t.find(Packed(np.array([3]), np.zeros(1, np.uint64), np.zeros(1, np.uint64))).tolist() == [-1]
