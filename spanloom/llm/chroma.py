@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import written
-from .textbuf import ranges
+from .shared import join_on, written
+from .textbuf import mix, ranges
 
 #: Samples a second, of a frame and between frames, and the lowest and highest pitch in Hz.
 RATE, FRAME, HOP, LOW, HIGH = 4000, 1024, 256, 110.0, 1760.0
@@ -41,27 +41,27 @@ def pcm16(value) -> np.ndarray:
     return np.frombuffer(value, "<i2", len(value) // 2).astype(np.float32) / 32768
 
 
-def _classes() -> np.ndarray:
+def _bins() -> tuple[np.ndarray, np.ndarray]:
+    """The spectrum's bins between LOW and HIGH, by pitch class, and where each class starts among them."""
     f = np.fft.rfftfreq(FRAME, 1 / RATE)
-    out = np.zeros((len(f), 12), np.float32)
-    for i, x in enumerate(f):
-        if LOW <= x <= HIGH:
-            out[i, round(12 * math.log2(x / 440)) % 12] = 1
-    return out
+    use = np.flatnonzero((f >= LOW) & (f <= HIGH))
+    pitch = np.round(12 * np.log2(f[use] / 440)).astype(int) % 12
+    order = np.argsort(pitch, kind="stable")
+    return use[order], np.searchsorted(pitch[order], np.arange(12))
 
 
-_CLASSES, _WINDOW = _classes(), np.hanning(FRAME).astype(np.float32)
+(_BINS, _FIRST), _WINDOW = _bins(), np.hanning(FRAME).astype(np.float32)
 
 
-def chroma(samples: np.ndarray, block: int = 512) -> np.ndarray:
+def chroma(samples: np.ndarray, block: int = 32) -> np.ndarray:
     """(frame, pitch class): magnitudes by pitch class, each frame of unit length, silence of noughts."""
     n = (len(samples) - FRAME) // HOP + 1
     if n < 1:
         return np.zeros((0, 12), np.float32)
     frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP][:n]
     out = np.empty((n, 12), np.float32)
-    for i in range(0, n, block):
-        out[i : i + block] = np.abs(np.fft.rfft(frames[i : i + block] * _WINDOW, axis=1)).astype(np.float32) @ _CLASSES
+    for i in range(0, n, block):  # few at a time stay in the processor's cache
+        out[i : i + block] = np.add.reduceat(np.abs(np.fft.rfft(frames[i : i + block] * _WINDOW, axis=1)[:, _BINS]), _FIRST, axis=1)
     size = np.linalg.norm(out, axis=1, keepdims=True)
     return np.where(size > 1e-3, out / np.maximum(size, 1e-3), 0)
 
@@ -98,94 +98,159 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pack(chroma(samples))
 
 
-def fingerprints(rows: DataFrame, *, id_col: str, audio_col: str, decode: Callable[[object], np.ndarray] = pcm16) -> DataFrame:
+def fingerprints(rows: DataFrame, *, id_col: str, audio_col: str, decode: Callable[[object], np.ndarray] = pcm16, phases: int = 1) -> DataFrame:
     """<id_col>, n (places), code (binary: an unsigned 32-bit integer a place) and sounding (binary: a byte a place) of every row.
 
     decode makes samples of a value of audio_col. A null value, or fewer samples than a frame and
-    the filters need, has no places. Whole recordings are read.
+    the filters need, has no places. Whole recordings are read. phases: rows for each recording,
+    which start at so many places within a hop; queries that are cut anywhere meet the frames of
+    what they were cut from in one of these.
     """
     def run(batches):
         for batch in batches:
             for lo in range(0, len(batch), 256):
-                codes, sounds = [], []
-                for v in batch.column(1).slice(lo, 256):
+                codes, sounds, which = [], [], []
+                for i, v in enumerate(batch.column(1).slice(lo, 256)):
                     if not v.is_valid:
                         raw = None
                     elif hasattr(v, "values"):
                         raw = v.values.to_numpy(zero_copy_only=False)
                     else:
                         raw = v.as_buffer()
-                    c, s = fingerprint(decode(raw)) if raw is not None and len(raw) else pack(np.zeros((0, 12)))
-                    codes.append(c.astype("<u4").tobytes())
-                    sounds.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256), pa.array([len(s) for s in sounds], pa.int64()), pa.array(codes, pa.binary()), pa.array(sounds, pa.binary())], names=["key", "n", "code", "sounding"])
+                    samples = decode(raw) if raw is not None and len(raw) else np.zeros(0, np.float32)
+                    for k in range(phases):
+                        c, s = fingerprint(samples[k * HOP // phases :])
+                        codes.append(c.astype("<u4").tobytes())
+                        sounds.append(s.tobytes())
+                        which.append(i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, 256).take(pa.array(which, pa.int64())), pa.array([len(s) for s in sounds], pa.int64()), pa.array(codes, pa.binary()), pa.array(sounds, pa.binary())], names=["key", "n", "code", "sounding"])
 
     two = rows.select(F.col(id_col).alias("key"), F.col(audio_col).alias("audio"))
     kind = two.schema["key"].dataType.simpleString()
     return two.mapInArrow(run, f"key {kind}, n bigint, code binary, sounding binary").withColumnRenamed("key", id_col)
 
 
-class Block:
-    """Fingerprints end to end. first: where each starts, with one more number."""
-
-    def __init__(self, ids: list, codes: list[bytes], sounds: list[bytes], copies: list[int]):
-        self.ids, self.copies = np.array(ids), np.array(copies)
-        self.code = np.frombuffer(b"".join(codes), "<u4")
-        self.sound = np.frombuffer(b"".join(sounds), bool)
-        self.first = np.concatenate([[0], np.cumsum([len(s) for s in sounds])]).astype(np.int64)
-        self.row = np.repeat(np.arange(len(ids)), np.diff(self.first))
-        self.at = np.arange(len(self.code)) - self.first[self.row]
-
-
-def align(q: Block, t: Block, *, most_error: float, least_votes: int, least_overlap: int):
-    """(query, target, offset, votes, error) for each pair of q and t that aligns: arrays of equal length."""
-    none = tuple(np.zeros(0, k) for k in (np.int64, np.int64, np.int64, np.int64, np.float64))
-    qs, ts = np.flatnonzero(q.sound), np.flatnonzero(t.sound)
-    if not len(qs) or not len(ts):
-        return none
-    # equal integers, target side looked up in the sorted query side
-    order = qs[np.argsort(q.code[qs], kind="stable")]
-    key = q.code[order]
-    lo, hi = np.searchsorted(key, t.code[ts], "left"), np.searchsorted(key, t.code[ts], "right")
-    found = hi - lo
-    pairs, votes = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    wide = int(max(q.at.max(), t.at.max())) + 1
-    step = max(1, 4_000_000 // max(1, int(found.mean()) + 1))
-    for i in range(0, len(ts), step):  # histograms of offsets, as counts of (query, target, offset)
-        n = found[i : i + step]
-        a, b = order[ranges(lo[i : i + step], n)], np.repeat(ts[i : i + step], n)
-        p = (q.row[a] * len(t.ids) + t.row[b]) * (2 * wide) + (t.at[b] - q.at[a] + wide)
-        p, v = np.unique(p, return_counts=True)
-        both, back = np.unique(np.concatenate([pairs, p]), return_inverse=True)
-        pairs, votes = both, np.bincount(back, np.concatenate([votes, v])).astype(np.int64)
-    pair, offset = pairs // (2 * wide), pairs % (2 * wide) - wide
-    best = np.lexsort((offset, np.abs(offset), -votes, pair))
-    best = best[np.flatnonzero(np.diff(pair[best], prepend=-1))]
-    best = best[votes[best] >= least_votes]
-    pair, offset, votes = pair[best], offset[best], votes[best]
-    qi, ti = pair // len(t.ids), pair % len(t.ids)
-    # unequal bits where both sound
+#: Landmarks for each task, about, and the least number of tasks. A task of more is parted.
+TASK_MARKS, LEAST_TASKS = 500_000, 64
+
+
+def landmarks(code: np.ndarray, sound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, mark): each two integers in succession as one of 64 bits, where both sound."""
+    at = np.flatnonzero(sound[1:] & sound[:-1]) if len(code) else np.zeros(0, np.int64)
+    return at, mix(code[at].astype(np.uint64) << np.uint64(32) | code[at + 1])
+
+
+def _marks(tasks: int):
+    """Landmarks of batches of recordings, by task: mark, which recording of the batch, place."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 1024):
+                part = batch.slice(lo, 1024)
+                got = [landmarks(np.frombuffer(c, "<u4"), np.frombuffer(s, bool)) for c, s in zip(part.column("code").to_pylist(), part.column("sounding").to_pylist(), strict=True)]
+                which = np.repeat(np.arange(len(got)), [len(at) for at, _ in got]).astype(np.uint16)
+                at, mark = (np.concatenate(x) if got else np.zeros(0, np.int64) for x in zip(*got, strict=True))
+                task = (mark >> np.uint64(40)) % np.uint64(tasks)
+                order = np.argsort(task, kind="stable")
+                cut = np.searchsorted(task[order], np.arange(tasks + 1))
+                nums = part.column("num").to_numpy().tobytes()
+                rows = [(int(k), nums, mark[r].tobytes(), which[r].tobytes(), at[r].astype(np.uint32).tobytes(), len(r)) for k in np.flatnonzero(np.diff(cut)).tolist() for r in [order[cut[k] : cut[k + 1]]]]
+                cols = list(zip(*rows, strict=True)) or [[]] * 6
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:5]), pa.array(cols[5], pa.int64())], names=["task", "nums", "marks", "which", "places", "n"])
+
+    return run
+
+
+def _voter(batches):
+    """(q, t, offset, votes): equal landmarks of a task's queries (which come first) and all recordings, counted by offset."""
+    task, held = None, []
+    for batch in batches:
+        for k, side, *row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "nums", "marks", "which", "places")), strict=True):
+            if k != task:
+                task, held, index = k, [], None
+            nums, mark, which, place = (np.frombuffer(v, d) for v, d in zip(row, (np.int64, np.uint64, np.uint16, np.uint32), strict=True))
+            num, place = nums[which], place.astype(np.int64)
+            if side == 0:
+                held.append((mark, num, place))
+                continue
+            if not held:
+                continue
+            if index is None:
+                qm, qn, qp = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(qm, kind="stable")
+                index = qm[order], qn[order], qp[order]
+            lo, hi = (np.searchsorted(index[0], mark, e) for e in ("left", "right"))
+            hit = np.flatnonzero(hi > lo)
+            ends = np.cumsum((hi - lo)[hit])
+            # so many votes at once, however many recordings have a landmark
+            for part in np.split(hit, np.searchsorted(ends, np.arange(2_000_000, int(ends[-1]) if len(ends) else 0, 2_000_000))):
+                m = (hi - lo)[part]
+                a, b = ranges(lo[part], m), np.repeat(part, m)
+                if len(a):
+                    q, t, off = index[1][a], num[b], place[b] - index[2][a]
+                    by = np.lexsort((off, t, q))
+                    q, t, off = q[by], t[by], off[by]
+                    new = np.flatnonzero(np.concatenate([[True], (np.diff(q) != 0) | (np.diff(t) != 0) | (np.diff(off) != 0)]))
+                    yield pa.RecordBatch.from_arrays([pa.array(q[new]), pa.array(t[new]), pa.array(off[new]), pa.array(np.diff(np.append(new, len(q))))], names=["q", "t", "offset", "votes"])
+
+
+def bit_errors(q: list[tuple[np.ndarray, np.ndarray]], t: list[tuple[np.ndarray, np.ndarray]], offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Share of unequal bits where both sound, and at how many places they do, for each two (codes, sounding) at their offset."""
+    join = lambda x, i: np.concatenate([y[i] for y in x]) if x else np.zeros(0, np.uint32)
+    size = lambda x: np.array([len(c) for c, _ in x], np.int64)
+    first = lambda n: np.cumsum(n) - n
+    nq, nt = size(q), size(t)
     start = np.maximum(0, -offset)
-    length = np.minimum(np.diff(q.first)[qi], np.diff(t.first)[ti] - offset) - start
-    errors, over = np.zeros(len(pair)), np.zeros(len(pair))
-    step = max(1, 2_000_000 // max(1, int(length.max()) if len(length) else 1))
-    for i in range(0, len(pair), step):
-        s = slice(i, i + step)
-        x, y = ranges(q.first[qi[s]] + start[s], length[s]), ranges(t.first[ti[s]] + start[s] + offset[s], length[s])
-        both = q.sound[x] & t.sound[y]
-        who = np.repeat(np.arange(len(length[s])), length[s])
-        errors[s] = np.bincount(who, np.bitwise_count(q.code[x] ^ t.code[y]) * both, len(length[s]))
-        over[s] = np.bincount(who, both, len(length[s]))
-    error = errors / np.maximum(over, 1) / 32
-    ok = (over >= least_overlap) & (error <= most_error)
-    return qi[ok], ti[ok], offset[ok], votes[ok], error[ok]
-
-
-#: Fingerprints and bytes of codes of a block, about.
-BLOCK, BLOCK_BYTES = 1024, 4 << 20
-
-
-def search(prints: DataFrame, is_query, *, id_col: str, most_error: float = 0.2, least_votes: int = 2, least_overlap: int = 16) -> DataFrame:
+    length = np.maximum(np.minimum(nq, nt - offset) - start, 0)
+    x, y = ranges(first(nq) + start, length), ranges(first(nt) + start + offset, length)
+    both = (join(q, 1)[x] & join(t, 1)[y]).astype(bool)
+    who = np.repeat(np.arange(len(length)), length)
+    over = np.bincount(who, both, len(length))
+    return np.bincount(who, np.bitwise_count(join(q, 0)[x] ^ join(t, 0)[y]) * both, len(length)) / np.maximum(over, 1) / 32, over
+
+
+def _judge(most_error: float, least_overlap: int):
+    """Pairs (with both recordings' integers) whose bits agree."""
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                read = lambda c, s: [(np.frombuffer(x, "<u4"), np.frombuffer(y, bool)) for x, y in zip(part.column(c).to_pylist(), part.column(s).to_pylist(), strict=True)]  # noqa: E731,B023
+                error, over = bit_errors(read("qc", "qs"), read("code", "sounding"), part.column("offset").to_numpy())
+                ok = (over >= least_overlap) & (error <= most_error)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("q", "t", "offset", "votes")), pa.array(error)], names=["q", "t", "offset", "votes", "error"]).filter(pa.array(ok))
+
+    return run
+
+
+def align(asked: DataFrame, every: DataFrame, *, most_error: float = 0.2, least_votes: int = 2, least_overlap: int = 32) -> DataFrame:
+    """q, t, offset, votes, error: for each recording asked for (num, code, sounding) those of every (the same columns) that are aligned with it.
+
+    Landmarks are the index: they are shuffled by their integer, with the recording and the place,
+    and those that a query and another recording share vote for an offset. The offset with the most
+    votes (of equals that nearest to 0, then the lesser) is the pair's; with least_votes there, the
+    bits over the overlap are compared. A landmark that very many recordings share has its task
+    parted, and all its votes count. Both tables are read more than once.
+    """
+    total = every.agg(F.coalesce(F.sum(F.length("sounding")), F.lit(0)).alias("n")).first()["n"]
+    tasks = max(LEAST_TASKS, total // TASK_MARKS)
+    shape = "task int, nums binary, marks binary, which binary, places binary, n bigint"
+    of = lambda rows, side: rows.select("num", "code", "sounding").mapInArrow(_marks(tasks), shape).withColumn("side", F.lit(side))
+    marks = written(of(asked, 0).unionByName(of(every, 1)), "landmarks")
+    large = marks.filter("side = 1").groupBy("task").agg(F.ceil(F.sum("n") / (4 * TASK_MARKS)).cast("int").alias("parts")).filter("parts > 1")
+    dealt = marks.join(F.broadcast(large), "task", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))  # fewer than landmarks / TASK_MARKS rows of 8 bytes
+    own = F.array(F.pmod(F.xxhash64("nums"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("part", F.explode(F.when(F.col("side") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    dealt = dealt.select(F.concat_ws(":", "task", "part").alias("task"), "side", "nums", "marks", "which", "places")
+    votes = dealt.repartition("task").sortWithinPartitions("task", "side").mapInArrow(_voter, "q bigint, t bigint, offset bigint, votes bigint")
+    best = F.min(F.struct((-F.col("votes")).alias("v"), F.abs("offset").alias("a"), "offset")).alias("best")
+    pairs = votes.groupBy("q", "t", "offset").agg(F.sum("votes").alias("votes")).filter(F.col("votes") >= least_votes).groupBy("q", "t").agg(best)
+    pairs = written(pairs.select("q", "t", "best.offset", (-F.col("best.v")).alias("votes")), "aligned")
+    both = join_on(pairs, every.select(F.col("num").alias("t"), "code", "sounding"), ["t"])
+    both = join_on(written(both, "aligned"), asked.select(F.col("num").alias("q"), F.col("code").alias("qc"), F.col("sounding").alias("qs")), ["q"])
+    return both.mapInArrow(_judge(most_error, least_overlap), "q bigint, t bigint, offset bigint, votes bigint, error double")
+
+
+def search(prints: DataFrame, is_query, *, id_col: str, excerpts: DataFrame | None = None, **limits) -> DataFrame:
     """For each recording that is_query (a condition) holds for, the recordings aligned with it.
 
     prints are fingerprints(). Recordings with equal fingerprints are one class, whose least id
@@ -193,63 +258,46 @@ def search(prints: DataFrame, is_query, *, id_col: str, most_error: float = 0.2,
     n_copies (others of its class), n_matches (recordings of other classes aligned with it) and all
     of these classes, none is capped: matches array<struct<id,offset,votes,error>> by error, then id; offset is in frames, that of the
     match's place less that of the query's. Recordings without sound are in no class (null), have
-    no copies and no matches. Blocks of queries meet blocks of all classes, and each task holds one
-    of each. Repeated rows and null ids are recordings; a class of null ids alone has a null id.
+    no copies and no matches. Repeated rows and null ids are recordings; a class of null ids alone has a null id.
+
+    excerpts: fingerprints of altered recordings with known truth, by the id that each was made of
+    (a row for each phase). They are sought too, and three more columns say how that went:
+    excerpt_offset and excerpt_error of the best alignment with the own class (null if not found),
+    excerpt_others (other classes aligned).
+    limits: most_error, least_votes and least_overlap of align().
     """
     kind = prints.schema[id_col].dataType.simpleString()
     p = prints.select(F.col(id_col).alias("key"), is_query.alias("asks"), "code", "sounding")
-    p = written(p.withColumn("cls", F.when(F.instr(F.hex("sounding"), "01") > 0, F.sha2(F.concat("code", "sounding"), 256))), "prints")
-    classes = written(p.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("asks").alias("asks"), F.first("code").alias("code"), F.first("sounding").alias("sounding")), "classes")
-
-    def blocks(rows: DataFrame, name: str) -> DataFrame:
-        size = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("code")), F.lit(0)).alias("bytes")).first()
-        n = max(1, math.ceil(size["n"] / BLOCK), math.ceil(size["bytes"] / BLOCK_BYTES))
-        cols = [F.collect_list(F.struct("cls", "id", "copies", "code", "sounding")).alias(name)]
-        return rows.groupBy(F.pmod(F.xxhash64("cls"), F.lit(n)).cast("int").alias("block")).agg(*cols)
-
-    asked = blocks(classes.filter("asks"), "queries").withColumnRenamed("block", "q")
-    count = asked.count()
-    every = blocks(classes, "targets").withColumnRenamed("block", "t").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
-    blobs = every.join(asked, "q")
-
-    def run(batches):
-        def block(x):
-            s = x.values
-            f = lambda c: s.field(c).to_pylist()
-            return f("cls"), f("id"), Block(f("cls"), f("code"), f("sounding"), f("copies"))
-
-        for batch in batches:
-            for x, y in zip(batch.column("queries"), batch.column("targets"), strict=True):
-                (qc, _, q), (tc, tid, t) = block(x), block(y)
-                qi, ti, offset, votes, error = align(q, t, most_error=most_error, least_votes=least_votes, least_overlap=least_overlap)
-                other = np.array([qc[a] != tc[b] for a, b in zip(qi.tolist(), ti.tolist(), strict=True)], bool)
-                qi, ti, offset, votes, error = (v[other] for v in (qi, ti, offset, votes, error))
-                rank = np.array([(tid[b] is None, tid[b] or 0) for b in ti.tolist()], [("no", bool), ("id", object)]) if len(ti) else None
-                order = sorted(range(len(qi)), key=lambda i: (qi[i], error[i], tuple(rank[i]))) if len(qi) else []
-                rows: dict[int, list] = {}
-                for i in order:
-                    r = rows.setdefault(int(qi[i]), [0, []])
-                    r[0] += int(t.copies[ti[i]])
-                    r[1].append({"error": float(error[i]), "id": tid[ti[i]], "offset": int(offset[i]), "votes": int(votes[i])})
-                yield pa.RecordBatch.from_pylist([{"cls": qc[k], "n": r[0], "best": r[1]} for k, r in rows.items()], schema=shape)
-
+    cls = F.when(F.instr(F.hex("sounding"), "01") > 0, F.unhex(F.substring(F.sha2(F.concat("code", "sounding"), 256), 1, 32)))
+    p = written(p.withColumn("cls", cls), "prints")
+    classes = p.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("asks").alias("asks"), F.first("code").alias("code"), F.first("sounding").alias("sounding"))
+    classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
+    own = p.filter("asks").join(classes.select("cls", "id", "copies", "num"), "cls", "left")
+    asked = classes.filter("asks").select("num", "code", "sounding")
+    if excerpts is not None:  # numbered below nought
+        e = excerpts.select(F.col(id_col).alias("e"), "code", "sounding").withColumn("num", -1 - F.monotonically_increasing_id())
+        e = written(e.filter("e IS NOT NULL"), "excerpts")
+        asked = asked.unionByName(e.select("num", "code", "sounding"))
+    found = written(align(asked, classes.select("num", "code", "sounding"), **limits).filter("q <> t"), "found")
+    named = join_on(found, classes.select(F.col("num").alias("t"), "id", "copies"), ["t"])
     near = f"array<struct<error:double,id:{kind},offset:bigint,votes:bigint>>"
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    shape = to_arrow_schema(_parse_datatype_string(f"struct<cls:string,n:bigint,best:{near}>"))
-    found = blobs.select("queries", "targets").mapInArrow(run, f"cls string, n bigint, best {near}")
-    # of each class as many rows as there are blocks
-    found = found.groupBy("cls").agg(F.sum("n").alias("n"), F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
-    known = classes.select("cls", "id", "copies").join(found, "cls", "left")
-    out = p.filter("asks").select("key", "cls").join(known, "cls", "left")
-    return out.select(
+    lists = named.filter("q >= 0").groupBy(F.col("q").alias("num")).agg(F.sum("copies").alias("n"), F.array_sort(F.collect_list(F.struct("error", "id", "offset", "votes"))).alias("best"))
+    out = own.join(lists, "num", "left").select(
         F.col("key").alias(id_col),
         F.col("id").alias("class_id"),
         F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"),
         F.transform(F.coalesce("best", F.array().cast(near)), lambda m: F.struct(m["id"].alias("id"), m["offset"].alias("offset"), m["votes"].alias("votes"), m["error"].alias("error"))).alias("matches"),
+        *([] if excerpts is None else [F.col("num").alias("__num")]),
     )
+    if excerpts is None:
+        return out
+    truth = e.join(out.select(F.col(id_col).alias("e"), F.col("__num").alias("want")).distinct(), "e").select("e", "num", "want")
+    seen = truth.join(found.withColumnRenamed("q", "num"), "num", "left")
+    best = F.min(F.when(F.col("t") == F.col("want"), F.struct("error", "offset"))).alias("x")
+    told = seen.groupBy("e").agg(best, F.count_distinct(F.when(F.col("t") != F.col("want"), F.col("t"))).alias("excerpt_others"))
+    told = told.select("e", F.col("x.offset").alias("excerpt_offset"), F.col("x.error").alias("excerpt_error"), "excerpt_others")
+    return out.drop("__num").join(told, F.col(id_col) == F.col("e"), "left").drop("e")
 
 
 #: A vector's recording: a chord for each number, of so many samples, of so many following numbers.
@@ -264,3 +312,13 @@ def render(vector: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.float32)
     loud = np.abs(np.take(v, np.arange(len(v))[:, None] + np.arange(VOICES), mode="wrap"))
     return (loud @ _TONES).ravel()
+
+
+def excerpt(vector: np.ndarray, *, drop: float = 0.3, noise: float = 0.1) -> np.ndarray:
+    """An altered recording of a vector: without its first part, which is no whole number of frames, louder by a half and with noise (a share of its own strength), drawn from the vector's bytes."""
+    x = render(vector)
+    x = x[int(len(x) * drop) :]
+    if not len(x):
+        return x
+    r = np.random.default_rng(np.frombuffer(np.nan_to_num(np.asarray(vector, np.float32)).tobytes(), np.uint32))
+    return 1.5 * x + r.normal(0, noise * float(np.sqrt(np.mean(x * x))) + 1e-9, len(x)).astype(np.float32)

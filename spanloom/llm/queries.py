@@ -84,9 +84,11 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recordings made of all embeddings (the tables have no audio): those with an id divisible by 50 sought among all."""
-    prints = chroma.fingerprints(table(spark, sf_dir, "embeddings"), id_col="vec_id", audio_col="embedding", decode=chroma.render)
-    return chroma.search(prints, F.col("vec_id") % 50 == 0, id_col="vec_id")
+    """Recordings made of all embeddings (the tables have no audio): those with an id divisible by 50 sought among all, and an altered excerpt of each of these too."""
+    vectors, asks = table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0
+    prints = chroma.fingerprints(vectors, id_col="vec_id", audio_col="embedding", decode=chroma.render)
+    altered = chroma.fingerprints(vectors.filter(asks), id_col="vec_id", audio_col="embedding", decode=chroma.excerpt, phases=4)
+    return chroma.search(prints, asks, id_col="vec_id", excerpts=altered)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from spanloom.llm import chroma
+from conftest import DATA
+from spanloom.llm import chroma, queries
 
 
 def tune(seed, notes=60):
@@ -14,16 +15,72 @@ def pcm(x):
     return (np.clip(x, -1, 1) * 30000).astype("<i2").tobytes()
 
 
-def test_a_shifted_noisy_copy_is_aligned():
-    a = tune(1)
+def prints_of(spark, recordings):
+    """num, code, sounding."""
+    rows = [(k, c.astype("<u4").tobytes(), s.tobytes()) for k, x in recordings for c, s in [chroma.fingerprint(x)]]
+    return spark.createDataFrame(rows, "num long, code binary, sounding binary")
+
+
+def brute(queries, every, most_error=0.2, least_votes=2, least_overlap=32):
+    """All pairs, all offsets."""
+    out = {}
+    for q, x in queries:
+        qc, qs = chroma.fingerprint(x)
+        for t, y in every:
+            tc, ts = chroma.fingerprint(y)
+            best = None
+            for off in range(-len(qc) + 1, len(tc)):
+                i = np.arange(max(0, -off), min(len(qc), len(tc) - off))
+                same = (qc[i] == tc[i + off]) & qs[i] & ts[i + off]
+                near = np.diff(i, append=-1) == 1
+                votes = int((same & np.append(same[1:], False) & near).sum())
+                if votes >= least_votes and (best is None or (-votes, abs(off), off) < best[:3]):
+                    both = qs[i] & ts[i + off]
+                    error = float(np.bitwise_count(qc[i] ^ tc[i + off])[both].sum() / max(both.sum(), 1) / 32)
+                    best = (-votes, abs(off), off, error, int(both.sum()))
+            if best and best[3] <= most_error and best[4] >= least_overlap:
+                out[q, t] = (best[2], -best[0], round(best[3], 9))
+    return out
+
+
+def test_align_against_brute_force(spark, monkeypatch):
     r = np.random.default_rng(2)
-    b = np.concatenate([tune(9, 10), a])[: len(a)] + r.normal(0, 0.02, len(a)).astype(np.float32)
-    fp = [chroma.fingerprint(x) for x in (a, b, tune(3))]
-    block = chroma.Block([0, 1, 2], [c.astype("<u4").tobytes() for c, _ in fp], [s.tobytes() for _, s in fp], [1] * 3)
-    qi, ti, offset, votes, error = chroma.align(block, block, most_error=0.2, least_votes=2, least_overlap=16)
-    pairs = {(q, t): (o, e) for q, t, o, e in zip(qi.tolist(), ti.tolist(), offset.tolist(), error.tolist())}
-    assert pairs[0, 1][0] == 10 * 512 // chroma.HOP and pairs[1, 0][0] == -pairs[0, 1][0] and pairs[0, 0] == (0, 0.0)
-    assert (0, 2) not in pairs and (2, 1) not in pairs
+    every = [(i, tune(i)) for i in range(14)] + [(20, np.zeros(30_000, np.float32)), (21, np.zeros(10, np.float32)), (22, np.sin(np.arange(40_000) * 0.7).astype(np.float32))]
+    asked = [(100 + i, np.concatenate([tune(50 + i, 10), tune(i)])[: 60 * 512] + r.normal(0, 0.02, 60 * 512).astype(np.float32)) for i in range(6)]
+    asked += [(200 + i, tune(i)[9 * 512 :]) for i in range(6)] + [(300, every[-1][1][5000:]), (301, tune(77)), (302, every[-2][1])]
+    want = brute(asked, every)
+    assert sum((100 + i, i) in want and (200 + i, i) in want for i in range(6)) >= 5 and want[200, 0][0] == 9 * 512 // chroma.HOP and (300, 22) in want
+    got = lambda: {(x["q"], x["t"]): (x["offset"], x["votes"], round(x["error"], 9)) for x in chroma.align(prints_of(spark, asked), prints_of(spark, every)).collect()}
+    assert got() == want
+    monkeypatch.setattr(chroma, "TASK_MARKS", 20)  # all tasks are parted
+    monkeypatch.setattr(chroma, "LEAST_TASKS", 3)
+    assert got() == want
+    empty = prints_of(spark, every).limit(0)
+    assert chroma.align(empty, empty).collect() == [] == chroma.align(prints_of(spark, asked), empty).collect()
+
+
+def test_excerpts_of_the_querys_own_recordings_are_found(spark):
+    """Recall of cut, louder and noisy recordings, and alignments with others, on the query's table."""
+    got = queries.op10_chroma(spark, f"{DATA}/sf0.01").collect()
+    assert len(got) >= 10
+    found = [x for x in got if x["excerpt_error"] is not None]
+    assert len(found) >= 0.9 * len(got) and sum(x["excerpt_others"] for x in got) <= 0.1 * len(got)
+    assert all(abs(x["excerpt_offset"] - 0.3 * 64 * chroma.CHORD / chroma.HOP) <= 1 for x in found)
+
+
+def test_recall_of_shifted_noisy_recordings(spark):
+    r = np.random.default_rng(6)
+    base = {i: r.normal(0, 0.125, 64).astype(np.float32) for i in range(120)}
+    every = [(i, chroma.render(x)) for i, x in base.items()]
+    asked = []
+    for i in range(60):
+        x = chroma.render(base[i])
+        x = np.concatenate([chroma.render(base[i + 60])[: int(r.integers(2000, 9000))], x])[: len(x)]
+        asked.append((1000 + i, (x + r.normal(0, 0.05 * x.std(), len(x))).astype(np.float32)))
+    phased = [(1000 * k + q, x[k * chroma.HOP // 4 :]) for q, x in asked for k in range(4)]
+    got = {(x["q"] % 1000, x["t"]) for x in chroma.align(prints_of(spark, [(k * 1000 + q % 1000, x) for n, (q, x) in enumerate(phased) for k in [n % 4]]), prints_of(spark, every)).collect()}
+    assert sum((i, i) in got for i in range(60)) >= 54
+    assert len(got - {(i, i) for i in range(60)} - {(i, i + 60) for i in range(60)}) <= 2
 
 
 def test_integral_image_areas():
@@ -61,13 +118,13 @@ def test_search_against_brute_force(spark):
     assert chroma.search(prints, F.lit(False), id_col="id").collect() == []
 
 
-def test_blocks_change_nothing(spark, monkeypatch):
+def test_parted_tasks_change_nothing(spark, monkeypatch):
     rows = [(i, pcm(tune(i % 7) + np.random.default_rng(i).normal(0, 0.01, 60 * 512))) for i in range(30)]
     prints = chroma.fingerprints(spark.createDataFrame(rows, "id long, audio binary"), id_col="id", audio_col="audio")
     shape = lambda: sorted((r["id"], r["n_matches"], tuple(m["id"] for m in r["matches"])) for r in chroma.search(prints, F.col("id") < 10, id_col="id").collect())
     one = shape()
     assert all(n >= 3 for _, n, _ in one)
-    monkeypatch.setattr(chroma, "BLOCK", 4)
+    monkeypatch.setattr(chroma, "TASK_MARKS", 50)
     assert shape() == one
 
 
