@@ -76,7 +76,8 @@ def test_sample_is_bounded_and_even(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"), F.when(F.col("id") % 30 == 0, "rare").otherwise("common").alias("lang"))
     got = langid.sample(df, id_col="doc_id", text_col="text", label_col="lang", most_docs=100)
     assert len(got) <= 100 and sum(a == "rare" for a, _ in got) >= 35 and all(t.startswith("text ") for _, t in got)
-    assert len(langid.sample(df.unionByName(df), id_col="doc_id", text_col="text", label_col="lang", most_docs=100)) == len(set(got))
+    twice = langid.sample(df.unionByName(df), id_col="doc_id", text_col="text", label_col="lang", most_docs=100)
+    assert len(twice) == len(set(twice)) >= 80
 
 
 def test_all_of_a_text_is_learnt_from(spark, monkeypatch):
