@@ -134,10 +134,21 @@ def fingerprints(rows: DataFrame, *, id_col: str, audio_col: str, decode: Callab
 TASK_MARKS, LEAST_TASKS = 500_000, 64
 
 
+#: Places ahead of a landmark's first integer where its others stand.
+AHEAD = (2, 4)
+
+
 def landmarks(code: np.ndarray, sound: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place, mark): each two integers in succession as one of 64 bits, where both sound."""
-    at = np.flatnonzero(sound[1:] & sound[:-1]) if len(code) else np.zeros(0, np.int64)
-    return at, mix(code[at].astype(np.uint64) << np.uint64(32) | code[at + 1])
+    """(place, mark): a place's integer with those AHEAD, mixed to one of 64 bits, where all of them sound."""
+    n = len(code) - max(AHEAD)
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    ok, mark = sound[:n].copy(), code[:n].astype(np.uint64)
+    for k in AHEAD:
+        ok &= sound[k : k + n]
+        mark = mix(mark + np.uint64(k)) ^ code[k : k + n]
+    at = np.flatnonzero(ok)
+    return at, mix(mark[at])
 
 
 def _marks(tasks: int):
@@ -222,7 +233,7 @@ def _judge(most_error: float, least_overlap: int):
     return run
 
 
-def align(asked: DataFrame, every: DataFrame, *, most_error: float = 0.2, least_votes: int = 2, least_overlap: int = 32) -> DataFrame:
+def align(asked: DataFrame, every: DataFrame, *, most_error: float = 0.2, least_votes: int = 1, least_overlap: int = 32) -> DataFrame:
     """q, t, offset, votes, error: for each recording asked for (num, code, sounding) those of every (the same columns) that are aligned with it.
 
     Landmarks are the index: they are shuffled by their integer, with the recording and the place,
@@ -270,9 +281,10 @@ def search(prints: DataFrame, is_query, *, id_col: str, excerpts: DataFrame | No
     p = prints.select(F.col(id_col).alias("key"), is_query.alias("asks"), "code", "sounding")
     cls = F.when(F.instr(F.hex("sounding"), "01") > 0, F.unhex(F.substring(F.sha2(F.concat("code", "sounding"), 256), 1, 32)))
     p = written(p.withColumn("cls", cls), "prints")
+    mine = written(p.filter("asks"), "queries")
     classes = p.filter(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("copies"), F.max("asks").alias("asks"), F.first("code").alias("code"), F.first("sounding").alias("sounding"))
     classes = written(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
-    own = p.filter("asks").join(classes.select("cls", "id", "copies", "num"), "cls", "left")
+    own = written(join_on(mine, classes.select("cls", "id", "copies", "num"), ["cls"], "left"), "queries")
     asked = classes.filter("asks").select("num", "code", "sounding")
     if excerpts is not None:  # numbered below nought
         e = excerpts.select(F.col(id_col).alias("e"), "code", "sounding").withColumn("num", -1 - F.monotonically_increasing_id())
@@ -282,7 +294,7 @@ def search(prints: DataFrame, is_query, *, id_col: str, excerpts: DataFrame | No
     named = join_on(found, classes.select(F.col("num").alias("t"), "id", "copies"), ["t"])
     near = f"array<struct<error:double,id:{kind},offset:bigint,votes:bigint>>"
     lists = named.filter("q >= 0").groupBy(F.col("q").alias("num")).agg(F.sum("copies").alias("n"), F.array_sort(F.collect_list(F.struct("error", "id", "offset", "votes"))).alias("best"))
-    out = own.join(lists, "num", "left").select(
+    out = join_on(own, lists, ["num"], "left").select(
         F.col("key").alias(id_col),
         F.col("id").alias("class_id"),
         F.coalesce(F.col("copies") - 1, F.lit(0)).cast("long").alias("n_copies"),

@@ -21,7 +21,7 @@ def prints_of(spark, recordings):
     return spark.createDataFrame(rows, "num long, code binary, sounding binary")
 
 
-def brute(queries, every, most_error=0.2, least_votes=2, least_overlap=32):
+def brute(queries, every, most_error=0.2, least_votes=1, least_overlap=32):
     """All pairs, all offsets."""
     out = {}
     for q, x in queries:
@@ -32,8 +32,7 @@ def brute(queries, every, most_error=0.2, least_votes=2, least_overlap=32):
             for off in range(-len(qc) + 1, len(tc)):
                 i = np.arange(max(0, -off), min(len(qc), len(tc) - off))
                 same = (qc[i] == tc[i + off]) & qs[i] & ts[i + off]
-                near = np.diff(i, append=-1) == 1
-                votes = int((same & np.append(same[1:], False) & near).sum())
+                votes = int((same[:-4] & same[2:-2] & same[4:]).sum()) if len(same) > 4 else 0
                 if votes >= least_votes and (best is None or (-votes, abs(off), off) < best[:3]):
                     both = qs[i] & ts[i + off]
                     error = float(np.bitwise_count(qc[i] ^ tc[i + off])[both].sum() / max(both.sum(), 1) / 32)
