@@ -31,9 +31,9 @@ class Detector:
         return out
 
     def context(self, text: Column) -> Column:
-        """Places, names and addresses."""
-        parts = [places.place_spans(text, self.gazetteer), names.name_spans(text, self.name_rules), names.address_spans(text)]
-        every = F.concat(*parts)
+        """Places, names and addresses. One pass asks for any of the places and titles, so most texts are not searched for each kind."""
+        terms = spans.seen(text, spans.ANY_CASE + places.any_of(sorted({*self.gazetteer.terms(), *names.TITLES})))
+        every = spans.let(terms, lambda some: F.concat(places.place_spans(text, self.gazetteer, guard=some), names.name_spans(text, self.name_rules, titled=some), names.address_spans(text)))
         return every if self.types is None else F.filter(every, lambda s: s["entity_type"].isin(*self.types))
 
     def union(self, text: Column, model: Column | None = None) -> Column:

@@ -19,6 +19,7 @@ FRAGMENTS = (
     "chinwe", "ikenna", "obinna", "chioma", "amaka", "nkechi", "kelechi", "okoro", "onyekachi", "chiamaka", "okafor", "nwosu", "anyanwu",
     "adebayo", "adeyemi", "oluwaseun", "folake", "olamide", "temitope", "adewale", "oluwafemi", "bunmi", "yetunde", "babatunde", "ayodele",
     "olusegun", "abiodun", "oyinlola", "adeola", "kehinde", "taiwo", "olawale", "adekunle", "ogundipe", "afolabi", "ade", "oladele",
+    "omitogun", "oluwatoni",
     "ibrahim", "musa", "aisha", "fatima", "yusuf", "sani", "bello", "aliyu", "hassan", "hussaini", "muhammad", "mohammed",
     "abubakar", "garba", "usman", "suleiman", "zainab", "hadiza", "amina", "yakubu",
     "peter", "john", "james", "paul", "mary", "grace", "victoria", "comfort", "blessing", "joseph", "daniel", "david", "samuel",
@@ -114,18 +115,14 @@ def _named(places: Column, rules: NameRules, rank: int, base: float, weight: flo
     return F.transform(scored, lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(rank).alias("rank"), F.least(F.lit(most), F.lit(base) + weight * p["share"]).alias("score"), p["text"].alias("text")))
 
 
-def name_places(text: Column, rules: NameRules = DEFAULT) -> Column:
-    """Names after a label, after a title, and bare ones of known parts; at one place the first of these counts."""
+def name_places(text: Column, rules: NameRules = DEFAULT, titled: Column | None = None) -> Column:
+    """Names after a label, after a title, and bare ones of known parts; at one place the first of these counts. titled: whether the text has any title."""
     label = _named(spans.matches(text, rules.label, 1, guard=":"), rules, 0, 0.7, 0.15, 0.95)
-    title = _named(spans.matches(text, rules.title, 1), rules, 1, 0.75, 0.15, 0.95)
+    title = _named(spans.matches(text, rules.title, 1, guard=titled), rules, 1, 0.75, 0.15, 0.95)
     free = _named(spans.matches(text, SHAPE), rules, 2, 0.5, 0.2, 1.0, bare=True)
-    every, kind = F.sort_array(F.concat(label, title, free)), "array<struct<start:int,end:int,rank:int,score:double,text:string>>"
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        return F.when((F.size(acc) > 0) & (last["start"] == x["start"]) & (last["end"] == x["end"]), acc).otherwise(F.concat(acc, F.array(x)))
-
-    return F.aggregate(every, F.array().cast(kind), step)
+    # (sorted: equal places stand together, the first kind first)
+    new = lambda x, y: (x["start"] != y["start"]) | (x["end"] != y["end"])
+    return spans.let(F.sort_array(F.concat(label, title, free)), lambda e: F.filter(e, lambda x, i: (i == 0) | new(F.get(e, i - 1), x)))
 
 
 def address_pattern() -> str:
@@ -137,8 +134,8 @@ def address_places(text: Column) -> Column:
     return spans.matches(text, address_pattern(), guard="|".join(ROADS))
 
 
-def name_spans(text: Column, rules: NameRules = DEFAULT, src: int = 1) -> Column:
-    return F.transform(name_places(text, rules), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(src).alias("src"), F.lit(3).alias("ord"), F.lit("PERSON_NAME").alias("entity_type"), F.round(p["score"], 2).alias("score"), F.lit("local_context").alias("source"), p["text"].alias("text"))).cast(spans.SPANS)
+def name_spans(text: Column, rules: NameRules = DEFAULT, src: int = 1, titled: Column | None = None) -> Column:
+    return F.transform(name_places(text, rules, titled), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end"), F.lit(src).alias("src"), F.lit(3).alias("ord"), F.lit("PERSON_NAME").alias("entity_type"), F.round(p["score"], 2).alias("score"), F.lit("local_context").alias("source"), p["text"].alias("text"))).cast(spans.SPANS)
 
 
 def address_spans(text: Column, src: int = 1) -> Column:

@@ -74,6 +74,9 @@ class Gazetteer:
         """The state of each area; of several the last."""
         return dict(self.lgas)
 
+    def terms(self) -> set[str]:
+        return {*(a for a, _ in self.lgas), *self.states, *self.aliases, *self.ethnic}
+
     def patterns(self) -> dict[str, str]:
         """G02 to G04, by entity type."""
         return {"LGA": any_of(sorted({a for a, _ in self.lgas})), "STATE_OF_ORIGIN": any_of(sorted({*self.states, *self.aliases})), "ETHNIC_GROUP": any_of(self.ethnic)}
@@ -84,11 +87,11 @@ DEFAULT = Gazetteer()
 SCORES = {"LGA": 0.85, "STATE_OF_ORIGIN": 0.85, "ETHNIC_GROUP": 0.8}
 
 
-def term_places(text: Column, pattern: str) -> Column:
-    return spans.matches(text, spans.ANY_CASE + pattern)
+def term_places(text: Column, pattern: str, guard: Column | None = None) -> Column:
+    return spans.matches(text, spans.ANY_CASE + pattern, guard=guard)
 
 
-def place_spans(text: Column, gazetteer: Gazetteer = DEFAULT, src: int = 1) -> Column:
-    """Areas, states and groups, in that order at one place."""
-    parts = [spans.as_spans(term_places(text, rx), src=src, ord_=i, entity_type=kind, source="local_context", score=lambda p, k=kind: F.lit(SCORES[k])) for i, (kind, rx) in enumerate(gazetteer.patterns().items())]
+def place_spans(text: Column, gazetteer: Gazetteer = DEFAULT, src: int = 1, guard: Column | None = None) -> Column:
+    """Areas, states and groups, in that order at one place. guard: whether the text has any of these terms."""
+    parts = [spans.as_spans(term_places(text, rx, guard), src=src, ord_=i, entity_type=kind, source="local_context", score=lambda p, k=kind: F.lit(SCORES[k])) for i, (kind, rx) in enumerate(gazetteer.patterns().items())]
     return F.concat(*parts)

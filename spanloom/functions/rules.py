@@ -36,6 +36,15 @@ class PatternRule:
     valid: Callable[[Column], Column] | None = None
     guard: str = "[0-9]"
 
+    @property
+    def digits(self) -> bool:
+        """Whether every match has a digit."""
+        return "[0-9]" in self.guard or r"\d" in self.guard
+
+    @property
+    def ascii_digits(self) -> bool:
+        return r"\d" not in self.guard
+
 
 # Entity types, patterns, scores and context words.
 NYSC_WORDS = ("NYSC", "call-up", "corps member", "state code", "orientation camp")
@@ -82,8 +91,16 @@ def rule_places(text: Column, rule: PatternRule) -> Column:
 
 def rule_spans(text: Column, rule: PatternRule, ord_: int) -> Column:
     """Spans of one rule, with the score that context or the validator gives."""
-    score = (lambda p: F.lit(1.0)) if rule.valid else (lambda p: spans.boosted(text, p["start"], rule.score, rule.context))
-    return spans.as_spans(rule_places(text, rule), src=SRC["pattern"], ord_=ord_, entity_type=rule.entity_type, source="pattern", score=score)
+    same = {"src": SRC["pattern"], "ord_": ord_, "entity_type": rule.entity_type, "source": "pattern"}
+    if rule.valid or not rule.context:
+        return spans.as_spans(rule_places(text, rule), **same, score=lambda p: F.lit(1.0 if rule.valid else rule.score))
+    score = spans.boosted(rule.score, rule.context)
+
+    def scored(p: Column) -> Column:
+        both = F.zip_with(spans.placed(p), spans.before(p), lambda x, near: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), score(near).alias("score")))
+        return F.when(F.size(p) > 2, spans.as_spans(both, **same, score=lambda x: x["score"])).otherwise(spans.none())
+
+    return spans.let(spans.parts(text, spans.ANY_CASE + rule.regex, guard=rule.guard), scored)
 
 
 def pattern_spans(text: Column, types: tuple[str, ...] | None = None, rules: tuple[PatternRule, ...] = RULES) -> Column:
@@ -94,7 +111,10 @@ def pattern_spans(text: Column, types: tuple[str, ...] | None = None, rules: tup
     wanted = [(i, r) for i, r in enumerate(rules) if types is None or r.entity_type in types]
     if not wanted:
         return spans.none()
-    every = F.concat(*[rule_spans(text, r, i) for i, r in wanted])
+    # most texts have no digit, so most rules are asked about at once
+    digits = [rule_spans(text, r, i) for i, r in wanted if r.digits]
+    others = [rule_spans(text, r, i) for i, r in wanted if not r.digits]
+    every = F.concat(*([F.when(text.rlike("[0-9]" if all(r.ascii_digits for _, r in wanted) else r"(?U)\d"), F.concat(*digits)).otherwise(spans.none())] if digits else []), *others)
     # by score first: the order within a source decides between equal priorities
     ranked = F.sort_array(F.transform(every, lambda s: F.struct((-s["score"]).alias("k"), s.alias("s"))))
     return F.transform(ranked, lambda x, i: F.struct(*[(i if c == "ord" else x["s"][c]).alias(c) for c in ("start", "end", "src", "ord", "entity_type", "score", "source", "text")])).cast(spans.SPANS)

@@ -22,42 +22,120 @@ def none(kind: str = SPANS) -> Column:
     return F.array().cast(kind)
 
 
-def matches(text: Column, pattern: str, group: int = 0, guard: str | None = None) -> Column:
-    """All matches as PLACE, by start. group: of each match only that group, which must end where the match ends.
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x), with x evaluated once. Functions of arrays are interpreted and share no equal parts, so what they use more than once is bound here."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+#: Entries that a fold holds at once in running().
+BLOCK = 64
+
 
-    The parts between matches and the matches alternate, so their lengths give the places (D01 to D16).
-    guard: a cheap pattern that every text with a match has; others are not searched.
+def running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each entry op (a sum or greatest(), from 0) over all entries up to it.
+
+    A fold that appends to an array copies it each time, so values are folded in blocks, and so are
+    the blocks' ends: work grows with the number of entries (and only its square over 64 twice).
     """
-    # functions of arrays are interpreted, without sharing of equal parts: each pattern stands here once
-    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")]
+    def fold(v: Column) -> Column:
+        return F.aggregate(v, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(op(F.element_at(acc, -1), x))))
+
+    def carried(blocks: Column) -> Column:
+        ends = fold(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return let(ends, lambda base: F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(b, F.lit(2), F.size(b)), lambda x: op(F.get(base, i), x)))))
+
+    numbers = lambda v: F.sequence(F.lit(0), F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0)))
+    return let(values, lambda v: let(F.transform(numbers(v), lambda k: fold(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)))), carried))
+
+
+#: Stands at both ends of a match in a marked text, and what stands for it if the text itself has it. Neither is of a word, white space or in a pattern.
+_MARK, _OTHER = "\x01", "\x02"
+
+
+def _first_group(pattern: str) -> int:
+    """Where a pattern's first group with a number opens."""
+    return re.search(r"(?<!\\)\((?!\?)", pattern).start()
+
+
+def seen(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches somewhere; Unicode classes as in parts()."""
+    flags, body = _flags(pattern)
+    if not flags:
+        return text.rlike(pattern)
+    return F.when(F.octet_length(text) == F.char_length(text), text.rlike(_plain(flags) + body)).otherwise(text.rlike(pattern))
+
+
+def _flags(pattern: str) -> tuple[str, str]:
+    flags = next((f for f in (ANY_CASE, UNICODE) if pattern.startswith(f)), "")
+    return flags, pattern[len(flags) :]
+
+
+def _plain(flags: str) -> str:
+    return flags.replace("U", "").replace("(?)", "")
+
+
+def parts(text: Column, pattern: str, group: int = 0, guard: str | Column | None = None) -> Column:
+    """What stands before the first match, the match, what stands before the next one, and so on (an odd number of strings).
+
+    The pattern runs once, and a literal split parts what it marked. group: 1 to have the first
+    group alone as the match; the pattern must end with it. In a text of ASCII alone Unicode classes
+    mean the same as plain ones, which are faster. guard: see matches().
+    """
+    plain = F.translate(text, _MARK, _OTHER)
+    (flags, body), new = _flags(pattern), f"{_MARK}$0{_MARK}"
     if group:
-        found.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("g"))
-    zero = F.struct(F.lit(0).alias("at"), none(PLACE).alias("out"))
+        at = _first_group(body)
+        body, new = f"({body[:at]}){body[at:]}", f"$1{_MARK}$2{_MARK}"
+    done = F.regexp_replace(plain, F.lit(flags + body), F.lit(new))
+    if flags:
+        done = F.when(F.octet_length(text) == F.char_length(text), F.regexp_replace(plain, F.lit(_plain(flags) + body), F.lit(new))).otherwise(done)
+    some = F.split(done, _MARK, -1)
+    if guard is None:
+        return some
+    return F.when(text.rlike(guard) if isinstance(guard, str) else guard, some).otherwise(F.array(text))
+
+
+def matches(text: Column, pattern: str, group: int = 0, guard: str | Column | None = None) -> Column:
+    """All matches as PLACE, by start. group: of each match only that group, which must end where the match ends.
+
+    The parts between matches and the matches alternate, so the running sum of their lengths gives
+    the places (D01 to D16). guard: a cheap pattern that every text with a match has, or whether this one has it;
+    others are not searched.
+    """
+    return let(parts(text, pattern, group, guard), placed)
+
 
-    def step(acc: Column, x: Column) -> Column:
-        part = x["g"] if group else x["m"]
-        end = acc["at"] + F.length(x["gap"]) + F.length(x["m"])
-        one = F.struct(part.alias("text"), (end - F.length(part)).alias("start"), end.alias("end"))
-        # what stands after the last match has no match
-        return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one).cast(PLACE)).alias("out")))
+def placed(p: Column) -> Column:
+    """PLACE of each second part."""
+    one = lambda x, end: F.struct(x.alias("text"), (end - F.length(x)).alias("start"), end.alias("end"))
+    found = let(running(F.transform(p, F.length), lambda a, b: a + b), lambda ends: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: one(F.get(p, i), F.get(ends, i))))
+    return F.when(F.size(p) > 2, found).otherwise(none(PLACE))
 
-    got = F.aggregate(F.arrays_zip(*found), zero, step)["out"]
-    return F.when(text.rlike(guard or pattern), got).otherwise(none(PLACE))
 
+#: Words before a match that count as its context, of at most so many characters; and how many parts hold these at most, as every rule's match has seven characters.
+CONTEXT_WORDS, CONTEXT_CHARS, CONTEXT_PARTS = 5, 100, 30
 
-def words_before(text: Column, start: Column, words: int = 5, chars: int = 100) -> Column:
-    """The last so many words before a place, of at most so many characters, in lower case."""
-    near = F.substr(text, F.greatest(start - chars, F.lit(0)) + 1, F.least(start, F.lit(chars)))
-    return F.lower(F.substring_index(F.trim(F.regexp_replace(near, r"\s+", " ")), " ", -words))
 
+def tails(p: Column, chars: int, most: int) -> Column:
+    """For each second part the last characters before it, so many at most, which so many parts hold for certain."""
+    cut = lambda x: F.right(x, F.lit(chars))
+    near = lambda t: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), lambda i: cut(F.array_join(F.slice(t, F.greatest(i - most, F.lit(0)) + 1, F.least(i, F.lit(most))), "")))
+    return let(F.transform(p, cut), near)
 
-def boosted(text: Column, start: Column, score: float, context: tuple[str, ...]) -> Column:
-    """The score, with 0.35 more (0.4 at least, 1 at most) where a word or phrase of the context stands shortly before."""
+
+def before(p: Column) -> Column:
+    """For each second part the last words before it in lower case."""
+    words = lambda near: F.lower(F.substring_index(F.trim(F.regexp_replace(near, r"\s+", " ")), " ", -CONTEXT_WORDS))
+    return F.transform(tails(p, CONTEXT_CHARS, CONTEXT_PARTS), words)
+
+
+def boosted(score: float, context: tuple[str, ...]) -> Callable[[Column], Column]:
+    """The score by what before() gives: 0.35 more (0.4 at least, 1 at most) where a word or phrase of the context stands there."""
     if not context:
-        return F.lit(float(score))
+        return lambda near: F.lit(float(score))
     # one pattern, so that what stands before is cut out once
-    seen = words_before(text, start).rlike("|".join(re.escape(w.lower()) for w in context))
-    return F.when(seen, F.lit(round(min(1.0, max(0.4, score + 0.35)), 2))).otherwise(F.lit(float(score)))
+    seen = "|".join(re.escape(w.lower()) for w in context)
+    return lambda near: F.when(near.rlike(seen), F.lit(round(min(1.0, max(0.4, score + 0.35)), 2))).otherwise(F.lit(float(score)))
 
 
 def as_spans(places: Column, *, src: int, ord_: int, entity_type: str, source: str, score: Callable[[Column], Column]) -> Column:
@@ -85,11 +163,34 @@ def priority(s: Column, classes: dict[str, tuple[str, ...]]) -> Column:
     return out
 
 
+def united(a: Column, b: Column, text: Column) -> Column:
+    """The text from the start of the first of two overlapping spans to the end of the last, from their own texts where they have them."""
+    def two(x: Column, y: Column) -> Column:  # x starts first
+        own = (F.length(x["text"]) == x["end"] - x["start"]) & (F.length(y["text"]) == y["end"] - y["start"])
+        longer = F.when(own, F.concat(x["text"], F.substr(y["text"], x["end"] - y["start"] + 1))).otherwise(slice_text(text, x["start"], y["end"]))
+        return F.when(y["end"] > x["end"], longer).when(F.length(x["text"]) == x["end"] - x["start"], x["text"]).otherwise(slice_text(text, x["start"], x["end"]))
+
+    return F.when(a["start"] <= b["start"], two(a, b)).otherwise(two(b, a))
+
+
+def clusters(spans: Column, kind: str = SPANS) -> Column:
+    """Sorted spans (of that type) in runs: a span that starts where all before it have ended opens a new one."""
+    def cut(s: Column) -> Column:
+        def at(most: Column) -> Column:
+            opens = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | F.coalesce(F.get(s, i)["start"] >= F.get(most, i - 1), F.lit(False)))
+            return let(opens, lambda o: F.transform(o, lambda b, j: F.slice(s, b + 1, F.coalesce(F.get(o, j + 1), F.size(s)) - b)))
+
+        return F.when(F.size(s) > 0, let(running(F.transform(s, lambda x: x["end"]), F.greatest), at)).otherwise(F.array().cast(f"array<{kind}>"))
+
+    return let(spans, cut)
+
+
 def resolve(spans: Column, text: Column, classes: dict[str, tuple[str, ...]]) -> Column:
     """Spans in order, each against the last kept one; of two that overlap one stays.
 
     The lesser priority stays; of equal ones under 4 the earlier; of two at 4 the higher score, then
     the longer, then the earlier. Where both have one type, what stays is widened over both (M04).
+    Spans of different clusters don't touch, so the fold goes cluster by cluster.
     """
     def step(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
@@ -100,14 +201,14 @@ def resolve(spans: Column, text: Column, classes: dict[str, tuple[str, ...]]) ->
         lo, hi = F.least(s["start"], last["start"]), F.greatest(s["end"], last["end"])
 
         def one(w: Column) -> Column:
-            wide = F.struct(lo.alias("start"), hi.alias("end"), w["src"].alias("src"), w["ord"].alias("ord"), w["entity_type"].alias("entity_type"), w["score"].alias("score"), w["source"].alias("source"), slice_text(text, lo, hi).alias("text"))
+            wide = F.struct(lo.alias("start"), hi.alias("end"), w["src"].alias("src"), w["ord"].alias("ord"), w["entity_type"].alias("entity_type"), w["score"].alias("score"), w["source"].alias("source"), united(s, last, text).alias("text"))
             return F.when(same, wide.cast(SPAN)).otherwise(w)
 
         winner = F.transform(F.array(F.when(newer, s).otherwise(last)), one)
         clash = (F.size(acc) > 0) & overlaps(last, s)
         return F.when(clash, F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), winner)).otherwise(F.concat(acc, F.array(s)))
 
-    return F.aggregate(F.sort_array(spans), none(), step)
+    return F.flatten(F.transform(clusters(F.sort_array(spans)), lambda c: F.when(F.size(c) > 1, F.aggregate(c, none(), step)).otherwise(c)))
 
 
 def stitch(spans: Column, text: Column, entity_type: str = "ADDRESS") -> Column:
@@ -125,3 +226,42 @@ def stitch(spans: Column, text: Column, entity_type: str = "ADDRESS") -> Column:
 def shift(spans: Column, by: Column) -> Column:
     """Spans of a segment in the places of the whole text."""
     return F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["end"] + by).alias("end"), *[s[c].alias(c) for c in ("src", "ord", "entity_type", "score", "source", "text")])).cast(SPANS)
+
+
+#: Code points of a block of a text. A place is cut out of the blocks that it lies in, since Spark counts code points from a string's start.
+_BITS = 12
+
+
+def cut_up(text: Column) -> Column:
+    size = 1 << _BITS
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / size).cast("int") - 1, F.lit(0))), lambda k: F.substr(text, k * size + 1, F.lit(size)))
+
+
+def piece(blocks: Column, start: Column, end: Column) -> Column:
+    """What stands between two places of a text that was cut up."""
+    lo, hi = F.shiftright(start, _BITS), F.shiftright(end - 1, _BITS)
+    return F.when(end > start, F.substr(F.array_join(F.slice(blocks, lo + 1, hi - lo + 1), ""), start - F.shiftleft(lo, _BITS) + 1, end - start)).otherwise("")
+
+
+def replaced(text: Column, places: Column, mark: Callable[[Column], Column], between: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The text with mark(place) at each place and between(text) for the rest. Places are ordered, don't overlap and lie in the text."""
+    def build(b: Column) -> Column:
+        def join(p: Column) -> Column:
+            each = F.transform(p, lambda x, i: F.concat(between(piece(b, F.coalesce(F.get(p, i - 1)["end"], F.lit(0)), x["start"])), mark(x)))
+            rest = between(piece(b, F.coalesce(F.get(p, F.size(p) - 1)["end"], F.lit(0)), F.length(text)))
+            return F.array_join(F.concat(each, F.array(rest)), "")
+
+        return let(places, join)
+
+    return let(cut_up(text), build)
+
+
+RANGES = "array<struct<start:int,end:int>>"
+
+
+def apart(places: Column, text: Column) -> Column:
+    """Places by start, cut to the text, without empty ones and without those that start before the last kept one ended."""
+    inside = F.transform(places, lambda p: F.struct(F.greatest(p["start"], F.lit(0)).cast("int").alias("start"), F.least(p["end"], F.length(text)).cast("int").alias("end")))
+    step = lambda acc, p: F.when((F.size(acc) > 0) & (p["start"] < F.get(acc, F.size(acc) - 1)["end"]), acc).otherwise(F.concat(acc, F.array(p)))
+    runs = clusters(F.sort_array(F.filter(inside, lambda p: p["start"] < p["end"])), RANGES)
+    return F.flatten(F.transform(runs, lambda c: F.aggregate(c, none(RANGES), step)))

@@ -13,44 +13,38 @@ APPROVED, REJECTED, MANUAL = "rgba(231, 76, 60, 0.35)", "rgba(149, 165, 166, 0.3
 
 
 def _places_of(text: Column, value: Column) -> Column:
-    """Left to right, each place of a value where it doesn't overlap the one before."""
+    """Left to right, where a value starts, each time not overlapping the one before."""
     gaps = F.split(text, F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(CLAIM).alias("out"))
-
-    def step(acc: Column, gap: Column) -> Column:
-        start = acc["at"] + F.length(gap)
-        one = F.array(F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))).cast(CLAIM)
-        return F.struct((start + F.length(value)).alias("at"), F.concat(acc["out"], one).alias("out"))
-
-    return F.aggregate(F.slice(gaps, F.lit(1), F.size(gaps) - 1), zero, step)["out"]
+    ends = spans.running(F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda gap: F.length(gap) + F.length(value)), lambda a, b: a + b)
+    return F.transform(ends, lambda end: end - F.length(value))
 
 
 def claims(text: Column, values: Column) -> Column:
     """Places of values (array<string>, in order) in a text: longer values first, then earlier ones; a place that overlaps a claimed one is passed over."""
     ranked = F.sort_array(F.transform(F.filter(values, lambda v: F.coalesce(F.length(v), F.lit(0)) > 0), lambda v, i: F.struct((-F.length(v)).alias("k"), i.alias("i"), v.alias("v"))))
     held = F.filter(F.transform(ranked, lambda x: x["v"]), lambda v: F.contains(text, v))
+    place = lambda start, v, k: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), k.alias("rank"), v.alias("value"))
+    found = F.flatten(F.transform(held, lambda v, k: F.transform(_places_of(text, v), lambda start: place(start, v, k))))
 
     def one(acc: Column, c: Column) -> Column:
         return F.when(F.exists(acc, lambda a: (a["start"] < c["end"]) & (c["start"] < a["end"])), acc).otherwise(F.concat(acc, F.array(c)))
 
-    return F.sort_array(F.aggregate(F.flatten(F.transform(held, lambda v: _places_of(text, v))), F.array().cast(CLAIM), one))
+    def greedy(c: Column) -> Column:  # places of one cluster, by rank
+        order = F.sort_array(F.transform(c, lambda x: F.struct(x["rank"].alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))))
+        return F.sort_array(F.aggregate(F.transform(order, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value"))), F.array().cast(CLAIM), one))
+
+    runs = spans.clusters(F.sort_array(found), "array<struct<start:int,end:int,rank:int,value:string>>")
+    return F.flatten(F.transform(runs, greedy))
 
 
 def rewrite(text: Column, places: Column, label: Column | str = LABEL) -> Column:
-    """The text with a label at each place; a place that starts before the last one ended, or lies beyond the text, is passed over or cut."""
+    """The text with a label at each place, by start; a place that starts before the last one ended, or lies beyond the text, is passed over or cut."""
     mark = label if isinstance(label, Column) else F.lit(label)
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start, end = F.greatest(p["start"], F.lit(0)), F.least(p["end"], F.length(text))
-        ok = (start >= acc["at"]) & (start < end)
-        return F.when(ok, F.struct(end.alias("at"), F.concat(acc["out"], spans.slice_text(text, acc["at"], start), mark).alias("out"))).otherwise(acc)
-
-    return F.aggregate(places, zero, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
+    return spans.replaced(text, spans.apart(places, text), lambda p: mark)
 
 
 def redact_segments(segments: DataFrame, approved: DataFrame, *, key: str = "doc_id", text: str = "text", order: tuple[str, ...] = ("id",), label: str = LABEL) -> DataFrame:
-    """The segments with redacted text, claims and changed.
+    """The segments with redacted text, claims and changed (whether the text is another one; a value that is the label changes nothing).
 
     A document's distinct approved values come to its segments as one list, so segments meet their
     own document's values only and no pair of segment and value is made outside a row.
@@ -59,7 +53,8 @@ def redact_segments(segments: DataFrame, approved: DataFrame, *, key: str = "doc
     values = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("__values"))
     t = F.coalesce(F.col(text), F.lit(""))
     out = segments.join(values, key, "left").withColumn("claims", F.when(F.col("__values").isNull(), F.array().cast(CLAIM)).otherwise(claims(t, F.col("__values")))).drop("__values")
-    return out.withColumn("redacted", F.when(F.size("claims") > 0, rewrite(t, F.col("claims"), label)).otherwise(F.col(text))).withColumn("changed", F.size("claims") > 0)
+    out = out.withColumn("redacted", F.when(F.size("claims") > 0, rewrite(t, F.col("claims"), label)).otherwise(F.col(text)))
+    return out.withColumn("changed", (F.size("claims") > 0) & (F.col("redacted") != t))
 
 
 def redact_spans(rows: DataFrame, *, text: str = "text", entities: str = "entities", label: str = LABEL) -> DataFrame:
@@ -115,13 +110,8 @@ def preview(segments: DataFrame, entities: DataFrame, *, key: str = "doc_id", te
     by = status.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("o", "v", colour(F.col("a"), F.col("m")).alias("c")))).alias("__s"))
     t = F.coalesce(F.col(text), F.lit(""))
     s = F.coalesce(F.col("__s"), F.array().cast("array<struct<o:bigint,v:string,c:string>>"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, p: Column) -> Column:
-        tone = F.get(F.filter(s, lambda x: x["v"] == p["value"]), F.lit(0))["c"]
-        mark = F.concat(F.lit('<mark style="background-color:'), tone, F.lit('; padding:1px 2px; border-radius:3px;">'), escaped(p["value"]), F.lit("</mark>"))
-        return F.struct(p["end"].alias("at"), F.concat(acc["out"], escaped(spans.slice_text(t, acc["at"], p["start"])), mark).alias("out"))
-
+    tone = lambda p: F.get(F.filter(s, lambda x: x["v"] == p["value"]), F.lit(0))["c"]
+    mark = lambda p: F.concat(F.lit('<mark style="background-color:'), tone(p), F.lit('; padding:1px 2px; border-radius:3px;">'), escaped(p["value"]), F.lit("</mark>"))
     out = segments.filter(t.rlike(r"(?U)\S")).join(by, key, "left")
-    html = F.aggregate(claims(t, F.transform(s, lambda x: x["v"])), zero, step, lambda acc: F.concat(acc["out"], escaped(F.substr(t, acc["at"] + 1))))
+    html = spans.replaced(t, claims(t, F.transform(s, lambda x: x["v"])), mark, escaped)
     return out.withColumn("html", F.concat(F.lit("<p>"), html, F.lit("</p>"))).drop("__s")

@@ -14,6 +14,8 @@ from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: What a text with a voter number always has: four groups of four, and one more letter or digit.
+VIN_GUARD = r"(?i)[A-Z0-9]{4}[\s\x85\p{Z}-]?[A-Z0-9]{4}[\s\x85\p{Z}-]?[A-Z0-9]{4}[\s\x85\p{Z}-]?[A-Z0-9]{4}[\s\x85\p{Z}-]?[A-Z0-9]"
 DENY = ("Zuma Adewale", "Ngozi Zubair", "Grace")
 
 
@@ -90,8 +92,8 @@ def phone_validated(spark, sf_dir):
 def vin_raw_vs_validated(spark, sf_dir):
     """Matches and valid ones in all documents, by language."""
     r = _rule("D06")
-    raw = spans.matches(F.col("text"), spans.ANY_CASE + r.regex, guard="[A-Za-z0-9]")
-    n = table(spark, sf_dir, "documents").select("lang", F.size(raw).alias("a"), F.size(F.filter(raw, lambda p: r.valid(p["text"]))).alias("b"))
+    raw = spans.matches(F.col("text"), spans.ANY_CASE + r.regex, guard=VIN_GUARD)
+    n = table(spark, sf_dir, "documents").select("lang", spans.let(raw, lambda m: F.struct(F.size(m).alias("a"), F.size(F.filter(m, lambda p: r.valid(p["text"]))).alias("b"))).alias("n")).select("lang", "n.*")
     return n.groupBy("lang").agg(F.sum("a").alias("n_raw"), F.sum("b").alias("n_valid"))
 
 
