@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -18,17 +17,6 @@ class NerBackend(Protocol):
     def find(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]: ...
 
 
-class WordListBackend:
-    """A stand-in without a model, for tests: runs of capitalised words of which one is listed."""
-
-    def __init__(self, words: tuple[str, ...], label: str = "PER", score: float = 0.9):
-        self.words, self.label, self.score = {w.lower() for w in words}, label, score
-
-    def find(self, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
-        shape = re.compile(r"[A-Z][\w'-]+(?: [A-Z][\w'-]+)*")
-        return [[(m.start(), m.end(), self.label, self.score) for m in shape.finditer(t) if any(w.lower() in self.words for w in m[0].split())] for t in texts]
-
-
 def model_spans(text: Column, load: Callable[[], NerBackend], keep: tuple[str, ...] = ("PER", "PERSON")) -> Column:
     """SPANS of a model, to be passed to Detector.detect(). load runs once in each worker.
 

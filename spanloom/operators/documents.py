@@ -118,6 +118,19 @@ def rects(pages: DataFrame, *, entities: str = "entities", words: str = "words",
     return exploded(pages.withColumn(entities, F.transform(entities, lambda e: F.struct(*[e[c].alias(c) for c in ("start", "end", "entity_type", "score", "source", "text")], F.transform(F.filter(words, lambda w: spans.overlaps(w, e)), lambda w: w[rect]).alias("rects")))), entities=entities)
 
 
+def side_by_side(texts: DataFrame, detector: d.Detector | None = None, *, text: str = "text") -> DataFrame:
+    """The rows with what each source found, and what was resolved, as arrays of spans by place."""
+    look, t = detector or d.Detector(), F.coalesce(F.col(text), F.lit(""))
+    return texts.withColumns({"by_pattern": F.sort_array(look.pattern(t)), "by_context": F.sort_array(look.context(t)), "merged": look.detect(t)})
+
+
+def words_of_entities(pages: DataFrame, *, entities: str = "entities", words: str = "words") -> DataFrame:
+    """A row per entity of a page with its words and their confidences, as they are printed."""
+    shown = lambda e: F.array_join(F.transform(F.filter(words, lambda w: spans.overlaps(w, e)), lambda w: F.concat(w["text"], F.lit("("), F.round(w["conf"]).cast("int").cast("string"), F.lit(")"))), " ")
+    fields = ("start", "end", "entity_type", "score", "source", "text")
+    return exploded(pages.select("doc_id", "page_num", F.transform(entities, lambda e: F.struct(*[e[c].alias(c) for c in fields], shown(e).alias("shown"))).alias(entities)), entities=entities)
+
+
 def strip_tags(html: Column) -> Column:
     """Text of a web page: scripts, styles and tags gone, a line end for each block."""
     t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")

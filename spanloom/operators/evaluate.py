@@ -23,32 +23,52 @@ def present(item: Column, text: Column) -> Column:
     return F.contains(text, norm(item)) & F.regexp_like(text, quoted)
 
 
-def item_recall(truth: DataFrame, texts: DataFrame) -> DataFrame:
-    """By run and type, items gone, items in all, and the items left in order."""
-    hit = truth.join(texts.select("run", norm(F.col("redacted")).alias("__text")), "run").withColumn("left", present(F.col("item"), F.col("__text")))
-    return hit.groupBy("run", "type").agg(F.count_if(~F.col("left")).alias("items_ok"), F.count(F.lit(1)).alias("items_total"), F.sort_array(F.collect_list(F.when(F.col("left"), F.col("item")))).alias("leaked"))
+def _by(texts: DataFrame) -> list[str]:
+    """A run's texts are scored document by document where they have a doc_id; else a run is one text."""
+    return ["run", "doc_id"] if "doc_id" in texts.columns else ["run"]
 
 
-def _bag(rows: DataFrame, text: str, name: str) -> DataFrame:
-    return rows.select("run", F.explode(words(F.col(text))).alias("word")).groupBy("run", "word").agg(F.count(F.lit(1)).alias(name))
+def item_hits(truth: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each known item (run, type, item) of a document and whether it is left in that document's redacted text."""
+    by = _by(texts)
+    t = texts.select(*by, norm(F.col("redacted")).alias("__text"))
+    return truth.join(t, by).withColumn("left", present(F.col("item"), F.col("__text"))).drop("__text")
 
 
-def word_scores(truth: DataFrame, texts: DataFrame) -> DataFrame:
-    """By run, removed words against the words of known items, as multisets: counts, precision, recall, F1 (0 where undefined) and removed words that no item has, with repeats."""
-    before, after = _bag(texts, "original", "a"), _bag(texts, "redacted", "b")
-    gold = _bag(truth.withColumnRenamed("item", "text"), "text", "g")
-    both = before.join(after, ["run", "word"], "full").join(gold, ["run", "word"], "full").fillna(0, ["a", "b", "g"])
+def item_recall(truth: DataFrame, texts: DataFrame, *, lists: bool = True) -> DataFrame:
+    """By run and type, items gone and items in all; with lists also the items left, in order (for small runs: else take item_hits())."""
+    sums = [F.count_if(~F.col("left")).alias("items_ok"), F.count(F.lit(1)).alias("items_total")]
+    more = [F.sort_array(F.collect_list(F.when(F.col("left"), F.col("item")))).alias("leaked")] if lists else []
+    return item_hits(truth, texts).groupBy("run", "type").agg(*sums, *more)
+
+
+def _bag(rows: DataFrame, by: list[str], text: str, name: str) -> DataFrame:
+    return rows.select(*by, F.explode(words(F.col(text))).alias("word")).groupBy(*by, "word").agg(F.count(F.lit(1)).alias(name))
+
+
+def word_hits(truth: DataFrame, texts: DataFrame) -> DataFrame:
+    """By document and word, as multisets: tp (removed, of a known item), fp (removed, of none) and fn (of a known item, not removed)."""
+    by = _by(texts)
+    before, after = _bag(texts, by, "original", "a"), _bag(texts, by, "redacted", "b")
+    gold = _bag(truth.withColumnRenamed("item", "text"), by, "text", "g")
+    both = before.join(after, [*by, "word"], "full").join(gold, [*by, "word"], "full").fillna(0, ["a", "b", "g"])
     gone = both.withColumn("r", F.greatest(F.col("a") - F.col("b"), F.lit(0)))
-    side = gone.withColumn("tp", F.least("r", "g")).withColumn("fp", F.greatest(F.col("r") - F.col("g"), F.lit(0))).withColumn("fn", F.greatest(F.col("g") - F.col("r"), F.lit(0)))
-    lists = F.sort_array(F.flatten(F.collect_list(F.array_repeat("word", F.col("fp").cast("int")))))
-    sums = side.groupBy("run").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), lists.alias("collateral"))
+    return gone.select(*by, "word", F.least("r", "g").alias("tp"), F.greatest(F.col("r") - F.col("g"), F.lit(0)).alias("fp"), F.greatest(F.col("g") - F.col("r"), F.lit(0)).alias("fn"))
+
+
+def word_scores(truth: DataFrame, texts: DataFrame, *, lists: bool = True) -> DataFrame:
+    """By run the sums over its documents, precision, recall, F1 (0 where undefined); with lists also the removed words that no item has, with repeats (for small runs: else take word_hits())."""
+    more = [F.sort_array(F.flatten(F.collect_list(F.array_repeat("word", F.col("fp").cast("int"))))).alias("collateral")] if lists else []
+    sums = word_hits(truth, texts).groupBy("run").agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), *more)
     share = lambda x, y: F.when(y > 0, x / y).otherwise(F.lit(0.0))
     out = sums.join(texts.select("run").distinct(), "run", "right").fillna(0, ["tp", "fp", "fn"])
     out = out.withColumn("precision", share(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", share(F.col("tp"), F.col("tp") + F.col("fn")))
     return out.withColumn("f1", share(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def report(truth: DataFrame, texts: DataFrame) -> DataFrame:
+def report(truth: DataFrame, texts: DataFrame, *, lists: bool = True) -> DataFrame:
     """A row per run with all figures, the types as JSON."""
-    items = item_recall(truth, texts).groupBy("run").agg(F.sum("items_ok").alias("items_ok"), F.sum("items_total").alias("items_total"), F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", F.struct("items_ok", "items_total")))))).alias("per_type"), F.sort_array(F.flatten(F.collect_list("leaked"))).alias("leaked"))
-    return word_scores(truth, texts).join(items, "run", "left")
+    types = F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", F.struct("items_ok", "items_total")))))).alias("per_type")
+    more = [F.sort_array(F.flatten(F.collect_list("leaked"))).alias("leaked")] if lists else []
+    items = item_recall(truth, texts, lists=lists).groupBy("run").agg(F.sum("items_ok").alias("items_ok"), F.sum("items_total").alias("items_total"), types, *more)
+    return word_scores(truth, texts, lists=lists).join(items, "run", "left")

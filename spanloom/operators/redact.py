@@ -43,18 +43,24 @@ def rewrite(text: Column, places: Column, label: Column | str = LABEL) -> Column
     return spans.replaced(text, spans.apart(places, text), lambda p: mark)
 
 
-def redact_segments(segments: DataFrame, approved: DataFrame, *, key: str = "doc_id", text: str = "text", order: tuple[str, ...] = ("id",), label: str = LABEL) -> DataFrame:
+def redact_segments(segments: DataFrame, approved: DataFrame, *, key: str = "doc_id", text: str = "text", order: tuple[str, ...] = ("id",), label: str = LABEL, keep: bool = False) -> DataFrame:
     """The segments with redacted text, claims and changed (whether the text is another one; a value that is the label changes nothing).
 
     A document's distinct approved values come to its segments as one list, so segments meet their
-    own document's values only and no pair of segment and value is made outside a row.
+    own document's values only and no pair of segment and value is made outside a row. keep: the
+    list stays as `values`, with each value's last entity, so that an audit needs no second look at
+    the entities.
     """
-    first = approved.filter(F.coalesce(F.col("text"), F.lit("")) != "").groupBy(key, F.col("text").alias("v")).agg(F.min(F.struct(*order)).alias("o"))
-    values = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("__values"))
+    known = [F.struct(*order).alias("o"), F.struct("entity_type", "score", "source").alias("e")] if keep else [F.struct(*order).alias("o")]
+    some = approved.filter(F.coalesce(F.col("text"), F.lit("")) != "").select(key, F.col("text").alias("v"), *known)
+    first = some.groupBy(key, "v").agg(F.min("o").alias("o"), *([F.max_by("e", "o").alias("e")] if keep else []))
+    fields = ("v", "e") if keep else ("v",)
+    values = first.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("o", *fields))), lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias("values"))
     t = F.coalesce(F.col(text), F.lit(""))
-    out = segments.join(values, key, "left").withColumn("claims", F.when(F.col("__values").isNull(), F.array().cast(CLAIM)).otherwise(claims(t, F.col("__values")))).drop("__values")
+    out = segments.join(values, key, "left").withColumn("claims", F.when(F.col("values").isNull(), F.array().cast(CLAIM)).otherwise(claims(t, F.transform("values", lambda x: x["v"]))))
     out = out.withColumn("redacted", F.when(F.size("claims") > 0, rewrite(t, F.col("claims"), label)).otherwise(F.col(text)))
-    return out.withColumn("changed", (F.size("claims") > 0) & (F.col("redacted") != t))
+    out = out.withColumn("changed", (F.size("claims") > 0) & (F.col("redacted") != t))
+    return out if keep else out.drop("values")
 
 
 def redact_spans(rows: DataFrame, *, text: str = "text", entities: str = "entities", label: str = LABEL) -> DataFrame:
@@ -67,11 +73,19 @@ def value_counts(redacted: DataFrame, *, key: str = "doc_id", para: str = "parag
     return redacted.select(key, para, F.explode("claims").alias("c")).groupBy(key, para, F.col("c.value").alias("text")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def audit_trail(redacted: DataFrame, approved: DataFrame, *, key: str = "doc_id", para: str = "paragraph_index") -> DataFrame:
-    """A row per redacted value: its last entity's type, score and source, paragraphs in order with repeats, and how often."""
-    hits = redacted.select(key, para, F.explode("claims").alias("c")).groupBy(key, F.col("c.value").alias("text")).agg(F.sort_array(F.collect_list(para)).alias("paragraph_indices"), F.count(F.lit(1)).alias("occurrence_count"))
-    last = approved.groupBy(key, "text").agg(F.max_by(F.struct("entity_type", "score", "source"), "id").alias("e"))
-    return hits.join(last, [key, "text"]).select(key, "text", "e.entity_type", "e.score", "e.source", "paragraph_indices", "occurrence_count")
+def audit_trail(redacted: DataFrame, approved: DataFrame | None = None, *, key: str = "doc_id", para: str = "paragraph_index") -> DataFrame:
+    """A row per redacted value: its last entity's type, score and source, paragraphs in order with repeats, and how often.
+
+    The entities are those that redact_segments() kept, or else approved.
+    """
+    sums = [F.sort_array(F.collect_list(para)).alias("paragraph_indices"), F.count(F.lit(1)).alias("occurrence_count")]
+    if approved is None:
+        each = F.transform("claims", lambda c: F.struct(c["value"].alias("text"), F.get(F.filter("values", lambda x: x["v"] == c["value"]), F.lit(0))["e"].alias("e")))
+        hits = redacted.select(key, para, F.explode(each).alias("c")).groupBy(key, F.col("c.text").alias("text")).agg(F.first("c.e").alias("e"), *sums)
+    else:
+        hits = redacted.select(key, para, F.explode("claims").alias("c")).groupBy(key, F.col("c.value").alias("text")).agg(*sums)
+        hits = hits.join(approved.groupBy(key, "text").agg(F.max_by(F.struct("entity_type", "score", "source"), "id").alias("e")), [key, "text"])
+    return hits.select(key, "text", "e.entity_type", "e.score", "e.source", "paragraph_indices", "occurrence_count")
 
 
 def summary(redacted: DataFrame, *, key: str = "doc_id") -> DataFrame:
@@ -104,6 +118,11 @@ def overlay_colour(is_approved: Column, source: Column) -> Column:
     return F.when(source == "manual", F.lit("manual")).when(is_approved, "approved").otherwise("rejected")
 
 
+def overlay(entity_rects: DataFrame) -> DataFrame:
+    """A row per box to draw on a page, with its colour by source and approval."""
+    return boxes(entity_rects.withColumn("colour", overlay_colour(F.coalesce(F.col("approved"), F.lit(True)), F.col("source"))))
+
+
 def preview(segments: DataFrame, entities: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each segment as a paragraph of HTML with the entities' values marked by status; blank segments go."""
     status = entities.filter(F.coalesce(F.col("text"), F.lit("")) != "").groupBy(key, F.col("text").alias("v")).agg(F.bool_or(F.coalesce(F.col("approved"), F.lit(False))).alias("a"), F.bool_or(F.col("source") == "manual").alias("m"), F.min("id").alias("o"))

@@ -59,6 +59,15 @@ def approve_types(entities: DataFrame, types: Iterable[str] | None) -> DataFrame
     return entities.withColumn("approved", F.coalesce(F.col("entity_type"), F.lit("UNKNOWN")).isin(*wanted) if wanted else F.lit(False))
 
 
+def policy_counts(entities: DataFrame, policies: dict[str, frozenset[str] | None]) -> DataFrame:
+    """For each policy (a name and its types, None for all) how many entities it approves and rejects, in one pass over them."""
+    names = list(policies)
+    ok = [F.lit(True) if policies[n] is None else F.coalesce(F.col("entity_type"), F.lit("UNKNOWN")).isin(*sorted(policies[n])) if policies[n] else F.lit(False) for n in names]
+    sums = entities.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(f"p{i}") for i, c in enumerate(ok)])
+    each = F.array(*[F.struct(F.lit(n).alias("policy"), F.col(f"p{i}").alias("n_approved"), (F.col("n") - F.col(f"p{i}")).alias("n_rejected")) for i, n in enumerate(names)])
+    return sums.select(F.explode(each).alias("x")).select("x.*")
+
+
 def approve_all(entities: DataFrame, value: bool) -> DataFrame:
     """V04."""
     return entities.withColumn("approved", F.lit(value))

@@ -70,5 +70,5 @@ def ocr_words_sql() -> str:
 def conll_sql() -> str:
     """file, line_no, line of tagged text, from suppliers: spans that begin anew, go on over blank lines, or have no begin."""
     k = "s_suppkey"
-    lines = [f"{_pick(k, _FIRST)} || ' B-PER'", f"{_pick(f'({k} + 1)', _LAST)} || ' I-PER'", "'went O'", "'Ade B-PER'", "'Bola B-PER'", "''", "'Ojo-Kuti, I-PER'", "'in O'", "'Lost I-PER'", "'three columns here'", "'The B-PER'", "'Ohio B-PER'", f"{_pick(k, _LAST)} || ' B-PER'", "'- I-PER'", "'Odu I-PER'"]
+    lines = [f"{_pick(k, _FIRST)} || ' B-PER'", f"{_pick(f'({k} + 1)', _LAST)} || ' I-PER'", "'went O'", "'Ade B-PER'", "'Bola B-PER'", "''", "'Ojo-Kuti, I-PER'", "'in O'", "'Lost I-PER'", "'three columns here'", "'The B-PER'", "'Ohio B-PER'", f"{_pick(k, _LAST)} || ' B-PER'", "'- I-PER'", "'Odu I-PER'", "'Adérónkẹ B-PER'", "'Ọlá-Olú I-PER'", "'Ṣeun B-PER'"]
     return " UNION ALL ".join(f"SELECT CAST({k} AS STRING) AS file, CAST({i} AS BIGINT) AS line_no, {line} AS line FROM supplier" for i, line in enumerate(lines))

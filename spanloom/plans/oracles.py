@@ -134,7 +134,8 @@ ent AS (SELECT f.doc_id, 0 AS page_num, f.start_at + b AS start_at, f.end_at + b
 
 # numbered entities of segments
 _SEGENT = f"""{_SEGMENTS},
-se AS (SELECT doc_id, seg_no, start_at, end_at, entity_type, score, 'pattern' AS source, match FROM ({rule_rows('segments', keys='doc_id, seg_no')})),
+sr AS ({resolved_rows('segments', 'doc_id, seg_no', deny=False)}),
+se AS (SELECT sr.doc_id, sr.seg_no, start_at, end_at, entity_type, score, source, text[start_at + 1:end_at] AS match FROM sr JOIN segments s ON sr.doc_id = s.doc_id AND sr.seg_no = s.seg_no),
 num AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seg_no, start_at, end_at, entity_type, score) - 1 AS id FROM se)"""
 _REDACTED_TYPES = ("NG_NIN", "NG_BVN", "NG_TIN", "NG_NUBAN", "EMAIL_ADDRESS", "NG_PLATE")
 
@@ -157,6 +158,17 @@ lst AS (SELECT doc_id, match AS v, arg_max(entity_type, id) AS entity_type, arg_
 trail AS (SELECT hits.*, entity_type, score FROM hits JOIN lst ON hits.doc_id = lst.doc_id AND hits.v = lst.v)"""
 
 
+_DETAIL = f"det AS (SELECT doc_id, entity_type, CAST(paras[1] AS BIGINT) AS place, 'Paragraph(s) ' || array_to_string(list_transform(paras[1:6], lambda x: CAST(x AS VARCHAR)), ', ') || CASE WHEN len(paras) > 6 THEN ', ... (+' || (len(paras) - 6) || ' more)' ELSE '' END || ' (' || n || ' occurrence' || CASE WHEN n <> 1 THEN 's' ELSE '' END || ')' AS location, printf('%.1f%%', score * 100) AS confidence_text, n AS occurrence_count FROM trail)"
+_LINE = "string_agg(printf('%06d-%06d:%s', start_at, end_at, entity_type), ',' ORDER BY start_at, end_at, entity_type)"
+
+
+def _filed() -> str:
+    """Claims of all that is found in the forms' files, which have no 22nd segment."""
+    plain = _claims(sorted({r.entity_type for r in rules.RULES} | set(rules.CONTEXT_TYPES)))
+    own = f"segments AS (SELECT doc_id, CAST(n - 1 AS INT) AS seg_no, split_part(text, chr(10), n) AS text FROM forms CROSS JOIN (SELECT unnest(range(1, 22)) AS n))"
+    return plain.replace(_SEGMENTS, f"{_FORMS}, {own}")
+
+
 def _policy() -> str:
     parts = []
     every = [*((p, p, review.POLICIES[p]) for p in review.POLICIES), ("Custom: NG_NIN, NO_SUCH_TYPE", "", ("NG_NIN",)), ("Custom: none", "", ("-",)), (review.EVERYTHING, "", None)]
@@ -168,13 +180,12 @@ def _policy() -> str:
 
 _RUNS = rf"""{_FORMS},
 f AS (SELECT 'run' || CAST(doc_id % 2 AS VARCHAR) AS run, doc_id, text, regexp_replace(regexp_replace(text, '(NIN: )[0-9]+', '\1[REDACTED]', 'g'), '(Licence )[A-Z0-9]+', '\1[REDACTED]', 'g') AS red FROM forms),
-truth AS (SELECT run, string_split(x, ' ')[1] AS type, string_split(x, ' ')[-1] AS item FROM (SELECT run, unnest([split_part(text, chr(10), 2), split_part(text, chr(10), 11)]) AS x FROM f)),
-texts AS (SELECT run, string_agg(text, chr(10) ORDER BY doc_id) AS original, string_agg(red, chr(10) ORDER BY doc_id) AS redacted FROM f GROUP BY run),
-plain AS MATERIALIZED (SELECT run, trim(regexp_replace(redacted, '\s+', ' ', 'g')) AS x FROM texts),
-item AS (SELECT t.run, type, item, CASE WHEN contains(x, item) THEN regexp_matches(x, '(^|[^\w-])' || item || '([^\w-]|$)') ELSE false END AS left_ FROM truth t JOIN plain ON t.run = plain.run),
-bag AS (SELECT run, side, word, count(*) AS n FROM (SELECT run, side, trim(unnest(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')), '.,;:()"''') AS word FROM (SELECT run, 'a' AS side, original AS x FROM texts UNION ALL SELECT run, 'b', redacted FROM texts UNION ALL SELECT run, 'g', item FROM truth)) WHERE word NOT IN ('', '[REDACTED]') GROUP BY run, side, word),
-cnt AS (SELECT run, word, coalesce(sum(n) FILTER (side = 'a'), 0) AS a, coalesce(sum(n) FILTER (side = 'b'), 0) AS b, coalesce(sum(n) FILTER (side = 'g'), 0) AS g FROM bag GROUP BY run, word),
-sc AS (SELECT run, word, greatest(a - b, 0) AS r, g FROM cnt),
+truth AS (SELECT run, doc_id, string_split(x, ' ')[1] AS type, string_split(x, ' ')[-1] AS item FROM (SELECT run, doc_id, unnest([split_part(text, chr(10), 2), split_part(text, chr(10), 11)]) AS x FROM f)),
+plain AS MATERIALIZED (SELECT run, doc_id, trim(regexp_replace(red, '\s+', ' ', 'g')) AS x FROM f),
+item AS (SELECT t.run, t.doc_id, type, item, CASE WHEN contains(x, item) THEN regexp_matches(x, '(^|[^\w-])' || item || '([^\w-]|$)') ELSE false END AS left_ FROM truth t JOIN plain ON t.run = plain.run AND t.doc_id = plain.doc_id),
+bag AS (SELECT run, doc_id, side, word, count(*) AS n FROM (SELECT run, doc_id, side, trim(unnest(string_split(trim(regexp_replace(x, '\s+', ' ', 'g')), ' ')), '.,;:()"''') AS word FROM (SELECT run, doc_id, 'a' AS side, text AS x FROM f UNION ALL SELECT run, doc_id, 'b', red FROM f UNION ALL SELECT run, doc_id, 'g', item FROM truth)) WHERE word NOT IN ('', '[REDACTED]') GROUP BY run, doc_id, side, word),
+cnt AS (SELECT run, doc_id, word, coalesce(sum(n) FILTER (side = 'a'), 0) AS a, coalesce(sum(n) FILTER (side = 'b'), 0) AS b, coalesce(sum(n) FILTER (side = 'g'), 0) AS g FROM bag GROUP BY run, doc_id, word),
+sc AS (SELECT run, doc_id, word, greatest(a - b, 0) AS r, g FROM cnt),
 tot AS (SELECT run, CAST(sum(least(r, g)) AS BIGINT) AS tp, CAST(sum(greatest(r - g, 0)) AS BIGINT) AS fp, CAST(sum(greatest(g - r, 0)) AS BIGINT) AS fn FROM sc GROUP BY run)"""
 _PRF = "CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS p, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS r"
 _PERSON = rf"""lines AS ({corpus.conll_sql()}),
@@ -184,7 +195,7 @@ person AS (SELECT DISTINCT file, span FROM (SELECT file, run, string_agg(token,
 _TIDY = r"""trim(regexp_replace({x}, '\s*-\s*', '-', 'g'), ' .,;:''"()-')"""
 _OK = f"regexp_matches(name, '\\p{{L}}') AND lower(name) NOT IN {_in(name_lists.STOP_WORDS)}"
 _STRIPPED = r"""replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?i)</?(?:p|div|li|h[1-6]|br|tr|article|nav|ul|ol|table)\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"""
-_TURNS = f"turns AS (SELECT conv_id AS doc_id, turn AS page_num, text FROM conversations), hit AS (SELECT DISTINCT doc_id, page_num FROM ({rule_rows('turns', [r for r in rules.RULES if r.entity_type in ('EMAIL_ADDRESS', 'NG_NUBAN')], keys='doc_id, page_num', masked=True)})), flag AS (SELECT t.doc_id, t.page_num, len(trim(regexp_replace(t.text, '^\\s+|\\s+$', '', 'g'))) >= 15 AND hit.doc_id IS NULL AND len(t.text) < 100 AS flagged FROM turns t LEFT JOIN hit ON t.doc_id = hit.doc_id AND t.page_num = hit.page_num)"
+_TURNS = f"turns AS (SELECT conv_id AS doc_id, turn AS page_num, text FROM conversations), hit AS (SELECT DISTINCT doc_id, page_num FROM ({union_rows('turns', 'doc_id, page_num', deny=False, masked=True)})), flag AS (SELECT t.doc_id, t.page_num, len(trim(regexp_replace(t.text, '^\\s+|\\s+$', '', 'g'))) >= 15 AND hit.doc_id IS NULL AND len(t.text) < 100 AS flagged FROM turns t LEFT JOIN hit ON t.doc_id = hit.doc_id AND t.page_num = hit.page_num)"
 _MARK = '<mark style="background-color:' + redact.APPROVED + '; padding:1px 2px; border-radius:3px;">'
 _GREY = '<mark style="background-color:' + redact.REJECTED + '; padding:1px 2px; border-radius:3px;">'
 _SUM = "count(*) FILTER (ok) AS n_approved, count(*) FILTER (NOT ok) AS n_rejected"
@@ -193,7 +204,7 @@ _HTML = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 
 def _preview() -> str:
-    types = sorted({r.entity_type for r in rules.RULES})
+    types = sorted({r.entity_type for r in rules.RULES} | set(rules.CONTEXT_TYPES))
     mark = f"CASE WHEN ok THEN {_lit(_MARK)} ELSE {_lit(_GREY)} END"
     gap = _HTML.replace("{x}", "text[CASE WHEN i = 1 THEN 1 ELSE c[i - 1].en + 1 END:c[i].st]")
     tail = _HTML.replace("{x}", "text[c[-1].en + 1:]")
@@ -201,13 +212,11 @@ def _preview() -> str:
 st AS (SELECT doc_id, match AS v, bool_or(entity_type IN ('NG_NIN', 'NG_TIN')) AS ok FROM num GROUP BY doc_id, match),
 pc AS (SELECT cl.doc_id, seg_no, text, list({{'st': st, 'en': en, 'h': {mark} || {_HTML.replace("{x}", "cl.v")} || '</mark>'}} ORDER BY st) AS c FROM claim cl JOIN st ON cl.doc_id = st.doc_id AND cl.v = st.v GROUP BY cl.doc_id, seg_no, text),
 hx AS (SELECT doc_id, seg_no, list_reduce(list_prepend('', list_transform(range(1, len(c) + 1), lambda i: {gap} || c[i].h)), lambda a, b: a || b) || {tail} AS html FROM pc)
-SELECT s.doc_id, s.seg_no, '<p>' || coalesce(html, {_HTML.replace("{x}", "s.text")}) || '</p>' AS html FROM segments s LEFT JOIN hx ON s.doc_id = hx.doc_id AND s.seg_no = hx.seg_no WHERE s.seg_no IN (1, 9, 21) AND trim(s.text) <> ''"""
+SELECT s.doc_id, s.seg_no, '<p>' || coalesce(html, {_HTML.replace("{x}", "s.text")}) || '</p>' AS html FROM segments s LEFT JOIN hx ON s.doc_id = hx.doc_id AND s.seg_no = hx.seg_no WHERE trim(s.text) <> ''"""
 
 
 def _whole() -> str:
-    which = [r for r in rules.RULES if r.entity_type in ("EMAIL_ADDRESS", "NG_NUBAN", "NG_NIN")]
-    pattern = f"SELECT doc_id, start_at, end_at, match, entity_type, 0 AS src, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, start_at, end_at, ord) - 1 AS ord, score, 'pattern' AS source FROM ({rule_rows('documents', which, masked=True)})"
-    return f"""WITH r AS ({resolved_rows('documents', rows=pattern)}),
+    return f"""WITH r AS ({resolved_rows('documents', rows=union_rows('documents', deny=False, masked=True))}),
 pc AS (SELECT doc_id, list({{'st': start_at, 'en': end_at}} ORDER BY start_at) AS c FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(len(c), 0) AS BIGINT) AS n, md5(CASE WHEN c IS NULL THEN coalesce(text, '') ELSE list_reduce(list_prepend('', list_transform(range(1, len(c) + 1), lambda i: text[CASE WHEN i = 1 THEN 1 ELSE c[i - 1].en + 1 END:c[i].st] || '{redact.LABEL}')), lambda a, b: a || b) || text[c[-1].en + 1:] END) AS digest
 FROM documents d LEFT JOIN pc ON d.doc_id = pc.doc_id"""
@@ -260,16 +269,26 @@ ORACLES: dict[str, str] = {
     "redaction_counts": f"WITH {_CLAIMS} SELECT doc_id, seg_no + 1 AS paragraph_index, v AS text, count(*) AS n FROM claim GROUP BY doc_id, seg_no, v",
     "redaction_summary": f"WITH {_CLAIMS} SELECT doc_id, count(DISTINCT v) AS entities_matched, count(DISTINCT seg_no) AS paragraphs_redacted FROM claim GROUP BY doc_id",
     "audit_by_type": f"WITH {_TRAIL} SELECT entity_type, count(*) AS n FROM trail GROUP BY entity_type",
-    "audit_detail": f"WITH {_TRAIL} SELECT doc_id, entity_type, CAST(paras[1] AS BIGINT) AS place, 'Paragraph(s) ' || array_to_string(list_transform(paras[1:6], lambda x: CAST(x AS VARCHAR)), ', ') || CASE WHEN len(paras) > 6 THEN ', ... (+' || (len(paras) - 6) || ' more)' ELSE '' END || ' (' || n || ' occurrence' || CASE WHEN n <> 1 THEN 's' ELSE '' END || ')' AS location, printf('%.1f%%', score * 100) AS confidence_text, n AS occurrence_count FROM trail",
+    "audit_detail": f"WITH {_TRAIL}, {_DETAIL} SELECT * FROM det",
     "audit_totals": f"WITH {_TRAIL} SELECT doc_id, entity_type, count(*) AS n FROM trail GROUP BY ROLLUP (doc_id, entity_type)",
+    "summary_lines": f"WITH {_TRAIL} SELECT doc_id, entity_type || ' | x' || n || ' | ' || array_to_string(list_transform(paras, lambda x: CAST(x AS VARCHAR)), ',') AS line FROM trail",
+    "audit_report_html": f"WITH {_TRAIL}, {_DETAIL}, ty AS (SELECT doc_id, sum(n) AS total, string_agg('<tr><td>' || entity_type || '</td><td>' || n || '</td></tr>', '' ORDER BY n DESC, entity_type) AS types FROM (SELECT doc_id, entity_type, count(*) AS n FROM trail GROUP BY doc_id, entity_type) GROUP BY doc_id), rw AS (SELECT doc_id, string_agg('<tr><td>' || entity_type || '</td><td>' || location || '</td><td>' || confidence_text || '</td></tr>', '' ORDER BY place, entity_type, location, confidence_text) AS rows_ FROM det GROUP BY doc_id) SELECT ty.doc_id, '<html><body><h1>Redaction audit</h1><p>' || CAST(total AS BIGINT) || ' redacted values</p><table><tr><th>Type</th><th>Count</th></tr>' || types || '</table><table><tr><th>Type</th><th>Location</th><th>Confidence</th></tr>' || rows_ || '</table></body></html>' AS html FROM ty JOIN rw ON ty.doc_id = rw.doc_id",
+    "detected_documents": f"WITH {_SEGENT} SELECT doc_id, id, seg_no, start_at, end_at, entity_type, score, source, match FROM num",
+    "docx_segments_read": f"WITH {_FORMS} SELECT doc_id, 'form' || doc_id || '.docx' AS path, 'body' AS part, CAST(n - 1 AS BIGINT) AS seg_no, CAST(n AS BIGINT) AS paragraph_index, split_part(text, chr(10), n) AS text FROM forms CROSS JOIN (SELECT unnest(range(1, 22)) AS n)",
+    "redacted_files": f"WITH {_filed()}, {_REWRITTEN} SELECT s.doc_id, CAST(s.seg_no + 1 AS BIGINT) AS paragraph_index, coalesce(redacted, s.text) AS text FROM segments s LEFT JOIN rew ON s.doc_id = rew.doc_id AND s.seg_no = rew.seg_no",
+    "detections_side_by_side": f"WITH {_RESOLVED}, u AS ({union_rows('forms')}), a AS (SELECT doc_id, {_LINE} FILTER (src = 0) AS by_pattern, {_LINE} FILTER (src = 1) AS by_context FROM u GROUP BY doc_id), b AS (SELECT doc_id, {_LINE} AS merged FROM resolved GROUP BY doc_id) SELECT f.doc_id, coalesce(by_pattern, '') AS by_pattern, coalesce(by_context, '') AS by_context, coalesce(merged, '') AS merged FROM forms f LEFT JOIN a ON f.doc_id = a.doc_id LEFT JOIN b ON f.doc_id = b.doc_id",
+    "ocr_entity_dump": f"WITH {_PAGE} SELECT e.doc_id, e.start_at, e.entity_type, e.match AS text, string_agg(p.text || '(' || CAST(round(p.conf) AS INT) || ')', ' ' ORDER BY p.start_at) AS shown FROM ent e JOIN placed p ON p.doc_id = e.doc_id AND p.start_at < e.end_at AND e.start_at < p.end_at GROUP BY e.doc_id, e.start_at, e.entity_type, e.match",
+    "page_overlay": f"WITH {_PAGE} SELECT e.doc_id, e.start_at, e.entity_type, CASE WHEN e.entity_type = 'STATE_OF_ORIGIN' THEN 'manual' WHEN e.entity_type = 'PERSON_NAME' THEN 'rejected' ELSE 'approved' END AS colour, CAST(lft AS DOUBLE) AS x0, CAST(top AS DOUBLE) AS y0 FROM ent e JOIN placed p ON p.doc_id = e.doc_id AND p.start_at < e.end_at AND e.start_at < p.end_at",
     "preview_html": _preview(),
     "deny_list_joined": _plain(found("forms", _KIND["DENY"])),
     "merged_documents": f"WITH r AS ({resolved_rows('documents', rows=union_rows('documents', deny=False, masked=True))}) SELECT entity_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM r GROUP BY entity_type",
     "redacted_whole_documents": _whole(),
     "page_audit_counts": f"WITH {_PAGE} SELECT entity_type, CAST(page_num + 1 AS INT) AS page_number, count(*) AS n FROM ent e WHERE EXISTS (SELECT 1 FROM placed p WHERE p.doc_id = e.doc_id AND p.start_at < e.end_at AND e.start_at < p.end_at) GROUP BY entity_type, page_num",
     "eval_report": f"WITH {_RUNS}, ty AS (SELECT run, type, count(*) FILTER (NOT left_) AS ok, count(*) AS n FROM item GROUP BY run, type), agg AS (SELECT run, CAST(sum(ok) AS BIGINT) AS items_ok, CAST(sum(n) AS BIGINT) AS items_total, '{{' || string_agg('\"' || type || '\":{{\"items_ok\":' || ok || ',\"items_total\":' || n || '}}', ',' ORDER BY type) || '}}' AS per_type FROM ty GROUP BY run) SELECT tot.run, tp, fp, fn, items_ok, items_total, per_type FROM tot JOIN agg ON tot.run = agg.run",
-    "eval_item_recall": f"WITH {_RUNS} SELECT run, type, count(*) FILTER (NOT left_) AS items_ok, count(*) AS items_total, coalesce(string_agg(item, ',' ORDER BY item) FILTER (left_), '') AS leaked FROM item GROUP BY run, type",
-    "eval_word_prf": f"WITH {_RUNS} SELECT run, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1, coalesce((SELECT string_agg(word, ',' ORDER BY word) FROM (SELECT sc.run, word, unnest(range(CAST(greatest(sc.r - g, 0) AS BIGINT))) FROM sc) c WHERE c.run = x.run), '') AS collateral FROM (SELECT *, {_PRF} FROM tot) x",
+    "eval_item_recall": f"WITH {_RUNS} SELECT run, type, count(*) FILTER (NOT left_) AS items_ok, count(*) AS items_total FROM item GROUP BY run, type",
+    "eval_leaked_items": f"WITH {_RUNS} SELECT run, doc_id, type, item FROM item WHERE left_",
+    "eval_collateral": f"WITH {_RUNS} SELECT run, doc_id, word, CAST(r - g AS BIGINT) AS n FROM sc WHERE r > g",
+    "eval_word_prf": f"WITH {_RUNS} SELECT run, tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END, 6) AS f1 FROM (SELECT run, tp, fp, fn, {_PRF} FROM tot)",
     "conll_spans": f"WITH {_PERSON} SELECT file, span FROM person",
     "gazetteer_build": f"WITH {_PERSON}, tidied AS (SELECT {_TIDY.replace('{x}', 'span')} AS name FROM person), whole AS (SELECT name FROM tidied WHERE {_OK} AND len(name) >= CASE WHEN contains(name, ' ') THEN 1 ELSE 4 END), tokens AS (SELECT name FROM (SELECT {_TIDY.replace('{x}', 'w')} AS name FROM (SELECT unnest(string_split_regex(name, '\\s+')) AS w FROM whole)) WHERE {_OK} AND len(name) >= 4), both_ AS (SELECT name FROM whole UNION SELECT name FROM tokens) SELECT name FROM both_ UNION SELECT strip_accents(name) FROM both_",
     "error_kinds": "SELECT s_suppkey AS doc_id, CASE s_suppkey % 4 WHEN 0 THEN 'password' WHEN 1 THEN 'corrupt' ELSE 'other' END AS kind FROM supplier",

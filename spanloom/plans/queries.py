@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import names, places, rules, spans
 from ..functions.detect import Detector
-from ..operators import audit, documents, evaluate, name_lists, redact, review
+from ..operators import audit, documents, evaluate, name_lists, redact, review, workflow
 from ..sources import files, gazetteer
 from . import corpus
 
@@ -271,8 +271,8 @@ def stitched_addresses(spark, sf_dir):
 
 
 def segment_entities(spark, sf_dir) -> DataFrame:
-    """Rule matches by segment, with a place in the document's order."""
-    return _entities(segments(spark, sf_dir), rules.pattern_spans(F.col("text")), "doc_id", "seg_no")
+    """Resolved entities by segment, with a place in the document's order."""
+    return _entities(segments(spark, sf_dir), Detector().detect(F.col("text")), "doc_id", "seg_no")
 
 
 @query
@@ -321,20 +321,22 @@ def garble_class_counts(spark, sf_dir):
     return web_pages(spark, sf_dir).select("doc_id", g["n_chars"].alias("n_chars"), g["n_words"].alias("n_words"), F.round(g["alnum_ratio"], 6).alias("alnum_ratio"), g["garble"].alias("garble"))
 
 
+def turn_pages(spark, sf_dir) -> DataFrame:
+    """Turns of conversations as pages, with whether they are text, short, and without any entity."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.col("text").alias("page_text"))
+    return documents.flagged(c.withColumn("entities", Detector().detect(F.col("page_text"))))
+
+
 @query
 def pages_flagged(spark, sf_dir):
-    """Turns of conversations that are text, short, and without an identifier."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.col("text").alias("page_text"))
-    c = c.withColumn("entities", rules.pattern_spans(F.col("page_text"), ("EMAIL_ADDRESS", "NG_NUBAN")))
-    return documents.flagged(c).filter("flagged").select("doc_id", "page_num")
+    """Turns of conversations that are text, short, and without an entity."""
+    return turn_pages(spark, sf_dir).filter("flagged").select("doc_id", "page_num")
 
 
 @query
 def flagged_pages(spark, sf_dir):
     """The flagged turns of each conversation."""
-    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_num"), F.col("text").alias("page_text"))
-    c = documents.flagged(c.withColumn("entities", rules.pattern_spans(F.col("page_text"), ("EMAIL_ADDRESS", "NG_NUBAN"))))
-    f = documents.flagged_pages(c)
+    f = documents.flagged_pages(turn_pages(spark, sf_dir))
     return f.select("doc_id", F.array_join(F.transform("flagged_pages", lambda x: x.cast("string")), ",").alias("flagged_pages"))
 
 
@@ -367,14 +369,10 @@ def numbered_ids(spark, sf_dir):
 
 @query
 def policy_approved_counts(spark, sf_dir):
-    """Entities that each policy approves."""
-    e = numbered_entities(spark, sf_dir)
-    out = None
-    for name, custom in (*((p, ()) for p in review.POLICIES), (review.CUSTOM, ("NG_NIN", "NO_SUCH_TYPE")), (review.CUSTOM, ()), (review.EVERYTHING, ())):
-        label = f"{name}: {', '.join(custom)}" if custom else name if name != review.CUSTOM else "Custom: none"
-        got = review.approve_types(e, review.policy_types(name, custom)).groupBy().agg(F.count_if("approved").alias("n_approved"), F.count_if(~F.col("approved")).alias("n_rejected")).withColumn("policy", F.lit(label))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """Entities that each policy approves, in one pass."""
+    custom = {f"{review.CUSTOM}: NG_NIN, NO_SUCH_TYPE": ("NG_NIN", "NO_SUCH_TYPE"), f"{review.CUSTOM}: none": ()}
+    policies = {p: review.policy_types(p) for p in review.POLICIES} | {k: review.policy_types(review.CUSTOM, v) for k, v in custom.items()} | {review.EVERYTHING: None}
+    return review.policy_counts(numbered_entities(spark, sf_dir), policies)
 
 
 @query
@@ -423,9 +421,10 @@ def manual_add_occurrences(spark, sf_dir):
 
 
 def redacted_segments(spark, sf_dir) -> DataFrame:
+    """Segments redacted by some types, with the values that an audit needs: entities are looked for once."""
     e = review.approve_types(numbered_entities(spark, sf_dir), ("NG_NIN", "NG_BVN", "NG_TIN", "NG_NUBAN", "EMAIL_ADDRESS", "NG_PLATE"))
     s = segments(spark, sf_dir).withColumn("paragraph_index", F.col("seg_no") + 1)
-    return redact.redact_segments(s, review.approved(e))
+    return redact.redact_segments(s, review.approved(e), keep=True)
 
 
 @query
@@ -447,8 +446,7 @@ def redaction_summary(spark, sf_dir):
 
 
 def _trail(spark, sf_dir) -> DataFrame:
-    e = review.approve_types(numbered_entities(spark, sf_dir), ("NG_NIN", "NG_BVN", "NG_TIN", "NG_NUBAN", "EMAIL_ADDRESS", "NG_PLATE"))
-    return redact.audit_trail(redacted_segments(spark, sf_dir), review.approved(e))
+    return redact.audit_trail(redacted_segments(spark, sf_dir))
 
 
 @query
@@ -469,51 +467,120 @@ def audit_totals(spark, sf_dir):
     return audit.type_totals(audit.records(_trail(spark, sf_dir), "docx"))
 
 
+@query
+def audit_report_html(spark, sf_dir):
+    """The audit of each document as a page."""
+    return audit.report_html(audit.records(_trail(spark, sf_dir), "docx"))
+
+
+@query
+def summary_lines(spark, sf_dir):
+    """What was redacted, a line per value, without the value."""
+    return audit.summary_lines(_trail(spark, sf_dir))
+
+
 @query
 def redacted_whole_documents(spark, sf_dir):
-    """M06, R02 over all documents: addresses of mail and identifiers replaced; digests of the texts."""
+    """M06, R02 over all documents: all that is found in them replaced; digests of the texts."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = d.withColumn("entities", spans.resolve(rules.pattern_spans(F.col("text"), ("EMAIL_ADDRESS", "NG_NUBAN", "NG_NIN")), F.col("text"), rules.SOURCE_TYPES))
-    r = redact.redact_spans(d)
+    r = redact.redact_spans(d.withColumn("entities", Detector().detect(F.col("text"))))
     return r.select("doc_id", F.size("entities").cast("bigint").alias("n"), F.md5("redacted").alias("digest"))
 
 
+@query
+def detected_documents(spark, sf_dir):
+    """V01, V02 on the merged detector: entities of whole documents, numbered in reading order."""
+    e = workflow.detect_segments(segments(spark, sf_dir))
+    return e.select("doc_id", "id", "seg_no", F.col("start").cast("bigint").alias("start_at"), F.col("end").cast("bigint").alias("end_at"), "entity_type", "score", "source", F.col("text").alias("match"))
+
+
+def form_files(spark, sf_dir) -> DataFrame:
+    """The forms as word processing files, a paragraph for each line."""
+    return files.docx_files(forms(spark, sf_dir).select("doc_id", F.concat(F.lit("form"), F.col("doc_id").cast("string"), F.lit(".docx")).alias("path"), F.split("text", "\n").alias("paragraphs")))
+
+
+@query
+def docx_segments_read(spark, sf_dir):
+    """Paragraphs of word processing files."""
+    return files.docx_segments(files.route(form_files(spark, sf_dir))).select("doc_id", "path", "part", F.col("seg_no").cast("bigint").alias("seg_no"), F.col("paragraph_index").cast("bigint").alias("paragraph_index"), "text")
+
+
+@query
+def redacted_files(spark, sf_dir):
+    """Files with all that is found in them replaced, read again."""
+    out, _ = workflow.redact_document(form_files(spark, sf_dir))
+    return files.docx_segments(out).select("doc_id", F.col("paragraph_index").cast("bigint").alias("paragraph_index"), "text")
+
+
+@query
+def detections_side_by_side(spark, sf_dir):
+    """What each source found in each form, and what was resolved."""
+    d = documents.side_by_side(forms(spark, sf_dir), Detector(deny=DENY))
+    line = lambda c: F.array_join(F.array_sort(F.transform(c, lambda x: F.format_string("%06d-%06d:%s", x["start"], x["end"], x["entity_type"]))), ",").alias(c)
+    return d.select("doc_id", line("by_pattern"), line("by_context"), line("merged"))
+
+
+@query
+def ocr_entity_dump(spark, sf_dir):
+    """Entities of scanned pages with their words and confidences."""
+    e = documents.words_of_entities(documents.detect_blocks(ocr_pages(spark, sf_dir), stitched=False))
+    return e.select("doc_id", F.col("start").cast("bigint").alias("start_at"), "entity_type", "text", "shown")
+
+
+@query
+def page_overlay(spark, sf_dir):
+    """Boxes on pages with their colours: names rejected, places added by hand, the rest approved."""
+    r = documents.rects(documents.detect_blocks(ocr_pages(spark, sf_dir), stitched=False))
+    r = r.withColumn("approved", F.col("entity_type") != "PERSON_NAME").withColumn("source", F.when(F.col("entity_type") == "STATE_OF_ORIGIN", "manual").otherwise(F.col("source")))
+    b = redact.overlay(r)
+    return b.select("doc_id", F.col("start").cast("bigint").alias("start_at"), "entity_type", "colour", F.col("rect.x0").alias("x0"), F.col("rect.y0").alias("y0"))
+
+
 @query
 def preview_html(spark, sf_dir):
     """Segments as HTML with marked values."""
     e = review.approve_types(numbered_entities(spark, sf_dir), ("NG_NIN", "NG_TIN"))
-    return redact.preview(segments(spark, sf_dir).filter("seg_no IN (1, 9, 21)"), e).select("doc_id", "seg_no", "html")
+    return redact.preview(segments(spark, sf_dir), e).select("doc_id", "seg_no", "html")
 
 
 def _runs(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Two runs over the forms: identifiers known, some of them redacted, and some words too many."""
+    """Two runs over the forms: identifiers known, some of them redacted, and some words too many. Each form is scored by itself."""
     f = forms(spark, sf_dir).withColumn("run", F.concat(F.lit("run"), (F.col("doc_id") % 2).cast("string")))
     known = F.array(F.split_part("text", F.lit("\n"), F.lit(2)), F.split_part("text", F.lit("\n"), F.lit(11)))
-    truth = f.select("run", F.explode(F.transform(known, lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).alias("type"), F.element_at(F.split(x, " "), -1).alias("item")))).alias("t")).select("run", "t.*")
+    truth = f.select("run", "doc_id", F.explode(F.transform(known, lambda x: F.struct(F.split_part(x, F.lit(" "), F.lit(1)).alias("type"), F.element_at(F.split(x, " "), -1).alias("item")))).alias("t")).select("run", "doc_id", "t.*")
     red = F.regexp_replace(F.regexp_replace("text", "(NIN: )[0-9]+", "$1[REDACTED]"), "(Licence )[A-Z0-9]+", "$1[REDACTED]")
-    both = f.select("run", F.col("doc_id"), "text", red.alias("red"))
-    texts = both.groupBy("run").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("original"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "red"))), lambda x: x["red"]), "\n").alias("redacted"))
-    return truth, texts
+    return truth, f.select("run", "doc_id", F.col("text").alias("original"), red.alias("redacted"))
 
 
 @query
 def eval_item_recall(spark, sf_dir):
     """E01, E03, E04."""
-    r = evaluate.item_recall(*_runs(spark, sf_dir))
-    return r.select("run", "type", "items_ok", "items_total", F.array_join("leaked", ",").alias("leaked"))
+    return evaluate.item_recall(*_runs(spark, sf_dir), lists=False)
+
+
+@query
+def eval_leaked_items(spark, sf_dir):
+    """The known items that are left, by document."""
+    return evaluate.item_hits(*_runs(spark, sf_dir)).filter("left").select("run", "doc_id", "type", "item")
 
 
 @query
 def eval_word_prf(spark, sf_dir):
     """E02, E05, E06."""
-    r = evaluate.word_scores(*_runs(spark, sf_dir))
-    return r.select("run", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.array_join("collateral", ",").alias("collateral"))
+    r = evaluate.word_scores(*_runs(spark, sf_dir), lists=False)
+    return r.select("run", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query
+def eval_collateral(spark, sf_dir):
+    """Removed words that no known item has, by document, with how often."""
+    return evaluate.word_hits(*_runs(spark, sf_dir)).filter("fp > 0").select("run", "doc_id", "word", F.col("fp").alias("n"))
 
 
 @query
 def eval_report(spark, sf_dir):
     """E07."""
-    return evaluate.report(*_runs(spark, sf_dir)).select("run", "tp", "fp", "fn", "items_ok", "items_total", "per_type")
+    return evaluate.report(*_runs(spark, sf_dir), lists=False).select("run", "tp", "fp", "fn", "items_ok", "items_total", "per_type")
 
 
 def conll(spark, sf_dir) -> DataFrame:

@@ -1,11 +1,13 @@
 import random
+import re
 
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 import restated as plain
-from spanloom.backends.ner import WordListBackend, model_spans
+from spanloom.backends.ner import model_spans
 from spanloom.functions import detect, names, places, rules, spans
 from spanloom.functions.detect import Detector
 
@@ -136,7 +138,8 @@ def test_listed_names_and_a_model(spark):
     got = column(spark, [text], lambda c: d.detect(c))[0]
     assert [(s["text"], s["source"]) for s in got][0] == ("zed quux", "pattern")
     df = spark.createDataFrame([(text,), (None,)], "text string")
-    m = model_spans(F.col("text"), lambda: WordListBackend(("emeka",)))
+    cloudpickle.register_pickle_by_value(plain)  # workers don't see the tests' folder
+    m = model_spans(F.col("text"), lambda: plain.WordListBackend(("emeka",)))
     rows = df.withColumn("m", m).select("m", d.detect(F.col("text"), F.col("m")).alias("x")).collect()
     assert [s["entity_type"] for s in rows[0]["m"]] == ["PER"] and rows[1]["x"] == []
     assert ("Emeka Zed", "ner", "PERSON_NAME") in [(s["text"], s["source"], s["entity_type"]) for s in rows[0]["x"]]
@@ -157,3 +160,70 @@ def test_unrequested_rules_are_not_planned(spark):
 @pytest.mark.parametrize("text", ["0 " * 20_000, "A" * 40_000, "Ab " * 20_000, "1234567890 " * 5_000])
 def test_long_texts(spark, text):
     assert column(spark, [text], lambda c: F.size(detect.detect(c)))[0] >= 0
+
+
+def test_two_more_parts_of_names(spark):
+    df = spark.createDataFrame([("Oluwatoni Omitogun",), ("after mr Oluwatoni Omitogun",)], "text string")
+    got = [[(s["text"], round(s["score"], 2)) for s in r["x"]] for r in df.select(names.name_places(F.col("text")).alias("x")).collect()]
+    assert got == [[("Oluwatoni Omitogun", 0.7)], [("Oluwatoni Omitogun", 0.9)]]
+
+
+def test_running_sums_and_clusters(spark):
+    r = random.Random(3)
+    lists = [[r.randint(0, 9) for _ in range(n)] for n in (0, 1, 63, 64, 65, 200, 1000)]
+    df = spark.createDataFrame([(x,) for x in lists], "v array<int>")
+    rows = df.select(spans.running(F.col("v"), lambda a, b: a + b).alias("s"), spans.running(F.col("v"), F.greatest).alias("m")).collect()
+    for x, row in zip(lists, rows):
+        assert row["s"] == [sum(x[: i + 1]) for i in range(len(x))] and row["m"] == [max(x[: i + 1]) for i in range(len(x))]
+
+
+def test_marks_in_a_text_and_words_before_a_match(spark):
+    """Characters that the engine uses itself may stand in a text; context is the same whatever stands between."""
+    texts = ["\x01NIN 90000000011\x02\x01 90000000011", "NIN" + " x" * 60 + " 90000000011", "nin 1 2 90000000011 90000000011 90000000011", "NIN é 90000000011", "", "\x01"]
+    rule = next(r for r in rules.RULES if r.rule_id == "D01")
+    got = [[(s["start"], s["end"], s["score"]) for s in r["x"]] for r in spark.createDataFrame([(t,) for t in texts], "text string").select(rules.rule_spans(F.col("text"), rule, 0).alias("x")).collect()]
+    for t, found in zip(texts, got):
+        want = plain.rule_matches(t, rule)
+        assert [x[:2] for x in found] == want
+        for a, _, score in found:
+            near = " ".join(re.sub(r"\s+", " ", t[max(0, a - 100) : a]).strip().split(" ")[-5:]).lower()
+            assert score == (0.95 if "nin" in near else 0.6)
+
+
+def test_work_grows_with_a_texts_length(spark):
+    """Twice the text takes about twice the time, from texts of forms; a fold that copied its results would take four times."""
+    import time
+
+    base = "Mr Emeka Adewale lives at 12 Hill Road in Ikeja, Lagos. NIN: 90000000011, mail a.b@c.example.org, TIN 12345678 -0001.\n"
+    df = lambda n: spark.createDataFrame([(base * n,)], "text string")
+    count = lambda d: d.select(F.size(Detector().detect(F.col("text"))).alias("n")).first()["n"]
+    assert count(df(3)) == 3 * count(df(1))
+    took, found = [], []
+    for n in (1000, 4000, 8000):  # 0.12 to 1 MB
+        d = df(n).cache()
+        d.count()
+        began = time.perf_counter()
+        found.append(count(d))
+        took.append(time.perf_counter() - began)
+    assert found[2] == 2 * found[1] == 8 * found[0] > 40_000
+    assert took[2] < 2.6 * took[1] + 1
+
+
+def test_a_full_list_of_areas(spark, tmp_path):
+    """774 areas by a rule, some names in two states, from a file: all are found, each with its last state."""
+    import json
+
+    name = lambda i: f"{'BCDFGHJKLM'[i % 10]}a{'bcdfghjklm'[i // 10 % 10]}o{'bcdfghjklm'[i // 100]}u" + (" North" if i % 7 == 0 else "")
+    by = {}
+    for i in range(768):
+        by.setdefault(f"State {i % 37}", []).append(name(i))
+    for i in range(6):
+        by["State 36"].append(name(i))
+    (tmp_path / "g.json").write_text(json.dumps({"states": sorted(by), "lgas_by_state": by}))
+    from spanloom.sources import gazetteer
+
+    d = gazetteer.detector(spark, str(tmp_path / "g.json"))
+    assert len(d.gazetteer.lgas) == 774 and len(d.gazetteer.state_of()) == 768 and d.gazetteer.state_of()[name(3)] == "State 36"
+    df = spark.createDataFrame([(i, f"in {name(i).upper()} area") for i in range(768)], "i int, text string")
+    got = {r["i"]: [s["text"] for s in r["x"] if s["entity_type"] == "LGA"] for r in df.select("i", d.detect(F.col("text")).alias("x")).collect()}
+    assert all(got[i] == [name(i).upper()] for i in range(768))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import restated as plain
 from spanloom.functions import spans
 from spanloom.functions.detect import Detector
-from spanloom.operators import audit, documents, evaluate, name_lists, redact, review
+from spanloom.operators import audit, documents, evaluate, name_lists, redact, review, workflow
 from spanloom.sources import files, gazetteer
 from spanloom.streaming import redact as streaming
 
@@ -187,7 +187,9 @@ def test_sources_and_sinks(spark, tmp_path):
     texts = spark.createDataFrame([(1, "zed quux, and\nZed")], "doc_id long, text string")
     assert sorted((r["start"], r["text"]) for r in gazetteer.listed_names(texts, names).collect()) == [(0, "zed quux"), (14, "Zed")]
     gazetteer.write_names(names, str(tmp_path / "out"))
-    assert spark.read.json(str(tmp_path / "out")).count() == 2
+    assert sorted(r["name"] for r in gazetteer.read_names(spark, str(tmp_path / "out")).collect()) == ["Zed", "Zed Quux"]
+    long = spark.createDataFrame([(1, "zed quux " * 20_000)], "doc_id long, text string")
+    assert gazetteer.listed_names(long, names).count() == 20_000
     (tmp_path / "a.txt").write_text("Zed B-PER\n\nx O\n")
     c = files.read_conll(spark, str(tmp_path / "a.txt"), str(tmp_path / "missing.txt"))
     assert [(r["line_no"], r["line"]) for r in c.orderBy("line_no").collect()] == [(0, "Zed B-PER"), (1, ""), (2, "x O"), (3, "")]
@@ -258,3 +260,38 @@ def test_listed_names_of_many_words(spark):
     texts = spark.createDataFrame([(1, "So Ann Bea Cy Dee Eve Fay said")], "doc_id long, text string")
     names = spark.createDataFrame([("ann bea cy dee eve fay",)], "name string")
     assert [(r["start"], r["text"]) for r in gazetteer.listed_names(texts, names).collect()] == [(3, "Ann Bea Cy Dee Eve Fay")]
+
+
+def test_whole_documents(spark):
+    """V01 and V10 on files of several kinds."""
+    reader = lambda content: [{"page_num": 0, "level": 5, "block_num": 1, "line_num": 1, "word_num": i, "conf": 50.0 + i, "text": t} for i, t in enumerate(content.decode().split())]
+    f = spark.createDataFrame([(1, "a.docx", bytearray(docx())), (2, "b.pdf", bytearray(b"NIN 90000000011 Lagos")), (3, "c.docx", bytearray(b"no zip"))], "doc_id long, path string, content binary")
+    rows = workflow.detect_document(f, reader=reader).orderBy("doc_id", "id").collect()
+    got = [(r["doc_id"], r["id"], r["file_type"], r["entity_type"], r["text"]) for r in rows]
+    assert [x[:2] for x in got if x[0] == 1] == [(1, i) for i in range(sum(x[0] == 1 for x in got))] and {x[0] for x in got} == {1, 2}
+    assert (1, 0, "docx", "PERSON_NAME", "Grace Adewale") in got and [(x[2], x[3], x[4]) for x in got if x[0] == 2][-1] == ("pdf", "STATE_OF_ORIGIN", "Lagos")
+    assert [r["ocr_confidence"] for r in rows if r["text"] == "Lagos"] == [52.0] and all(r["approved"] for r in rows)
+    out, trail = workflow.redact_document(f.filter("doc_id = 1"))
+    texts = [t for _, t in files.docx_paragraphs(bytes(out.first()["content"]))]
+    assert texts[0] == "Name: [REDACTED]" and "90000000011" not in " ".join(texts)
+    assert {r["text"]: r["occurrence_count"] for r in trail.collect()}["90000000011"] == 3
+    with pytest.raises(Exception, match="unsupported"):
+        workflow.detect_document(spark.createDataFrame([(1, "a.txt", bytearray(b""))], "doc_id long, path string, content binary")).collect()
+
+
+def test_a_value_that_is_the_label_changes_nothing(spark):
+    seg = spark.createDataFrame([(1, 0, 1, "[REDACTED] x"), (1, 1, 2, "x y")], "doc_id long, seg_no int, paragraph_index int, text string")
+    e = spark.createDataFrame([(1, 0, "[REDACTED]", "A", 1.0, "m"), (1, 1, "y", "B", 1.0, "m"), (1, 2, "y", "C", 0.5, "m")], "doc_id long, id long, text string, entity_type string, score double, source string")
+    done = redact.redact_segments(seg, e, keep=True)
+    assert [(r["redacted"], r["changed"]) for r in done.orderBy("seg_no").collect()] == [("[REDACTED] x", False), ("x [REDACTED]", True)]
+    key = lambda d: sorted((r["text"], r["entity_type"], r["occurrence_count"]) for r in d.collect())
+    assert key(redact.audit_trail(done)) == key(redact.audit_trail(done, e)) == [("[REDACTED]", "A", 1), ("y", "C", 1)]
+
+
+def test_scores_by_document(spark):
+    """A run of several documents is scored document by document."""
+    truth = spark.createDataFrame([("r", 1, "N", "111"), ("r", 2, "N", "222")], "run string, doc_id long, type string, item string")
+    texts = spark.createDataFrame([("r", 1, "a 111 222", "a [REDACTED] 222"), ("r", 2, "222 b", "222 [REDACTED]")], "run string, doc_id long, original string, redacted string")
+    assert [(r["doc_id"], r["left"]) for r in evaluate.item_hits(truth, texts).orderBy("doc_id").collect()] == [(1, False), (2, True)]
+    r = evaluate.report(truth, texts, lists=False).first()
+    assert (r["tp"], r["fp"], r["fn"], r["items_ok"], r["items_total"]) == (1, 1, 1, 1, 2)
