@@ -42,13 +42,15 @@ FROM f LEFT JOIN refused ON f.source = refused.source
 """
 )
 
-# The plain patterns; what they add up to is what the operator's possessive forms give.
+# The plain patterns; what they add up to is what the operator's possessive forms give. Score and words of context stand last.
 _KINDS = (
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", "true"),
-    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS HUGEINT), 0) > 255)) = 0", "true"),
-    ("card", r"[0-9](?:[\x20-]?[0-9])+", "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND luhn(regexp_replace(m, '[^0-9]', '', 'g'))", "true"),
-    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15", "true"),
-    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "mod97(replace(m, ' ', ''))", "true"),
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true", 0.9, ("mail", "contact")),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), lambda x: len(ltrim(x, '0')) > 3 OR coalesce(try_cast(x AS HUGEINT), 0) > 255)) = 0", 0.6, ("ip", "address", "host", "server")),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND luhn(regexp_replace(m, '[^0-9]', '', 'g'))", 0.8, ("card", "visa", "credit", "payment")),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "len(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15", 0.7, ("phone", "mobile", "call", "tel")),
+    ("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?", "mod97(replace(m, ' ', ''))", 0.8, ("iban", "account", "bank")),
+    # a whole run of digits and hyphens, as none may stand beside it
+    ("ssn", r"[0-9-]+", r"regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(?:000|666|9..)|-00-|-0000$')", 0.3, ("ssn", "social security")),
 )
 _LUHN = "list_sum(list_transform(range(len({d})), lambda i: CASE WHEN i % 2 = 0 THEN CAST({d}[len({d}) - i] AS INT) WHEN CAST({d}[len({d}) - i] AS INT) > 4 THEN 2 * CAST({d}[len({d}) - i] AS INT) - 9 ELSE 2 * CAST({d}[len({d}) - i] AS INT) END)) % 10 = 0"
 _MOD97 = "list_reduce(list_prepend(0, list_transform(string_split({a}[5:] || {a}[1:4], ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN CAST(c AS INT) ELSE ascii(c) - 55 END)), lambda r, v: (CASE WHEN v < 10 THEN r * 10 + v ELSE r * 100 + v END) % 97) = 1"
@@ -56,20 +58,21 @@ _MOD97 = "list_reduce(list_prepend(0, list_transform(string_split({a}[5:] || {a}
 
 def _op8() -> str:
     parts = []
-    for ord_, (name, rx, valid, _) in enumerate(_KINDS):
+    for ord_, (name, rx, valid, score, context) in enumerate(_KINDS):
         digits = "regexp_replace(m, '[^0-9]', '', 'g')"
         valid = valid.replace(f"luhn({digits})", _LUHN.replace("{d}", digits)).replace("mod97(replace(m, ' ', ''))", _MOD97.replace("{a}", "replace(m, ' ', '')"))
+        near = " OR ".join(f"contains(lower(t[greatest(s - 48, 0) + 1:s]), '{w}')" for w in context)
         parts.append(
-            f"SELECT doc_id, {ord_} AS ord, '{name}' AS kind, s AS start, s + len(m) AS end_ FROM (SELECT doc_id, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(gs[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))) AS s "
-            f"FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{rx}') AS ms, string_split_regex(coalesce(text, ''), '{rx}') AS gs FROM documents)) WHERE {valid}"
+            f"SELECT doc_id, {ord_} AS ord, '{name}' AS kind, s AS start, s + len(m) AS end_, CASE WHEN {near} THEN least({score} + 0.35, 1) ELSE {score} END AS score FROM (SELECT doc_id, t, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(gs[1:i], lambda x: len(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: len(x))), 0))) AS s "
+            f"FROM (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{rx}') AS ms, string_split_regex(coalesce(text, ''), '{rx}') AS gs FROM documents)) WHERE {valid}"
         )
     body = " UNION ALL ".join(parts)
     text = "kind || ':' || CAST(start AS BIGINT) || ':' || CAST(end_ AS BIGINT)"
     return f"""
-WITH spans AS ({body}),
+WITH spans AS (SELECT * FROM ({body}) WHERE ord < 4 OR score >= 0.5),
 one AS (SELECT doc_id, {', '.join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in ('email', 'ip', 'card', 'phone'))},
-        string_agg({text}, ',' ORDER BY start, ord) FILTER (ord < 4) AS base, string_agg({text}, ',' ORDER BY start, ord) AS spans FROM spans GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        string_agg({text}, ',' ORDER BY start, ord) FILTER (ord < 4) AS base, string_agg({text}, ',' ORDER BY start, ord) AS spans, string_agg(printf('%.2f', CAST(score AS DOUBLE)), ',' ORDER BY start, ord) AS scores FROM spans GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in ('email', 'ip', 'card', 'phone'))}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(scores, '') AS scores
 FROM documents d LEFT JOIN one ON d.doc_id = one.doc_id
 """
 

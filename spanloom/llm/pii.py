@@ -1,9 +1,9 @@
 """Personal data: patterns propose spans, checksums confirm them, words nearby adjust the score.
 Column expressions only.
 
-A pattern's matches come without their places, so these are found from what stands between: the
-matches and the parts that split() leaves alternate, and their lengths add up to the places. A cheap
-test goes first, so that a pattern runs only over texts that can hold a match. Patterns are written
+Matches and what stands between them alternate, and their lengths add up to the places (see
+spanloom.functions.spans: work grows with a text's length). A cheap test goes first, so that a
+pattern runs only over texts that can hold a match. Patterns are written
 with possessive runs and with a look back to a run's start: the same matches as the plain forms,
 in time linear in the text and without the recursion that long runs cause in Java.
 """
@@ -15,6 +15,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import spans
+
 SPAN = "array<struct<start:bigint,ord:int,kind:string,end:bigint,score:double,text:string>>"
 
 
@@ -71,24 +73,23 @@ LEAST_SCORE = 0.5
 CONTEXT_CHARS, CONTEXT_ADDS = 48, 0.35
 
 
+#: Parts that hold CONTEXT_CHARS at least: every match has five code points or more.
+CONTEXT_PARTS = 22
+
+
 def _spans(text: Column, kind: Kind, ord_: int) -> Column:
     """All spans of a kind by start, as SPAN."""
-    found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-    def step(acc: Column, pair: Column) -> Column:
-        match, start = pair["match"], acc["at"] + F.length(pair["gap"])
-        end = start + F.length(match)
-        near = F.lower(F.substr(text, F.greatest(start - CONTEXT_CHARS, F.lit(0)).cast("int") + 1, F.least(start, F.lit(CONTEXT_CHARS)).cast("int")))
-        score = F.when(reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in kind.context]), F.least(F.lit(1.0), F.lit(kind.score + CONTEXT_ADDS))).otherwise(F.lit(kind.score))
-        one = F.struct(start.alias("start"), F.lit(ord_).alias("ord"), F.lit(kind.name).alias("kind"), end.alias("end"), score.alias("score"), match.alias("text"))
-        keep = F.coalesce(kind.valid(match), F.lit(False))
-        if not kind.base:
-            keep = keep & (score >= LEAST_SCORE)
-        return F.struct(end.alias("at"), F.when(keep, F.concat(acc["out"], F.array(one).cast(SPAN))).otherwise(acc["out"]).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(gaps, F.lit(1), F.size(found)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.when(text.rlike(kind.guard), F.aggregate(pairs, zero, step)["out"]).otherwise(F.array().cast(SPAN))
+    def one(place: Column, near: Column) -> Column:
+        hit = reduce(lambda a, b: a | b, [F.contains(near, F.lit(w)) for w in kind.context])
+        score = F.when(hit, F.least(F.lit(1.0), F.lit(kind.score + CONTEXT_ADDS))).otherwise(F.lit(kind.score))
+        return F.struct(place["start"].cast("bigint").alias("start"), F.lit(ord_).alias("ord"), F.lit(kind.name).alias("kind"), place["end"].cast("bigint").alias("end"), score.alias("score"), place["text"].alias("text"))
+
+    def found(p: Column) -> Column:
+        every = F.zip_with(spans.placed(p), F.transform(spans.tails(p, CONTEXT_CHARS, CONTEXT_PARTS), F.lower), one)
+        keep = lambda s: F.coalesce(kind.valid(s["text"]), F.lit(False)) & (F.lit(True) if kind.base else s["score"] >= LEAST_SCORE)
+        return F.when(F.size(p) > 2, F.filter(every, keep).cast(SPAN)).otherwise(F.array().cast(SPAN))
+
+    return spans.let(spans.parts(text, kind.pattern, guard=kind.guard), found)
 
 
 def find(docs: DataFrame, *, text_col: str = "text", out_col: str = "pii", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -104,16 +105,12 @@ def find(docs: DataFrame, *, text_col: str = "text", out_col: str = "pii", kinds
 
 def redact(docs: DataFrame, *, text_col: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The rows with each run of overlapping spans in text_col replaced by its first kind in brackets, as [EMAIL]. A text without spans, or null, stays as it is."""
-    spans, text = "__pii_spans", F.col(text_col)
-    while spans in docs.columns:
-        spans += "_"
-    found = find(docs, text_col=text_col, out_col=spans, kinds=kinds)
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        fresh = F.concat(acc["out"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], fresh).otherwise(acc["out"]).alias("out"))
-
-    # (a span that starts within the one before only moves the end)
-    new = F.aggregate(F.col(spans), zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, (acc["at"] + 1).cast("int"))))
-    return found.withColumn(text_col, F.when(F.size(spans) > 0, new).otherwise(text)).drop(spans)
+    name, text = "__pii_spans", F.col(text_col)
+    while name in docs.columns:
+        name += "_"
+    found = find(docs, text_col=text_col, out_col=name, kinds=kinds)
+    plain = F.transform(F.col(name), lambda s: F.struct(s["start"].cast("int").alias("start"), s["ord"].alias("ord"), s["end"].cast("int").alias("end"), s["kind"].alias("kind")))
+    runs = spans.clusters(plain, "array<struct<start:int,ord:int,end:int,kind:string>>")
+    places = F.transform(runs, lambda c: F.struct(F.get(c, F.lit(0))["start"].alias("start"), F.array_max(F.transform(c, lambda s: s["end"])).alias("end"), F.get(c, F.lit(0))["kind"].alias("kind")))
+    new = spans.replaced(text, places, lambda p: F.concat(F.lit("["), F.upper(p["kind"]), F.lit("]")))
+    return found.withColumn(text_col, F.when(F.size(name) > 0, new).otherwise(text)).drop(name)

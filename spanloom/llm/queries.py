@@ -65,7 +65,7 @@ def op7_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts and places of personal data."""
+    """Counts, places and scores of personal data."""
     found = pii.find(table(spark, sf_dir).select("doc_id", "text"))
     base = [k.name for k in pii.KINDS if k.base]
     of = lambda kind: lambda s: s["kind"] == kind
@@ -75,6 +75,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[F.size(F.filter("pii", of(k))).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(line(F.filter("pii", lambda s: s["ord"] < len(base))), 256).alias("base_sha256"),
         line(F.col("pii")).alias("spans"),
+        F.array_join(F.transform("pii", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
     )
 
 

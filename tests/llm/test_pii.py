@@ -82,3 +82,27 @@ def test_redaction(spark):
     assert out.columns == df.columns
     assert [r["text"] for r in out.orderBy("doc_id").collect()] == ["to [EMAIL] or [PHONE], ip [IP]!", "none", None, "[CARD]"]
     assert pii.redact(df.limit(0)).collect() == []
+
+
+def test_empty_and_repeated_rows_and_context(spark):
+    rows = [(1, "my ssn 123-45-6789, other 123-45-6789 " + "x" * 60 + " 123-45-6789"), (1, "my ssn 123-45-6789, other 123-45-6789 " + "x" * 60 + " 123-45-6789"), (2, None), (None, "")]
+    df = spark.createDataFrame([(k, t, "old") for k, t in rows], "doc_id long, text string, pii string")
+    found = pii.find(df)
+    assert found.columns == df.columns and pii.find(df.limit(0)).collect() == [] == pii.redact(df.limit(0)).collect()
+    got = [[(s["kind"], s["start"], round(s["score"], 2)) for s in r["pii"]] for r in found.collect()]
+    assert got == [[("ssn", 7, 0.65), ("ssn", 26, 0.65)]] * 2 + [[], []]
+    out = pii.redact(df)
+    assert out.columns == df.columns and [r["text"] for r in out.collect()][1:] == ["my ssn [SSN], other [SSN] " + "x" * 60 + " 123-45-6789", None, ""]
+
+
+def test_work_grows_with_a_texts_length(spark):
+    import time
+
+    took = []
+    for n in (2000, 20_000, 40_000):
+        d = spark.createDataFrame([("mail a.b@c.example.org or 10.0.0.1 now, " * n,)], "text string").cache()
+        d.count()
+        began = time.perf_counter()
+        assert len(pii.redact(d).first()["text"]) == n * len("mail [EMAIL] or [IP] now, ")
+        took.append(time.perf_counter() - began)
+    assert took[2] < 2.6 * took[1] + 1

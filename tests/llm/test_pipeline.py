@@ -63,3 +63,26 @@ def test_run_reads_documents(spark):
     out = corpus_pipeline.run(spark, f"{DATA}/sf0.001")
     assert {"doc_id", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns) and out.count() > 100
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_empty_repeated_and_clashing_input(spark):
+    """All stages on an empty table; on repeated rows, null ids and texts, and columns named like the operators' own."""
+    sf = f"{DATA}/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    cur = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        cur = written(stage(spark, cur, sf), f"empty-{name}")
+        assert cur.collect() == [] and (name == "pack" or cur.columns == docs.columns)
+    clash = {"key": "1", "node": "'n'", "row": "2", "id": "3", "at": "'a'", "label": "'l'", "__pii_spans": "4", "gone": "'g'", "lines": "5", "pos": "6", "h": "7", "ids": "'i'", "one": "8"}
+    some = docs.filter("lang IS NOT NULL").orderBy("doc_id").limit(80)
+    odd = spark.createDataFrame([(None, "a row without an id in plain words that are its own", "en", None, None), (5_000, None, "en", "s", 1), (5_001, "", None, None, 0)], docs.schema)
+    cur = some.unionByName(some.limit(20)).unionByName(odd).selectExpr("*", *[f"{v} AS {k}" for k, v in clash.items()])
+    columns, seen = cur.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        cur = written(stage(spark, cur, sf), f"clash-{name}")
+        assert cur.columns == columns and cur.select(*clash).distinct().count() == 1, name
+        seen.append(cur.count())
+        if name == "near_copies":  # repeated rows are copies of each other
+            assert cur.filter("text rlike '[a-z]'").groupBy("text").count().filter("count > 1").count() == 0
+    assert seen[0] <= seen[1] == seen[0] and seen[2] < seen[1] and seen[3] == seen[2]
+    assert corpus_pipeline.pack(spark, cur, sf).agg({"length": "sum"}).first()[0] > seen[3]
