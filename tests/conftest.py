@@ -1,5 +1,7 @@
 import os
+import shutil
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +15,7 @@ DATA = "/root/testdata"
 def spark():
     from pyspark.sql import SparkSession
 
+    shared = tempfile.mkdtemp(prefix="spanloom-tests-")
     s = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
@@ -20,8 +23,10 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", f"file://{shared}")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+    shutil.rmtree(shared, ignore_errors=True)
