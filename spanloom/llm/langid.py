@@ -264,12 +264,12 @@ def _size_class(letters: np.ndarray) -> np.ndarray:
     return np.log2(np.maximum(letters, 1)).astype(np.int64)
 
 
-def floors_of(model: BiGru | None, texts: list[str], *, pieces: int = 4, most_lost: float = 0.001, width: int = 64, seed: int = 6) -> np.ndarray:
-    """The least score of a text in a language, by size (the logarithm of its letters): what all but a share of these texts reach.
+def floors_of(model: BiGru | None, texts: list[str], *, pieces: int = 4, least: int = 1000, margin: float = 2.0, width: int = 64, seed: int = 6) -> np.ndarray:
+    """A score that texts in a language reach, by size (the logarithm of its letters): the least one seen, with its odds divided by a margin.
 
     A short text scores lower than a long one, so pieces of all lengths count, drawn from each text,
-    with the whole text. A size with too few of them to measure that share takes the next smaller
-    sizes in, and asks for no more than a larger one. Without texts nothing is asked for.
+    with the whole text. A size with fewer of them than that takes the next smaller sizes in, and
+    asks for no more than a larger one. Without texts nothing is asked for.
     """
     r, parts = np.random.default_rng(seed), list(texts)
     for text in texts:
@@ -283,11 +283,12 @@ def floors_of(model: BiGru | None, texts: list[str], *, pieces: int = 4, most_lo
     size = _size_class(_letters(buf, offs))
     out = np.ones(size.max() + 1)
     for k in range(len(out)):
-        for least in range(k, -1, -1):
-            here = score[(size >= least) & (size <= k) & (score > 0)]
-            if len(here) * most_lost >= 1:
+        for low in range(k, -1, -1):
+            here = score[(size >= low) & (size <= k) & (score > 0)]
+            if len(here) >= least:
                 break
-        out[k] = np.quantile(here, most_lost, method="lower") if len(here) else 0
+        odds = here.min() / max(1 - here.min(), 1e-12) / margin if len(here) else 0.0
+        out[k] = odds / (1 + odds)
     return np.minimum.accumulate(out[::-1])[::-1]
 
 
