@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .shared import written
+from .shared import join_on, written
 from .textbuf import Packed, points, slices, windows, words
 
 _SYMBOL = np.zeros(256, bool)
@@ -123,7 +123,7 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
     counted = three.mapInArrow(_counter(window), f"key {kind}, host string, " + ", ".join(f"{c} bigint" for c in COUNTS))
     counted = written(counted, "counts")
     failing = rules()
-    hosts = counted.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(r) for r, c in failing.items()])
+    hosts = written(counted.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(r) for r, c in failing.items()]), "hosts")
     moments = hosts.agg(F.count(F.lit(1)).alias("hosts"), F.avg(1 / F.col("n")).alias("inverse"), *[x for r in failing for x in (F.avg(F.col(r) / F.col("n")).alias(f"{r}_1"), F.avg((F.col(r) / F.col("n")) ** 2).alias(f"{r}_2"))]).first()
     refused = F.lit(False)
     for r in failing:
@@ -131,5 +131,5 @@ def judge(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ho
         rate = (F.col(r) + a) / (F.col("n") + (a + b))
         refused = refused | (rate - deviations * F.sqrt(rate * (1 - rate) / (F.col("n") + (a + b + 1))) > (moments[f"{r}_1"] or 0.0) + margin)
     bad = hosts.filter(refused).select("host", F.lit(True).alias("refused"))
-    out = counted.join(bad, "host", "left").withColumn("base_failed", failing["base"])
+    out = join_on(counted, bad, ["host"], "left").withColumn("base_failed", failing["base"])
     return out.select(F.col("key").alias(id_col), *COUNTS, "base_failed", (~F.col("base_failed") & F.col("refused").isNull()).alias("kept"))

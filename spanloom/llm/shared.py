@@ -6,6 +6,8 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -62,15 +64,20 @@ def join_on(rows: DataFrame, keyed: DataFrame, keys: list[str], how: str = "inne
 
     Keys are counted first (sums before the shuffle). The hot ones, fewer than 1 / HOT_SHARE of them
     whatever the size, are joined by broadcast, so their rows stay where they are; the rest is
-    shuffled, and no key of it has more than that share of the rows. rows is read twice: a table.
+    shuffled, and no key of it has more than that share of the rows. Rows with a null key match
+    nothing and are not shuffled at all. rows is read more than once: a table.
     """
+    whole = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    apart, rows = rows.filter(~whole), rows.filter(whole)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     total = rows.count()
     hot = counts.filter((F.col("n") > HOT_ROWS) & (F.col("n") > total * HOT_SHARE)).drop("n")
     found = hot.collect()
     if not found:
-        return rows.join(keyed, keys, how)
+        out = rows.join(keyed, keys, how)
+        return out.unionByName(apart, allowMissingColumns=True) if how == "left" else out
     hot = F.broadcast(rows.sparkSession.createDataFrame(found, hot.schema))
     rest = rows.join(hot, keys, "left_anti").join(keyed, keys, how)
     few = F.broadcast(keyed.join(hot, keys, "left_semi"))
-    return rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rest)
+    out = rows.join(hot, keys, "left_semi").join(few, keys, how).unionByName(rest)
+    return out.unionByName(apart, allowMissingColumns=True) if how == "left" else out
