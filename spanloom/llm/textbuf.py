@@ -7,6 +7,7 @@ the length of an Arrow batch. A single longer text makes a slice of its own.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,8 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 _P = 0x9E3779B97F4A7C15
+#: Only the GNU C library has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -150,8 +153,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b[o[0] : o[-1]], o - o[0]
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold but don't use to the machine: workers live on from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of at most so many bytes, or of one row: first row, end row, bytes, offsets."""
+    give_back()  # the batch before is gone by now
     buf, offs = buffers(texts)
     n, lo = len(offs) - 1, 0
     while lo < n:
@@ -159,6 +170,7 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         hi = min(hi, n)
         yield lo, hi, buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
         lo = hi
+    give_back()
 
 
 def words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
