@@ -212,9 +212,7 @@ def merged_counts_by_source(spark, sf_dir):
 @query
 def widened_names(spark, sf_dir):
     """Names that no source found at the place they have after resolution."""
-    f, d = forms(spark, sf_dir), Detector(deny=DENY)
-    raw = _entities(f, d.union(F.col("text"))).select("doc_id", "start_at", "end_at")
-    return _entities(f, d.detect(F.col("text"))).join(raw, ["doc_id", "start_at", "end_at"], "left_anti").select("doc_id", "start_at", "end_at", "entity_type", "score", "source", "match")
+    return _entities(forms(spark, sf_dir), Detector(deny=DENY).widened(F.col("text")))
 
 
 @query

@@ -227,3 +227,24 @@ def test_a_full_list_of_areas(spark, tmp_path):
     df = spark.createDataFrame([(i, f"in {name(i).upper()} area") for i in range(768)], "i int, text string")
     got = {r["i"]: [s["text"] for s in r["x"] if s["entity_type"] == "LGA"] for r in df.select("i", d.detect(F.col("text")).alias("x")).collect()}
     assert all(got[i] == [name(i).upper()] for i in range(768))
+
+
+def test_widened_spans_are_the_resolved_ones_that_no_source_found(spark):
+    from conftest import DATA
+
+    from spanloom.plans.queries import DENY, forms
+
+    texts, d = [*random_texts(), None, *(r["text"] for r in forms(spark, f"{DATA}/sf0.001").limit(20).collect())], Detector(deny=DENY)
+    place = lambda s: (s["start"], s["end"])
+    raw = [{place(s) for s in x or []} for x in column(spark, texts, d.union)]
+    resolved, got = (column(spark, texts, f) for f in (d.detect, d.widened))
+    assert got == [[s for s in x if place(s) not in r] for x, r in zip(resolved, raw, strict=True)] and any(got)
+
+
+def test_widened_names_are_found_row_by_row(spark):
+    from conftest import DATA
+
+    from spanloom.plans.queries import widened_names
+
+    plan = widened_names(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Broadcast" not in plan
