@@ -1,59 +1,15 @@
-"""Tables written between the steps of a job in the folder that all executors share, and joins on keys that many rows have."""
+"""Joins on keys that many rows have; tables between the steps of a job are those of the whole package."""
 
 from __future__ import annotations
 
-import contextlib
-import tempfile
-import uuid
-from collections.abc import Iterator
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-_own: list[str] = []
-_scopes: list[list[str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session, or what setCheckpointDir() was given.
-
-    Where neither is set a local session (as in tests) gets a folder of this machine; on a cluster
-    that is an error, since executors would not see each other's files.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="spanloom-"))
-    return f"file://{_own[0]}"
-
-
-def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """The rows from a Parquet table made of them now: a cut of lineage that outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextlib.contextmanager
-def scope(spark: SparkSession) -> Iterator[None]:
-    """Tables written inside are removed at the end. Results made inside are lazy, so they have to be used or written elsewhere before."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _scopes.pop():
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+from ..tables import scope, shared_dir, written
 
+__all__ = ["HOT_ROWS", "HOT_SHARE", "join_on", "scope", "shared_dir", "written"]
 
 #: A key of more than this share of all rows, and of so many rows at least, is a hot one; so there are fewer hot keys than 1 / share.
 HOT_SHARE, HOT_ROWS = 0.001, 500

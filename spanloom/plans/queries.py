@@ -10,6 +10,7 @@ from ..functions import names, places, rules, spans
 from ..functions.detect import Detector
 from ..operators import audit, documents, evaluate, name_lists, redact, review, workflow
 from ..sources import files, gazetteer
+from ..tables import written
 from . import corpus
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -373,10 +374,15 @@ def policy_approved_counts(spark, sf_dir):
     return review.policy_counts(numbered_entities(spark, sf_dir), policies)
 
 
+def listed_entities(spark, sf_dir) -> DataFrame:
+    """The numbered entities as decisions need them, as a table: detection is by far the most of the work, and they are read again and again."""
+    return written(numbered_entities(spark, sf_dir).select("doc_id", "id", "entity_type", "approved"), "entities")
+
+
 @query
 def decisions_applied(spark, sf_dir):
     """Every fourth entity rejected by hand, what remains by type."""
-    e = numbered_entities(spark, sf_dir)
+    e = listed_entities(spark, sf_dir)
     decisions = e.filter("id % 4 = 1").select("doc_id", F.col("id").alias("entity_id"), F.lit(False).alias("approved"))
     return review.approved(review.decide(e, decisions)).groupBy("entity_type").agg(F.count(F.lit(1)).alias("n"))
 
@@ -384,7 +390,7 @@ def decisions_applied(spark, sf_dir):
 @query
 def unknown_decisions(spark, sf_dir):
     """Decisions that name no entity."""
-    e = numbered_entities(spark, sf_dir)
+    e = listed_entities(spark, sf_dir)
     d = e.filter("id = 0").select("doc_id", (F.col("id") + F.when(F.col("doc_id") % 7 == 0, 1000).otherwise(0)).cast("bigint").alias("entity_id"), F.lit(False).alias("approved"))
     return review.unknown_decisions(e, d).select("doc_id", "entity_id")
 

@@ -295,3 +295,13 @@ def test_scores_by_document(spark):
     assert [(r["doc_id"], r["left"]) for r in evaluate.item_hits(truth, texts).orderBy("doc_id").collect()] == [(1, False), (2, True)]
     r = evaluate.report(truth, texts, lists=False).first()
     assert (r["tp"], r["fp"], r["fn"], r["items_ok"], r["items_total"]) == (1, 1, 1, 1, 2)
+
+
+def test_entities_are_looked_for_once_for_decisions(spark):
+    from conftest import DATA
+
+    from spanloom.plans import queries
+
+    for query in (queries.decisions_applied, queries.unknown_decisions):
+        plan = query(spark, f"{DATA}/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert "customer" not in plan and "entities-" in plan
