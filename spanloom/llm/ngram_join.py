@@ -4,7 +4,10 @@ Documents of equal words are one node. Each node's MinHash signature is cut into
 as long as the threshold and the target recall ask for, and nodes that agree in a band fall into a
 bucket. Each bucket pairs its members with its least one. Since that may be a stranger where many
 texts share a passage, members of a bucket of three or more meet again in the buckets of two and of
-three bands at once, which strangers rarely share. So candidates are linear in the nodes.
+three bands at once, which strangers rarely share. So candidates are linear in the nodes. What these
+leave unconnected is compared exactly: in each bucket whose members are not all of one class by then,
+all pairs of two classes, block by block, first by their signatures and then by their full sets. So
+two nodes that agree in a band are always compared, or else connected already.
 
 A candidate pair counts only when verified: signatures drop what is far off, then the full n-gram
 sets, made of words and compared exactly, decide. Verified pairs connect nodes to classes. Links are
@@ -28,6 +31,8 @@ from .textbuf import Packed, joined, sequence_hash, slices, windows, words
 
 #: Sets and n-grams that a block holds at most, about; smaller groups are parted into so many blocks, but not into smaller ones than that.
 BLOCK_SETS, BLOCK_GRAMS, BLOCKS, LEAST_BLOCK = 2048, 1_000_000, 16, 128
+#: Nodes whose texts are looked up by a broadcast of their keys, at most; more are joined by a shuffle.
+FEW = 10_000
 
 
 def bands_for(threshold: float, recall: float, most_hashes: int = 128) -> tuple[int, int]:
@@ -162,17 +167,21 @@ def _near(least: int):
     return run
 
 
-def _tasks(batches, columns: tuple[str, ...]):
-    """The rows of each run of one task, as columns."""
+def _tasks(batches, columns: tuple[str, ...], name: list | None = None):
+    """The rows of each run of one task, as columns. name: gets the task."""
     task, rows = None, []
     for batch in batches:
         for t, *row in zip(*(batch.column(c).to_pylist() for c in ("task", *columns)), strict=True):
             if t != task:
                 if rows:
+                    if name is not None:
+                        name[:] = [task]
                     yield list(zip(*rows, strict=True))
                 task, rows = t, []
             rows.append(row)
     if rows:
+        if name is not None:
+            name[:] = [task]
         yield list(zip(*rows, strict=True))
 
 
@@ -188,8 +197,8 @@ def _confirmer(n: int, threshold: float):
     return run
 
 
-def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, threshold: float) -> np.ndarray:
-    """For each set the copies of sets linked to it.
+def similar(sets: list[np.ndarray], side: np.ndarray, threshold: float):
+    """Runs of rows of the upper half of a matrix, which says of each two sets whether they are linked: (first, end, rows).
 
     side: 0 and 1 for two blocks, of which only pairs across count; all 0 for one block.
     """
@@ -222,7 +231,6 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, thresho
     else:
         pair, shared = np.zeros(0, np.int64), np.zeros(0, np.int64)
     cut = np.searchsorted(pair, np.arange(m + 1) * m)
-    links = np.zeros(m, np.int64)
     step = max(1, (1 << 20) // m)
     two = bool(side.any())
     for lo in range(0, m, step):
@@ -237,11 +245,65 @@ def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, thresho
         yes &= np.arange(m)[None, :] > np.arange(lo, hi)[:, None]  # each pair once: the lists are sorted by row
         if two:
             yes &= side[lo:hi, None] != side[None, :]
+        yield lo, hi, yes
+
+
+def linked(sets: list[np.ndarray], copies: np.ndarray, side: np.ndarray, threshold: float) -> np.ndarray:
+    """For each set the copies of sets linked to it; see similar()."""
+    links = np.zeros(len(sets), np.int64)
+    for lo, hi, yes in similar(sets, side, threshold):
         links[lo:hi] += yes @ copies
         links += copies[lo:hi] @ yes
     return links
 
 
+def bridges(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+    """Linked pairs that connect all groups (a number for each set) that any linked pairs connect, fewer than there are groups."""
+    root, out = group.copy(), []
+    for lo, hi, yes in similar(sets, side, threshold):
+        for i in range(lo, hi):
+            for j in np.flatnonzero(yes[i - lo] & (root != root[i])).tolist():
+                if root[j] != root[i]:
+                    out.append((i, j))
+                    root[root == root[j]] = root[i]
+    return out
+
+
+def _suspects(least: int):
+    """Of a task's nodes those whose sketch has so many equal bytes with that of a node of another class."""
+    def run(batches):
+        for node, side, label, size, sketch in _tasks(batches, ("node", "side", "label", "size", "sketch"), keep := []):
+            m, bits, side = len(node), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1), np.array(side)
+            _, group, count = np.unique(np.array([x.hex() for x in label]), return_inverse=True, return_counts=True)
+            found, two = np.zeros(m, bool), bool(side.any() and not side.all())
+            # a pair of two classes has a node that isn't of the most frequent one
+            for i in np.flatnonzero(group != count.argmax()).tolist():
+                with_ = group != group[i]
+                if two:
+                    with_ &= side != side[i]
+                at = np.flatnonzero(with_)
+                at = at[(bits[at] == bits[i]).sum(axis=1) >= least]
+                found[at] = True
+                found[i] |= len(at) > 0
+            yes = np.flatnonzero(found).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([keep[-1]] * len(yes), pa.string()), pa.array(side[yes], pa.int32()), pa.array([node[i] for i in yes], pa.binary()), pa.array([label[i] for i in yes], pa.binary())],
+                names=["task", "side", "node", "label"],
+            )
+
+    return run
+
+
+def _bridger(n: int, threshold: float):
+    def run(batches):
+        for node, side, label, text in _tasks(batches, ("node", "side", "label", "words")):
+            _, group = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
+            found = bridges(gram_sets(list(text), n), group, np.array(side, np.int64), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.binary()), pa.array([node[j] for _, j in found], pa.binary())], names=["node", "pivot"])
+
+    return run
+
+
 def _counter(n: int, threshold: float):
     def run(batches):
         for node, copies, side, text in _tasks(batches, ("node", "copies", "side", "words")):
@@ -252,8 +314,8 @@ def _counter(n: int, threshold: float):
     return run
 
 
-def _candidates(nodes: DataFrame, bands: int, least: int) -> DataFrame:
-    """(node, pivot): what buckets pair and sketches don't rule out."""
+def _candidates(nodes: DataFrame, bands: int, least: int) -> tuple[DataFrame, DataFrame]:
+    """(node, pivot): what buckets pair and sketches don't rule out; (bucket, node) of buckets of three or more, whose other pairs are left to _rest()."""
     after = lambda k: F.get("bands", (F.col("j") + k) % bands)
     each = nodes.select("node", "bands", F.posexplode("bands").alias("j", "bucket")).select("node", "bucket", after(1).alias("b1"), after(2).alias("b2"))
     met = lambda rows: rows.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -267,7 +329,29 @@ def _candidates(nodes: DataFrame, bands: int, least: int) -> DataFrame:
     pairs = written(found.distinct(), "pairs")
     sketches = nodes.select("node", "sketch")
     both = join_on(pairs, sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("other")), ["pivot"]).join(sketches, "node")
-    return written(both.mapInArrow(_near(least), "node binary, pivot binary"), "near")
+    return written(both.mapInArrow(_near(least), "node binary, pivot binary"), "near"), crowd.select("bucket", "node")
+
+
+def _rest(crowd: DataFrame, label: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
+    """task, side, node, label of what remains to be compared: nodes of a bucket with two classes or more that sketches don't rule out of being linked across them.
+
+    A task is a block of a bucket, or two. Its nodes come out once at most, so the rows are linear in a block's nodes.
+    """
+    own = written(crowd.join(nodes.select("node", "size"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd")
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), block_count(F.count(F.lit(1)), F.sum("size")).alias("blocks")).filter("x <> y").select("bucket", "blocks")
+    i = F.pmod(F.xxhash64("node"), "blocks").cast("int")
+    to = lambda j: F.struct(F.concat_ws(":", "bucket", F.least(i, j), F.greatest(i, j)).alias("task"), (i > j).cast("int").alias("side"))
+    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), to)
+    dealt = join_on(own, mixed, ["bucket"]).select("node", "label", "size", F.explode(tasks).alias("x")).join(nodes.select("node", "sketch"), "node").select("x.task", "x.side", "node", "label", "size", "sketch")
+    found = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_suspects(least), "task string, side int, node binary, label binary")
+    return written(found, "rest")
+
+
+def _texts(two: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
+    """node, words of the wanted nodes (node, key, at). few: they are sent to the rows, which stay where they are."""
+    t, w = two.alias("t"), (F.broadcast(wanted) if few else wanted).alias("w")
+    texts = t.join(w, F.col("t.key").eqNullSafe(F.col("w.key")) & F.col("t.at").eqNullSafe(F.col("w.at"))).select("w.node", "text").mapInArrow(_words_of, "node binary, words binary")
+    return written(texts.dropDuplicates(["node"]), "texts")
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -318,11 +402,10 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
         signed.filter(F.col("node").isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("least"), F.min(F.struct(F.col("key").isNull().alias("no"), "key", "at")).alias("one"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes",
     )
-    near = _candidates(nodes, bands, least_matches(bands * rows, threshold))
-    wanted = near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct().join(nodes, "node").select("node", F.col("one.key").alias("key"), F.col("one.at").alias("at"))
-    t, w = two.alias("t"), wanted.alias("w")
-    texts = t.join(w, F.col("t.key").eqNullSafe(F.col("w.key")) & F.col("t.at").eqNullSafe(F.col("w.at"))).select("w.node", "text").mapInArrow(_words_of, "node binary, words binary")
-    texts = written(texts.dropDuplicates(["node"]), "texts")
+    least = least_matches(bands * rows, threshold)
+    near, crowd = _candidates(nodes, bands, least)
+    place = nodes.select("node", F.col("one.key").alias("key"), F.col("one.at").alias("at"))
+    texts = _texts(two, near.select(F.explode(F.array("node", "pivot")).alias("node")).distinct().join(place, "node"))
 
     # each node with one pivot first; then only pairs that these don't connect
     sure = _confirmed(near.groupBy("node").agg(F.min("pivot").alias("pivot")), nodes, texts, n, threshold)
@@ -332,6 +415,15 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     if not apart.isEmpty():
         sure = sure.unionByName(_confirmed(apart, nodes, texts, n, threshold))
         label = written(components(sure, "node", "pivot"), "labels")
+    rest = _rest(crowd, label, nodes, least)
+    missing = written(rest.select("node").distinct().join(texts.select("node"), "node", "left_anti").join(place, "node"), "missing")
+    if not rest.isEmpty():
+        if more := missing.count():
+            texts = texts.unionByName(_texts(two, missing, few=more <= FEW))
+        full = rest.join(texts, "node").select("task", "side", "node", "label", "words")
+        new = written(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bridger(n, threshold), "node binary, pivot binary"), "bridges")
+        if not new.isEmpty():
+            label = written(components(sure.unionByName(new), "node", "pivot"), "labels")
     links = written(_links(label, nodes, texts, n, threshold), "links")
     known = nodes.select("node", "copies", "least", "one").join(links, "node", "left").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     classes = known.groupBy("label").agg(F.min("least").alias("class_id"), F.min("one").alias("one"))

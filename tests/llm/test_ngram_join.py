@@ -240,3 +240,22 @@ def test_components(spark):
     got = {x["node"]: x["label"] for x in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {k: find(k) for k in root}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_bridges_connect_what_links_connect():
+    sets = [np.array(x) for x in ([1, 2, 3, 4, 5], [1, 2, 3, 4, 5, 6], [9, 10], [9, 10, 11], [1, 2, 3, 4, 6])]
+    one = np.zeros(5, np.int64)
+    assert sorted(ngram_join.bridges(sets, np.arange(5), one, 0.8)) == [(0, 1), (1, 4)]
+    assert ngram_join.bridges(sets, np.array([0, 0, 1, 2, 0]), one, 0.8) == []
+    assert ngram_join.bridges(sets, np.arange(5), np.array([0, 1, 0, 1, 1]), 0.8) == [(0, 1)]
+
+
+def test_pairs_of_crowded_buckets_are_all_compared(spark):
+    """Pairs just over 0.8 among pages at 0.7 to each other, so that strangers are in nearly all of a pair's buckets."""
+    page, table = [f"w{i}" for i in range(104)], []
+    for g in range(200):
+        one = page + [f"x{g}y{i}" for i in range(21)]
+        two = [f"z{g}" if i in (g % 90, g % 90 + 4, g % 90 + 8) else w for i, w in enumerate(one)]
+        table += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
+    got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {i: (least, n) for _, i, least, n in brute(table)}
