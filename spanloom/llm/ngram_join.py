@@ -7,7 +7,9 @@ texts share a passage, members of a bucket of three or more meet again in the bu
 three bands at once, which strangers rarely share. So candidates are linear in the nodes. What these
 leave unconnected is compared exactly: in each bucket whose members are not all of one class by then,
 all pairs of two classes, block by block, first by their signatures and then by their full sets. So
-two nodes that agree in a band are always compared, or else connected already.
+two nodes that agree in a band are always compared, or else connected already. A bucket has so many
+blocks at most, and larger ones rather than more, so its rows grow with its nodes; only the
+comparisons, which make no rows, grow with their square.
 
 A candidate pair counts only when verified: signatures drop what is far off, then the full n-gram
 sets, made of words and compared exactly, decide. Verified pairs connect nodes to classes. Links are
@@ -31,6 +33,8 @@ from .textbuf import Packed, joined, sequence_hash, slices, windows, words
 
 #: Sets and n-grams that a block holds at most, about; smaller groups are parted into so many blocks, but not into smaller ones than that.
 BLOCK_SETS, BLOCK_GRAMS, BLOCKS, LEAST_BLOCK = 2048, 1_000_000, 16, 128
+#: Signatures that a block of a crowded bucket holds, about, and its blocks at most; n-grams of a block above which it has more all the same, for their texts to fit a task.
+SKETCHES, MOST_BLOCKS, MOST_GRAMS = 4096, 16, 20_000_000
 #: Nodes whose texts are looked up by a broadcast of their keys, at most; more are joined by a shuffle.
 FEW = 10_000
 
@@ -115,6 +119,20 @@ def block_count(sets, grams):
     return F.ceil(F.greatest(sets / size, grams / BLOCK_GRAMS)).cast("int")
 
 
+def bucket_blocks(sets, grams=None):
+    """Blocks of a crowded bucket, by its sets, or by those and their n-grams where full texts are compared (columns)."""
+    if grams is None:
+        return F.least(F.ceil(sets / SKETCHES), F.lit(MOST_BLOCKS)).cast("int")
+    return F.greatest(F.least(F.ceil(F.greatest(sets / BLOCK_SETS, grams / BLOCK_GRAMS)), F.lit(MOST_BLOCKS)), F.ceil(grams / MOST_GRAMS), F.lit(1)).cast("int")
+
+
+def _block_tasks(node: str = "node"):
+    """For a row of a bucket of so many blocks: its tasks, each of one block or two, with the side it is on."""
+    i = F.pmod(F.xxhash64(node), "blocks").cast("int")
+    to = lambda j: F.struct(F.concat_ws(":", "bucket", F.least(i, j), F.greatest(i, j)).alias("task"), (i > j).cast("int").alias("side"))
+    return F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), to)
+
+
 def least_matches(hashes: int, threshold: float) -> int:
     """Equal bytes of two sketches below which a pair is far off: five deviations under what a pair at the threshold has."""
     return max(0, math.floor(hashes * threshold - 5 * math.sqrt(hashes * threshold * (1 - threshold))))
@@ -167,21 +185,17 @@ def _near(least: int):
     return run
 
 
-def _tasks(batches, columns: tuple[str, ...], name: list | None = None):
-    """The rows of each run of one task, as columns. name: gets the task."""
+def _tasks(batches, columns: tuple[str, ...]):
+    """The rows of each run of one task, as columns."""
     task, rows = None, []
     for batch in batches:
         for t, *row in zip(*(batch.column(c).to_pylist() for c in ("task", *columns)), strict=True):
             if t != task:
                 if rows:
-                    if name is not None:
-                        name[:] = [task]
                     yield list(zip(*rows, strict=True))
                 task, rows = t, []
             rows.append(row)
     if rows:
-        if name is not None:
-            name[:] = [task]
         yield list(zip(*rows, strict=True))
 
 
@@ -272,7 +286,7 @@ def bridges(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, thresho
 def _suspects(least: int):
     """Of a task's nodes those whose sketch has so many equal bytes with that of a node of another class."""
     def run(batches):
-        for node, side, label, size, sketch in _tasks(batches, ("node", "side", "label", "size", "sketch"), keep := []):
+        for bucket, node, side, label, size, sketch in _tasks(batches, ("bucket", "node", "side", "label", "size", "sketch")):
             m, bits, side = len(node), np.frombuffer(b"".join(sketch), np.uint8).reshape(len(node), -1), np.array(side)
             _, group, count = np.unique(np.array([x.hex() for x in label]), return_inverse=True, return_counts=True)
             found, two = np.zeros(m, bool), bool(side.any() and not side.all())
@@ -287,18 +301,43 @@ def _suspects(least: int):
                 found[i] |= len(at) > 0
             yes = np.flatnonzero(found).tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([keep[-1]] * len(yes), pa.string()), pa.array(side[yes], pa.int32()), pa.array([node[i] for i in yes], pa.binary()), pa.array([label[i] for i in yes], pa.binary())],
-                names=["task", "side", "node", "label"],
+                [pa.array([x[i] for i in yes], kind) for x, kind in ((bucket, pa.int64()), (node, pa.binary()), (label, pa.binary()), (size, pa.int64()))],
+                names=["bucket", "node", "label", "size"],
             )
 
     return run
 
 
-def _bridger(n: int, threshold: float):
+def chunks(size: np.ndarray, most_sets: int, most: int) -> list[tuple[int, int]]:
+    """Runs of so many sets at most and, unless one alone has more, of so many n-grams: (first, end)."""
+    out, lo, total = [], 0, 0
+    for i, n in enumerate(size.tolist()):
+        if i > lo and (i - lo == most_sets or total + n > most):
+            out.append((lo, i))
+            lo, total = i, 0
+        total += n
+    return [*out, (lo, len(size))] if len(size) else out
+
+
+def _bridger(n: int, threshold: float, most_sets: int, most_grams: int):
+    """bridges() of each task's nodes, of which two chunks are compared at once."""
     def run(batches):
-        for node, side, label, text in _tasks(batches, ("node", "side", "label", "words")):
+        for node, side, label, size, text in _tasks(batches, ("node", "side", "label", "size", "words")):
             _, group = np.unique(np.array([x.hex() for x in label]), return_inverse=True)
-            found = bridges(gram_sets(list(text), n), group, np.array(side, np.int64), threshold)
+            side, size, found = np.array(side), np.array(size, np.int64), []
+            parts = [[own[a:b] for a, b in chunks(size[own], most_sets, most_grams)] for own in (np.flatnonzero(side == 0), np.flatnonzero(side == 1))]
+            two = all(parts)
+            pairs = [(a, b) for a in parts[0] for b in parts[1]] if two else [(a, b) for own in parts for k, a in enumerate(own) for b in own[k:]]
+            for a, b in pairs:
+                at = a if a is b else np.concatenate([a, b])
+                if (group[at] == group[at[0]]).all():
+                    continue
+                apart = np.zeros(len(at), np.int64)
+                if a is not b:
+                    apart[len(a) :] = 1
+                for i, j in bridges(gram_sets([text[k] for k in at.tolist()], n), group[at], apart, threshold):
+                    found.append((at[i], at[j]))
+                    group[group == group[at[j]]] = group[at[i]]
             yield pa.RecordBatch.from_arrays([pa.array([node[i] for i, _ in found], pa.binary()), pa.array([node[j] for _, j in found], pa.binary())], names=["node", "pivot"])
 
     return run
@@ -333,18 +372,24 @@ def _candidates(nodes: DataFrame, bands: int, least: int) -> tuple[DataFrame, Da
 
 
 def _rest(crowd: DataFrame, label: DataFrame, nodes: DataFrame, least: int) -> DataFrame:
-    """task, side, node, label of what remains to be compared: nodes of a bucket with two classes or more that sketches don't rule out of being linked across them.
+    """bucket, node, label, size of what remains to be compared: nodes of a bucket with two classes or more that sketches don't rule out of being linked across them.
 
-    A task is a block of a bucket, or two. Its nodes come out once at most, so the rows are linear in a block's nodes.
+    A task is a block of a bucket, or two. A bucket's nodes come out once at most.
     """
-    own = written(crowd.join(nodes.select("node", "size"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd")
-    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), block_count(F.count(F.lit(1)), F.sum("size")).alias("blocks")).filter("x <> y").select("bucket", "blocks")
-    i = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    to = lambda j: F.struct(F.concat_ws(":", "bucket", F.least(i, j), F.greatest(i, j)).alias("task"), (i > j).cast("int").alias("side"))
-    tasks = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), to)
-    dealt = join_on(own, mixed, ["bucket"]).select("node", "label", "size", F.explode(tasks).alias("x")).join(nodes.select("node", "sketch"), "node").select("x.task", "x.side", "node", "label", "size", "sketch")
-    found = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_suspects(least), "task string, side int, node binary, label binary")
-    return written(found, "rest")
+    own = written(crowd.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowd")
+    mixed = own.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), bucket_blocks(F.count(F.lit(1))).alias("blocks")).filter("x <> y").select("bucket", "blocks")
+    dealt = join_on(own, mixed, ["bucket"]).join(nodes.select("node", "size", "sketch"), "node").select("bucket", "node", "label", "size", "sketch", F.explode(_block_tasks()).alias("x"))
+    dealt = dealt.select("x.task", "x.side", "bucket", "node", "label", "size", "sketch")
+    found = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(_suspects(least), "bucket bigint, node binary, label binary, size bigint")
+    return written(found.distinct(), "rest")
+
+
+def _bridges(rest: DataFrame, texts: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(node, pivot): pairs of what remains that are similar enough and connect classes."""
+    blocks = rest.groupBy("bucket").agg(bucket_blocks(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
+    full = join_on(rest, blocks, ["bucket"]).join(texts, "node").select("node", "label", "size", "words", F.explode(_block_tasks()).alias("x"))
+    full = full.select("x.task", "x.side", "node", "label", "size", "words")
+    return written(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bridger(n, threshold, BLOCK_SETS, BLOCK_GRAMS), "node binary, pivot binary"), "bridges")
 
 
 def _texts(two: DataFrame, wanted: DataFrame, few: bool = False) -> DataFrame:
@@ -420,8 +465,7 @@ def _classed(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: flo
     if not rest.isEmpty():
         if more := missing.count():
             texts = texts.unionByName(_texts(two, missing, few=more <= FEW))
-        full = rest.join(texts, "node").select("task", "side", "node", "label", "words")
-        new = written(full.repartition("task").sortWithinPartitions("task").mapInArrow(_bridger(n, threshold), "node binary, pivot binary"), "bridges")
+        new = _bridges(rest, texts, n, threshold)
         if not new.isEmpty():
             label = written(components(sure.unionByName(new), "node", "pivot"), "labels")
     links = written(_links(label, nodes, texts, n, threshold), "links")

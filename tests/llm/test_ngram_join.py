@@ -259,3 +259,32 @@ def test_pairs_of_crowded_buckets_are_all_compared(spark):
         table += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
     got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()}
     assert got == {i: (least, n) for _, i, least, n in brute(table)}
+
+
+def test_rows_of_crowded_buckets_grow_with_their_nodes(spark, monkeypatch):
+    """A node of a bucket remains once however many blocks the bucket has; blocks and chunks of any size give what brute force gives."""
+    page, table = [f"w{i}" for i in range(104)], []
+    for g in range(150):
+        one = page + [f"x{g}y{i}" for i in range(21)]
+        two = [f"z{g}" if i in (g % 90, g % 90 + 4, g % 90 + 8) else w for i, w in enumerate(one)]
+        table += [(2 * g, " ".join(one)), (2 * g + 1, " ".join(two))]
+    df, made, write = spark.createDataFrame(table, "doc_id long, text string"), {}, ngram_join.written
+
+    def count(rows, name, *by):
+        out = write(rows, name, *by)
+        made[name] = out.count() if name in ("crowd", "rest") else 0
+        return out
+
+    monkeypatch.setattr(ngram_join, "written", count)
+    for small in (False, True):
+        if small:
+            for name, size in (("SKETCHES", 40), ("MOST_BLOCKS", 3), ("BLOCK_SETS", 30), ("BLOCK_GRAMS", 2000)):
+                monkeypatch.setattr(ngram_join, name, size)
+        got = {x["doc_id"]: (x["class_id"], x["n_links"]) for x in ngram_join.near_duplicates(df).collect()}
+        assert got == {i: (least, n) for _, i, least, n in brute(table)}
+        assert 0 < made["rest"] <= made["crowd"]
+
+
+def test_chunks():
+    assert ngram_join.chunks(np.array([3, 3, 3, 9, 1, 1]), 2, 8) == [(0, 2), (2, 3), (3, 4), (4, 6)]
+    assert ngram_join.chunks(np.array([], np.int64), 2, 8) == []
