@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .components import components
 from .shared import join_on, written
-from .textbuf import Packed, joined, sequence_hash, slices, windows, words
+from .textbuf import Packed, give_back, joined, sequence_hash, slices, windows, words
 
 #: Sets and n-grams that a block holds at most, about; smaller groups are parted into so many blocks, but not into smaller ones than that.
 BLOCK_SETS, BLOCK_GRAMS, BLOCKS, LEAST_BLOCK = 2048, 1_000_000, 16, 128
@@ -195,8 +195,11 @@ def _tasks(batches, columns: tuple[str, ...]):
                     yield list(zip(*rows, strict=True))
                 task, rows = t, []
             rows.append(row)
+        give_back()
     if rows:
         yield list(zip(*rows, strict=True))
+    del rows
+    give_back()
 
 
 def _confirmer(n: int, threshold: float):

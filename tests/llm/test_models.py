@@ -191,3 +191,46 @@ def test_folds(spark):
     df = spark.range(200).withColumnRenamed("id", "doc_id")
     got = {r["doc_id"]: r["f"] for r in df.select("doc_id", fold(3, 1).alias("f")).collect()}
     assert all(v == (zlib.crc32(str(k).encode()) % 3 == 1) for k, v in got.items())
+
+
+def test_all_documents_are_learnt_from_and_give_floors(spark, monkeypatch):
+    """The pipeline's network learns what its start has never seen, and its floors are those of all held-out documents."""
+    import copy
+
+    import corpus_pipeline
+
+    other = "qoqo vivi zuzu " * 8
+    rows = [(i, f"{other}{i}" if i % 4 == 0 else f"ab ba{i} " * 6, "x") for i in range(4000)] + [(4000 + i, f"tr rt{i} " * 6, "y") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    made, start = {}, langid.train([("x", "ab ba " * 12)] * 9 + [("y", "tr rt " * 12)] * 9, rounds=60, hidden=4)
+    monkeypatch.setattr(langid, "keep_languages", lambda docs, model, **k: made.update(model=model, **k) or docs)
+    monkeypatch.setattr(langid, "train", lambda pairs, **k: copy.deepcopy(start))
+    corpus_pipeline.language(spark, df, "")
+    raw = other.encode()
+    before, after = (langid.document_scores(m, np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 64)[0, 0] for m in (start, made["model"]))
+    assert after > before + 0.01 or after > 0.99 > before, (before, after)
+    held = [r["text"] for r in df.filter(fold(4, 2)).collect()]
+    want = langid.floors_from(langid.least_by_size(made["model"], sorted(held)))
+    assert np.allclose(made["floors"], want) and len(held) > 1800
+
+
+def test_learners_don_t_depend_on_the_order_of_rows(spark):
+    rows = [(i, f"ab ba{i} " * 30 if i % 2 else f"tr rt{i} " * 30, "x" if i % 2 else "y") for i in range(60)] + [(99, None, "x"), (98, "", "y"), (97, "abc", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = langid.BiGru(["x", "y"], 2)
+    a, b = (langid.fit_all(x, rounds=5, hidden=2) for x in (df, df.repartition(5)))
+    assert all((a.w[k] == b.w[k]).all() and a.w[k].shape == seen.w[k].shape for k in a.w)
+    assert langid.fit_all(df.limit(0)) is None and langid.floors(df.limit(0), a).tolist() == [0.0] and langid.floors(df, None).tolist() == [0.0]
+
+
+def test_each_window_is_gone_through_once(monkeypatch):
+    seen = []
+    step = langid.BiGru.gradients
+    monkeypatch.setattr(langid.BiGru, "gradients", lambda self, ids, label, weight: (seen.append((ids, weight)), step(self, ids, label, weight))[1])
+    texts = ["ab " * 700 + "omega", "qz", "tr " * 50]
+    langid.learn_part(langid.BiGru(["x", "y"], 2), list(zip("xyx", texts)), {"x": 1.0, "y": 0.5}, most=64)
+    ids, weight = (np.concatenate(x, axis=1) for x in zip(*seen))
+    want = sorted(t.encode()[i : i + 64].ljust(64).decode() for t in texts for i in range(0, len(t), 64))
+    assert sorted(bytes(x).decode() for x in ids.T) == want
+    each = {bytes(x)[:2]: w.max() for x, w in zip(ids.T, weight.T)}
+    assert np.isclose(each[b"qz"] / each[b"tr"], 0.5 * 3)
